@@ -8,10 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathglow.llm import sql
 from pathglow.llm.common import table
+from pathglow.llm.license_scan import license_scan
 from pathglow.llm.packing import pack
+from pathglow.llm.quality_rules import MAX_LONGEST, quality_verdicts
 from pathglow.llm.simhash import simhash_components
 from pathglow.llm.tokenize import encode_decode, token_counts
+from pathglow.llm.warc import round_trip
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality_verdicts(table(spark, sf_dir, "documents"))
+    return verdicts.withColumn("longest_exceeded", F.col("longest_repeat") > MAX_LONGEST).drop("longest_repeat")
 
 
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +37,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -37,9 +54,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
     "op5_packing": op5_packing,
+    "op6_warc": op6_warc,
+    "op7_license_scan": op7_license_scan,
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = sql.ORACLES
