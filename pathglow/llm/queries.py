@@ -10,19 +10,31 @@ from pyspark.sql import functions as F
 
 from pathglow.llm import sql
 from pathglow.llm.common import table
+from pathglow.llm.embedding_dedup import embedding_components
 from pathglow.llm.license_scan import license_scan
 from pathglow.llm.packing import pack
 from pathglow.llm.quality_rules import MAX_LONGEST, quality_verdicts
+from pathglow.llm.sharding import assign_shards
 from pathglow.llm.simhash import simhash_components
 from pathglow.llm.tokenize import encode_decode, token_counts
+from pathglow.llm.toxicity import toxicity_scores
 from pathglow.llm.warc import round_trip
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_verdicts(table(spark, sf_dir, "documents"))
     return verdicts.withColumn("longest_exceeded", F.col("longest_repeat") > MAX_LONGEST).drop("longest_repeat")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = assign_shards(table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select(
@@ -53,13 +65,20 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_sharding": op3_sharding,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op7_license_scan": op7_license_scan,
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = sql.ORACLES
