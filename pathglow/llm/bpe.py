@@ -23,13 +23,20 @@ SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Keys longer than this are computed each time: they hardly recur and would fill the memo.
 LONGEST_KEY = 48
 POSITION = (1 << 32) - 1
+SHORT, NEVER = 40, 1 << 31
+MARKS = set(".,!?;:")
 
 
 class ShortMemo(Memo):
     """A memo that holds short keys only."""
 
     def __missing__(self, key):
-        return super().__missing__(key) if len(key) <= LONGEST_KEY else self.compute(key)
+        value = self.compute(key)
+        if len(key) <= LONGEST_KEY:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
 
 
 @lru_cache
@@ -75,8 +82,21 @@ class Merges:
         return merges
 
     def merged(self, symbols: list[int]) -> list[int]:
-        self._run(symbols)
-        return [s for s in symbols if s >= 0]
+        if len(symbols) > SHORT:
+            self._run(symbols)
+            return [s for s in symbols if s >= 0]
+        # few symbols: a plain search for the least rank is quicker than a heap
+        rank, product = self.rank.get, self.product
+        ranks = [rank(a << 32 | b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (least := min(ranks)) != NEVER:
+            i = ranks.index(least)
+            symbols[i] = product[least]
+            del symbols[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(symbols[i - 1] << 32 | symbols[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = rank(symbols[i] << 32 | symbols[i + 1], NEVER)
+        return symbols
 
     def merge_count(self, symbols: list[int]) -> int:
         return self._run(symbols)
@@ -111,8 +131,8 @@ class ForcedBoundaryEncoder:
         self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
         self.inner_memo = ShortMemo(lambda f: self._encode(f, last=False), 100_000)
         self.final_memo = ShortMemo(lambda f: self._encode(f, last=True), 100_000)
-        self.words = ShortMemo(self._word, 400_000)
-        self.chunks = ShortMemo(self._chunk, 400_000)
+        self.words = ShortMemo(self._word, 500_000)
+        self.chunks = ShortMemo(self._chunk, 800_000)
 
     def fragments(self, raw: bytes) -> list[bytes]:
         """``raw`` cut wherever two bytes stand together in no vocabulary token."""
@@ -132,9 +152,14 @@ class ForcedBoundaryEncoder:
         return b"".join(map(self.inner_memo.__getitem__, pieces[:-1])) + self.final_memo[pieces[-1]]
 
     def _plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
         # one character at a time: str.lower() would give a word-final sigma a form of its own
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        if text.isalpha():  # letters alone, or letters and a mark, need no regular expression
+            return self.words[text]
+        if text[-1:] in MARKS and text[:-1].isalpha():
+            return self.words[text[:-1]] + self.words[text[-1]]
         return b"".join(map(self.words.__getitem__, self.word.findall(text)))
 
     def _chunk(self, chunk: bytes) -> bytes:
