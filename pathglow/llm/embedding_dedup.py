@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 from pathglow.llm.common import written
 from pathglow.llm.components import connected_components
 
-THRESHOLD, BLOCKS, GRID_DIMS, TILE = 0.93, 8, 4, 4096
+THRESHOLD, BLOCKS, TILE = 0.93, 8, 4096
+#: Dimensions of a block that the grid cuts. One more makes nearly twice the replicas and saves about a tenth of the pairs
+#: when the components vary no more than the radius, as here; the larger a table, the more of them pay.
+GRID_DIMS = 2
 SLACK = 1e-9
 #: Pairs whose distances are taken at a time.
 PAIRS = 100_000
@@ -48,21 +51,21 @@ def _budgets(dims: int, threshold: float) -> np.ndarray:
     return (2 - 2 * threshold) * widths / dims + SLACK
 
 
-def _rotated(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors in double precision, and their directions after rotation."""
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def _rotated(raw: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Directions in double precision, and the same after rotation."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     return unit, unit @ _layout(x.shape[1])[0]
 
 
-def _as_bytes(vectors: DataFrame) -> DataFrame:
-    """Adds vec: the components as doubles in bytes, or null if the vector can link with nothing."""
+def _as_bytes(vectors: DataFrame, kind: str) -> DataFrame:
+    """Adds vec: the components' bytes, or null if the vector can link with nothing."""
 
     @F.arrow_udf("binary")
     def packed(column: pa.Array) -> pa.Array:
         out: list[bytes | None] = []
         offsets, flat = column.offsets.to_numpy(), column.values
-        values = flat.to_numpy(zero_copy_only=False).astype("<f8")  # null components become nan
+        values = flat.to_numpy(zero_copy_only=False).astype(kind)  # null components become nan
         fine = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
         for i, known in enumerate(column.is_valid().to_pylist()):
             a, b = offsets[i], offsets[i + 1]
@@ -70,13 +73,13 @@ def _as_bytes(vectors: DataFrame) -> DataFrame:
             out.append((values[a:b] + 0.0).tobytes() if good else None)
         return pa.array(out, pa.binary())
 
-    return vectors.withColumn("vec", packed(F.col("embedding").cast("array<double>")))
+    return vectors.withColumn("vec", packed(F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>")))
 
 
 CELL = "label string, block int, cell long, is_replica int, node long, n long, vec binary"
 
 
-def _cells(nodes: DataFrame, threshold: float) -> DataFrame:
+def _cells(nodes: DataFrame, threshold: float, kind: str) -> DataFrame:
     """Each node at home in one cell a block, and as a replica in all cells that its ball meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,10 +88,10 @@ def _cells(nodes: DataFrame, threshold: float) -> DataFrame:
             for length in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == length))
                 for at in range(0, part.num_rows, 2000):
-                    yield from cells(part.slice(at, 2000), int(length) // 8)
+                    yield from cells(part.slice(at, 2000), int(length) // np.dtype(kind).itemsize)
 
     def cells(part: pa.RecordBatch, dims: int) -> Iterator[pa.RecordBatch]:
-        _, y = _rotated(part.column("vec").to_pylist())
+        _, y = _rotated(part.column("vec").to_pylist(), kind)
         for number, (block, budget) in enumerate(zip(_layout(dims)[1], _budgets(dims, threshold), strict=True)):
             radius = math.sqrt(budget)
             at = y[:, block][:, :GRID_DIMS] / (2 * radius)
@@ -144,12 +147,12 @@ def _least_reached(a: np.ndarray, b: np.ndarray, nodes: np.ndarray) -> np.ndarra
             return root
 
 
-def _joined_tile(block: int, home: list[tuple], replica: list[tuple], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined_tile(block: int, home: list[tuple], replica: list[tuple], threshold: float, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """node, links, least for the nodes of a tile that have verified links there; rows are (node, n, vec)."""
     xs, ys = np.array([r[0] for r in home]), np.array([r[0] for r in replica])
     n = np.array([r[1] for r in replica])
-    ux, x = _rotated([r[2] for r in home])
-    uy, y = _rotated([r[2] for r in replica])
+    ux, x = _rotated([r[2] for r in home], kind)
+    uy, y = _rotated([r[2] for r in replica], kind)
     dims = x.shape[1]
     blocks, budgets = _layout(dims)[1], _budgets(dims, threshold)
     own = blocks[block]
@@ -181,7 +184,7 @@ def _joined_tile(block: int, home: list[tuple], replica: list[tuple], threshold:
     return nodes[touched], total[touched], root[touched]
 
 
-def _links(nodes: DataFrame, threshold: float, tile: int) -> DataFrame:
+def _links(nodes: DataFrame, threshold: float, tile: int, kind: str) -> DataFrame:
     """node, links, least; several rows a node."""
     key = ["label", "block", "cell", "i", "j"]
 
@@ -198,22 +201,23 @@ def _links(nodes: DataFrame, threshold: float, tile: int) -> DataFrame:
 
     def out(group: list | None, rows: tuple[list, list]) -> Iterator[pa.RecordBatch]:
         if group and len(rows[0]) and len(rows[1]) > 1 or group and rows[0] and rows[1] and rows[0][0][0] != rows[1][0][0]:
-            columns = _joined_tile(group[1], *rows, threshold)
+            columns = _joined_tile(group[1], *rows, threshold, kind)
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "links", "least"])
 
-    dealt = _tiles(_cells(nodes, threshold), tile)
+    dealt = _tiles(_cells(nodes, threshold, kind), tile)
     return dealt.repartition(*key).sortWithinPartitions(*key, "is_replica").mapInArrow(run, "node long, links long, least long")
 
 
 def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", tile: int = TILE) -> DataFrame:
     """``id_col``, n_links, component_id and kept, one row per vector."""
     slim = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"), F.col(label_col).cast("string").alias("label"))
-    slim = written(_as_bytes(slim).select("id", "label", F.when(F.col("label").isNotNull(), F.col("vec")).alias("vec")), "vectors")
+    kind = "<f4" if vectors.schema[vec_col].dataType.elementType.simpleString() == "float" else "<f8"
+    slim = written(_as_bytes(slim, kind).select("id", "label", F.when(F.col("label").isNotNull(), F.col("vec")).alias("vec")), "vectors")
     able = slim.where("vec is not null")
     nodes = able.groupBy("label", "vec").agg(F.min("id").alias("least_id"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
     nodes = written(nodes, "nodes")
-    found = written(_links(nodes, threshold, tile), "found")
+    found = written(_links(nodes, threshold, tile, kind), "found")
     member = connected_components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
     sums = found.groupBy(F.col("node").alias("counted")).agg(F.sum("links").alias("links"))
     full = nodes.join(sums, F.col("node") == F.col("counted"), "left").join(member.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")

@@ -17,8 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from pathglow.llm.common import parts, split_words, text_column
 
@@ -126,3 +127,21 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     repeats = (F.col("covered_words") > max_covered * F.col("n_words")) | (F.col("longest_repeat") > max_longest)
     return repetition(docs, id_col, text_col).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~repeats)
+
+
+def _kept(text: Column, max_covered: float, max_longest: int) -> Column:
+    @F.arrow_udf(BooleanType())
+    def run(texts: pa.Array) -> pa.Array:
+        batch, out = pa.RecordBatch.from_arrays([texts], ["text"]), [np.zeros(0, bool)]
+        for part in parts(batch, "text"):
+            n, _, _, _, n_repeat, covered, longest = (c.to_numpy() for c in _measures(text_column(part, "text")))
+            failed = (n < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n)
+            out.append(~failed & (covered <= max_covered * n) & (longest <= max_longest))
+        return pa.array(np.concatenate(out))
+
+    return run(text)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
+    """The rows of ``docs``, all their columns, that ``quality_verdicts`` keeps."""
+    return docs.where(_kept(F.col(text_col), max_covered, max_longest))
