@@ -1,11 +1,8 @@
-"""Registry of the library's queries and of the SQL that must give the same rows."""
+"""All queries of the library but those of the optional corpus subpackage."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pathglow.plans import query_rules, query_scalars  # noqa: F401  registers
+from pathglow.plans.registry import ORACLES, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "unmapped_peaks"
+FLAGSHIP = "rule_pareto"

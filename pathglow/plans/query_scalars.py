@@ -1,0 +1 @@
+"""Queries on scalar functions and classifiers."""
