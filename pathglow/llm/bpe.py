@@ -16,7 +16,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import regex
 
-from pathglow.llm.common import Memo
+from pathglow.llm.common import Memo, held
 
 #: Unicode's White_Space, as the tokenizers' regular expressions see it.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -131,8 +131,8 @@ class ForcedBoundaryEncoder:
         self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
         self.inner_memo = ShortMemo(lambda f: self._encode(f, last=False), 100_000)
         self.final_memo = ShortMemo(lambda f: self._encode(f, last=True), 100_000)
-        self.words = ShortMemo(self._word, 500_000)
-        self.chunks = ShortMemo(self._chunk, 800_000)
+        self.words = ShortMemo(self._word, 350_000)
+        self.chunks = ShortMemo(self._chunk, 500_000)
 
     def fragments(self, raw: bytes) -> list[bytes]:
         """``raw`` cut wherever two bytes stand together in no vocabulary token."""
@@ -214,12 +214,10 @@ class TokenCounter:
         return len(self.special.findall(text)) + sum(map(self._plain, self.special.split(text)))
 
 
-@lru_cache
 def encoder(path: str) -> ForcedBoundaryEncoder:
-    """One encoder a worker process, kept with its memos over the tasks that the worker runs."""
-    return ForcedBoundaryEncoder(path)
+    """The encoder of this worker process, kept with its memos over the tasks that the worker runs."""
+    return held("encoder", path, lambda: ForcedBoundaryEncoder(path))
 
 
-@lru_cache
 def counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+    return held("counter", path, lambda: TokenCounter(path))

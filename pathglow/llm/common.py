@@ -57,8 +57,25 @@ class Memo(dict):
         return value
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(kind: str, key, build: Callable):
+    """A large object that a worker process keeps for the tasks to come: one at a time, so that the memos of operators
+    that ran before in the same process do not add up."""
+    if (kind, key) not in _held:
+        _held.clear()
+        _held[kind, key] = build()
+    return _held[kind, key]
+
+
+def drop_held() -> None:
+    """For operators that keep nothing: frees what another one has left in this process."""
+    _held.clear()
+
+
 #: Rows are handed on in parts of about so many bytes of text, so that one batch of long texts stays small.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 
 def parts(batch: pa.RecordBatch, text: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
@@ -73,8 +90,11 @@ def parts(batch: pa.RecordBatch, text: str, most: int = PART_BYTES) -> Iterator[
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    """The text as a string array of 64-bit offsets; null becomes empty."""
-    return pc.fill_null(batch.column(name).cast(pa.large_string()), "")
+    """The text as a string array of 64-bit offsets; null becomes empty.
+
+    The copy is needed: a slice shares the buffers of its batch, and Arrow's ``ascii_lower`` reads these from their start.
+    """
+    return pc.fill_null(batch.column(name).cast(pa.large_string()), "").take(pa.array(np.arange(batch.num_rows)))
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from pathglow.llm.common import parts, split_words, text_column
+from pathglow.llm.common import drop_held, parts, split_words, text_column
 
 SPACES, SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -113,6 +113,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``id_col`` and the measures: base counts, covered_words and longest_repeat. One scan, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             for part in parts(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("id"), *_measures(text_column(part, "text"))], ["id", *COLUMNS])
@@ -132,6 +133,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _kept(text: Column, max_covered: float, max_longest: int) -> Column:
     @F.arrow_udf(BooleanType())
     def run(texts: pa.Array) -> pa.Array:
+        drop_held()
         batch, out = pa.RecordBatch.from_arrays([texts], ["text"]), [np.zeros(0, bool)]
         for part in parts(batch, "text"):
             n, _, _, _, n_repeat, covered, longest = (c.to_numpy() for c in _measures(text_column(part, "text")))

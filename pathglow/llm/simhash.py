@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathglow.llm.common import parts, split_words, text_column, written
+from pathglow.llm.common import drop_held, parts, split_words, text_column, written
 from pathglow.llm.components import connected_components
 
 SEED = 42
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Columns ``id_col`` and fp (the 64 bits as a signed long), one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             for part in parts(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(_fingerprints(text_column(part, "text"), width).view(np.int64))], ["id", "fp"])

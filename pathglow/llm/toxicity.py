@@ -21,7 +21,6 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathglow.llm.common import Memo, parts, split_words, text_column, written
+from pathglow.llm.common import Memo, held, parts, split_words, text_column, written
 
 FIT_ROWS, LEXICON_SIZE, INNOCENT_SIZE = 10_000, 2_000, 50_000
 EDITS, FUZZY_LENGTH, EDIT_WEIGHT = 1, 5, 0.6
@@ -51,7 +50,7 @@ def normal(word: str) -> str:
 class LexiconAutomaton:
     """All Levenshtein automata of a lexicon at once: sets of (trie node, edits), made deterministic lazily."""
 
-    DEAD, MOST_STATES = -1, 100_000
+    DEAD, MOST_STATES = -1, 20_000
 
     def __init__(self, terms: tuple[tuple[str, bool], ...]):
         self.terms = terms
@@ -68,7 +67,7 @@ class LexiconAutomaton:
             (self.stem_at if is_stem else self.word_at)[node] = number
         self.letters = {c for arcs in self.children for c in arcs}
         self._reset()
-        self.memo = Memo(lambda raw: self.find(normal(raw)), 300_000)
+        self.memo = Memo(lambda raw: self.find(normal(raw)), 200_000)
 
     def _reset(self) -> None:
         self.states: list[tuple[tuple[int, int], ...]] = []
@@ -128,9 +127,8 @@ class LexiconAutomaton:
         return 0 if best is None else 1 + best[1] * (EDITS + 1) + best[0]
 
 
-@lru_cache(maxsize=4)
 def automaton(terms: tuple[tuple[str, bool], ...]) -> LexiconAutomaton:
-    return LexiconAutomaton(terms)
+    return held("automaton", terms, lambda: LexiconAutomaton(terms))
 
 
 @dataclass(frozen=True)
