@@ -29,8 +29,8 @@ def _candidate() -> str:
         "ts": "ts",
         "candidate_id": f"'14/' || cast(8200 + {block} % 1000 as string) || '/' || cast(6200 + {div(block, 1000)} as string) || '/' || cast({div('event_id % 1000', 40)} as string) || '/' || cast(event_id % 40 as string)",
         "layer": "case user_id % 3 when 0 then 'ride' when 1 then 'run' else 'all' end",
-        "mx": f"cast({block} % 1000 * 100000 + (event_id * 7919) % 5000 as double)",
-        "my": f"cast({div(block, 1000)} * 100000 + (event_id * 104729) % 5003 as double)",
+        "mx": f"cast({block} % 1000 * 100000 + (event_id * 7919 + (event_id % 1009) * (event_id % 1013) * 31) % 5000 as double)",
+        "my": f"cast({div(block, 1000)} * 100000 + (event_id * 104729 + (event_id % 997) * (event_id % 991) * 17) % 5003 as double)",
         "lon": f"-170 + cast({block} % 1000 as double) * 0.3 + {mixed(e, 7919, 50000, 1e6)}",
         "lat": f"30 + cast({div(block, 1000)} as double) * 0.3 + {mixed(e, 104729, 50021, 1e6)}",
         "size": "cast((event_id * 13) % 40 as int)",
