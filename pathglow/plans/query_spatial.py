@@ -56,12 +56,12 @@ def component_stats(spark, sf_dir):
 
 @query(with_views(f"""{LABELLED}, m as (select tile, comp, count(*) as n, var_samp(c::double) as a, covar_samp(c::double, -r::double) as b, var_samp(r::double) as d from cells where comp is not null group by tile, comp having count(*) >= 2),
   e as (select *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) as l1, greatest((a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b), 0) as l2, degrees(atan2(2 * b, a - d) / 2) as t from m)
-select tile, n, case when abs(b) < 1e-9 and abs(a - d) < 1e-9 then null else round(round(case when t < -1e-9 then t + 180 else abs(t) end, 4), 3) end as orientation, case when l2 <= 1e-9 then 1e6 else round(round(least(l1 / l2, 1e6), 4), 3) end as elongation from e""", "heat"))
+select tile, n, case when abs(b) < 1e-9 and abs(a - d) < 1e-9 then null else round(case when t < -1e-9 then t + 180 else abs(t) end, 4) end as orientation, case when l2 <= 1e-9 then 1e6 else round(least(l1 / l2, 1e6), 4) end as elongation from e""", "heat"))
 def component_pca(spark, sf_dir):
     found = raster.principal_axes(_cells(spark, sf_dir))
     m = _cells(spark, sf_dir).where("comp >= 0").groupBy("tile", "comp").agg(F.var_samp("c").alias("a"), F.covar_samp("c", -F.col("r")).alias("b"), F.var_samp("r").alias("d"))
     flat = (F.abs("b") < 1e-9) & (F.abs(F.col("a") - F.col("d")) < 1e-9)  # a round region has no orientation
-    return found.join(m, ["tile", "comp"]).select("tile", "n", F.when(~flat, F.round("orientation", 3)).alias("orientation"), F.round("elongation", 3).alias("elongation"))
+    return found.join(m, ["tile", "comp"]).select("tile", "n", F.when(~flat, F.col("orientation")).alias("orientation"), "elongation")
 
 
 SEGMENTS = "segs as (select o_orderkey, cast(floor(o_orderkey / 400) as bigint) as tile, (o_orderkey % 17)::double as r1, (o_orderkey % 13)::double as c1, (o_orderkey % 19)::double as r2, (o_orderkey % 11)::double as c2 from orders where o_orderkey % 40 = 7)"
@@ -219,10 +219,10 @@ def _way_hits(spark, sf_dir, radius: float = 250) -> DataFrame:
     return pairs.groupBy("event_id", "way_id").agg(F.min(dist).alias("dist")).where(F.col("dist") <= radius)
 
 
-@query(with_views(f"{SEGS}, {HITS} select event_id, arg_min(way_id, (round(dist, 6), way_id)) as way_id, round(round(min(dist), 6), 3) as dist from hits group by event_id", "candidate", "vertex"))
+@query(with_views(f"{SEGS}, {HITS} select event_id, arg_min(way_id, (round(dist, 6), way_id)) as way_id, round(min(dist), 6) as dist from hits group by event_id", "candidate", "vertex"))
 def nearest_map_object(spark, sf_dir):
     hits = _way_hits(spark, sf_dir).withColumn("dist", F.round("dist", 6))
-    return cells.nearest(hits, "event_id", "way_id").select("event_id", "way_id", F.round("dist", 3).alias("dist"))
+    return cells.nearest(hits, "event_id", "way_id").select("event_id", "way_id", "dist")
 
 
 @query(with_views(f"{SEGS}, {HITS} select event_id, way_id, rank::int as rank from (select event_id, way_id, row_number() over (partition by event_id order by round(dist, 6), way_id) as rank from hits) where rank <= 5", "candidate", "vertex"))
