@@ -70,7 +70,7 @@ def merge_rings(members: DataFrame, key: str = "relation_id") -> DataFrame:
                         break
             rings.append(ring)
         found = pd.DataFrame({key: [frame[key].iloc[0]] * len(rings), "ring": range(len(rings)), "points": [len(r) for r in rings], "closed": [r[0] == r[-1] and len(r) >= 4 for r in rings], "xs": [[p[0] for p in r] for r in rings], "ys": [[p[1] for p in r] for r in rings]})
-        return found.astype({key: frame[key].dtype, "ring": "int32", "points": "int32", "closed": "bool"})
+        return found.astype({key: frame[key].dtype, "ring": "int32", "points": "int32", "closed": "bool", "xs": object, "ys": object})
 
     kind = members.schema[key].dataType.simpleString()
     return members.groupBy(key).applyInPandas(run, f"{key} {kind}, ring int, points int, closed boolean, xs array<double>, ys array<double>")
