@@ -156,10 +156,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group, each id once; rows with a null id all stay."""
-    groups = simhash_components(docs, id_col, text_col)
-    kept = written(groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("copies")), "kept")
-    rows = docs.join(kept.select(F.col(id_col).alias("kept_id")), F.col(id_col) == F.col("kept_id"), "left_semi")
-    if kept.where("copies > 1").head(1):
-        rows = rows.dropDuplicates([id_col])
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` whose id is the least of its group, each id once; rows with a null id all stay.
+
+    An id that stands for several texts stays, once, if it is the least of the group of any of them. Only the ids that
+    go are joined back, so texts are shuffled only if these are too many to be broadcast.
+    """
+    groups = simhash_components(docs, id_col, text_col).where(F.col(id_col).isNotNull())
+    verdict = groups.groupBy(F.col(id_col).alias("judged")).agg(F.max(F.col(id_col) == F.col("component_id")).alias("stays"), F.count("*").alias("copies"))
+    verdict = written(verdict.where("not stays or copies > 1"), "verdicts")
+    rows = docs.join(verdict.where("not stays"), F.col(id_col) == F.col("judged"), "left_anti")
+    repeated = verdict.where("stays and copies > 1")
+    if not repeated.head(1):
+        return rows
+    again = rows.join(repeated, F.col(id_col) == F.col("judged"), "left_semi").dropDuplicates([id_col])
+    return rows.join(repeated, F.col(id_col) == F.col("judged"), "left_anti").unionByName(again)
