@@ -131,8 +131,8 @@ class ForcedBoundaryEncoder:
         self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
         self.inner_memo = ShortMemo(lambda f: self._encode(f, last=False), 100_000)
         self.final_memo = ShortMemo(lambda f: self._encode(f, last=True), 100_000)
-        self.words = ShortMemo(self._word, 500_000)
-        self.chunks = ShortMemo(self._chunk, 800_000)
+        self.words = ShortMemo(self._word, 400_000)
+        self.chunks = ShortMemo(self._chunk, 600_000)
 
     def fragments(self, raw: bytes) -> list[bytes]:
         """``raw`` cut wherever two bytes stand together in no vocabulary token."""
