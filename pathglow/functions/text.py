@@ -141,3 +141,16 @@ def cache_digest(*parts: Column) -> Column:
 def challenge_name(region: Column, layer: Column, day: Column, copy: Column) -> Column:
     """A dated name; copies of a day are numbered from 2."""
     return F.concat(region, F.lit(" "), layer, F.lit(" "), F.date_format(day, "yyyy-MM-dd"), F.when(copy > 1, F.concat(F.lit("-"), copy)).otherwise(""))
+
+
+def task_identities(task: Column) -> Column:
+    """All names that a task record (JSON) goes by: its own, then those of its features."""
+    own = F.coalesce(F.get_json_object(task, "$.name"), F.get_json_object(task, "$.taskName"))
+    schema = "array<struct<properties map<string,string>>>"
+    features = F.from_json(F.coalesce(F.get_json_object(task, "$.geometries.features"), F.get_json_object(task, "$.geometries")), schema)
+    named = F.flatten(F.transform(features, lambda f: F.array(*[f["properties"][k] for k in ("id", "candidate_id", "name")])))
+    return F.filter(F.concat(F.array(own), F.coalesce(named, F.array().cast("array<string>"))), lambda x: F.coalesce(x, F.lit("")) != "")
+
+
+def task_candidate_id(task: Column) -> Column:
+    return F.trim(F.get(task_identities(task), F.lit(0)))

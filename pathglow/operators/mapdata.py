@@ -94,3 +94,21 @@ def is_current(source_etag: Column, stamp_etag: Column, source_size: Column, sta
     """Whether a stamp describes the source: equal tags, or else equal size and no newer time."""
     by_time = (source_size == stamp_size) & (source_time <= stamp_time)
     return F.when(source_etag.isNotNull() & stamp_etag.isNotNull(), source_etag == stamp_etag).otherwise(F.coalesce(by_time, F.lit(False)))
+
+
+def tile_percentiles(heat: DataFrame, key: str = "tile") -> DataFrame:
+    """Percentiles of the positive values of each tile, from the 10th to the 99th."""
+    steps = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+    q = heat.where("v > 0").groupBy(key).agg(F.count("*").alias("n"), F.percentile("v", F.array(*map(F.lit, steps))).alias("q"))
+    return q.select(key, "n", *[F.round(F.col("q")[i], 6).alias(f"p{round(100 * s)}") for i, s in enumerate(steps)])
+
+
+def advance(current: DataFrame, diffs: DataFrame) -> DataFrame:
+    """For each region the diffs (sequence, made_at) that are newer than its state; an older one never takes it back."""
+    return diffs.join(current, "region", "left").where(F.col("state_at").isNull() | (F.col("made_at") > F.col("state_at"))).groupBy("region").agg(F.count("*").alias("applied"), F.max("sequence").alias("sequence"), F.max("made_at").alias("state_at"))
+
+
+def read_ring_text(text: Column) -> Column:
+    """Points of a plain boundary file: lines of two numbers between a name and END."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s+[-+0-9.Ee]+\s+[-+0-9.Ee]+\s*$"))
+    return F.transform(lines, lambda x: F.transform(F.split(F.trim(x), r"\s+"), lambda n: n.cast("double")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathglow.functions import geo, tags, text
-from pathglow.operators import cells, layers, mapdata, metrics, raster
+from pathglow.operators import batteries, cells, layers, mapdata, metrics, raster
 from pathglow.plans.registry import query
 from pathglow.plans.standins import base, div, view, with_views
 
@@ -466,3 +466,90 @@ def path_parse(spark, sf_dir):
 def log_extract(spark, sf_dir):
     e = base(spark, sf_dir, "events").withColumn("value", F.floor(F.abs("value") * 100))
     return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.date_format("ts", "yyyy-MM-dd").alias("day"), text.duration(F.col("value")).alias("spent"))
+
+
+# ---- further metrics and checks
+
+WALK = "walk as (select event_id, k as step, mx + k * 30 as px, my + k * 12 as py from candidate, unnest(range(0, 5)) as t(k))"
+STEPS = f"""{SEGS}, {WALK}, raw as (select event_id, step, way_id, pos, px, py, x1, y1, x2, y2, case when power(x2 - x1, 2) + power(y2 - y1, 2) > 0 then greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (power(x2 - x1, 2) + power(y2 - y1, 2)))) else 0 end as t
+  from walk join segs on px between least(x1, x2) - 150 and greatest(x1, x2) + 150 and py between least(y1, y2) - 150 and greatest(y1, y2) + 150),
+  met as (select event_id, step, way_id, pos, x2 - x1 as dx, y2 - y1 as dy, round(sqrt(power(px - (x1 + t * (x2 - x1)), 2) + power(py - (y1 + t * (y2 - y1)), 2)), 6) as dist from raw),
+  best as (select *, round(degrees(acos(least(1, abs(dx * 30 + dy * 12) / (sqrt(dx * dx + dy * dy) * sqrt(1044.0::double))))), 6) as angle from (select *, row_number() over (partition by event_id, step order by dist, way_id, pos) as rn from met where dist <= 150) where rn = 1),
+  sample as (select event_id, step, dist, case when dx * dx + dy * dy > 0 then angle end as angle from walk left join best using (event_id, step))"""
+
+
+@query(with_views(f"""{STEPS} select event_id, round(min(dist), 6) as d_min, round(max(dist), 6) as d_max, {', '.join(f"round(avg(coalesce(dist <= {t}, false)::int), 6) as follow{t}" for t in (50, 75, 100))},
+  round(avg((angle <= 15)::int), 6) as parallel15, round(avg((angle <= 30)::int), 6) as parallel30 from sample group by event_id""", "candidate", "vertex"))
+def follow_parallel_metrics(spark, sf_dir):
+    """Five samples along each candidate's axis against the ways near them."""
+    walk = view(spark, sf_dir, "candidate").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("step"), "mx", "my")
+    walk = walk.select("event_id", "step", (F.col("mx") + F.col("step") * 30).alias("px"), (F.col("my") + F.col("step") * 12).alias("py"), F.lit(30.0).alias("ax"), F.lit(12.0).alias("ay"))
+    samples = metrics.nearest_segments(walk, mapdata.segments(view(spark, sf_dir, "vertex")), 150, ("event_id", "step"))
+    found = metrics.follow_metrics(samples, "event_id")
+    return found.select("event_id", "d_min", "d_max", "follow50", "follow75", "follow100", "parallel15", "parallel30")
+
+
+@query(with_views("select event_id, case when halo is not null and between is not null and ratio_p90 > 0 then round(least(halo, between) / ratio_p90, 6) end as score from candidate", "candidate"))
+def halo_score(spark, sf_dir):
+    return view(spark, sf_dir, "candidate").select("event_id", F.round(metrics.halo_score(F.col("halo"), F.col("between"), F.col("ratio_p90")), 6).alias("score"))
+
+
+CONTAINED = f"""{RING}, {CORNERS}, {SPOT}, {INSIDE}, g as (select grp, ring, avg(inside::int) as f, bool_or(inside) as any_in, bool_or(not inside) as any_out, bool_or(inside and pos = 1) as centre_inside from inside join spot using (spot_id) group by all),
+contained as (select grp, ring, round(f, 6) as inside_frac, centre_inside, any_in and any_out as crosses, f >= 0.5 as majority, f >= 0.9 as near_entire, f >= 0.99 as entire, centre_inside and f >= 0.9 and not (any_in and any_out) as stays_inside, case when ring % 5 = 0 then null else (ring % 60)::double end as distance from g)"""
+
+
+def _contained(spark, sf_dir) -> DataFrame:
+    spots, inside = _inside(spark, sf_dir)
+    rows = metrics.containment(inside.join(spots.select("spot_id", "grp", (F.col("pos") == 1).alias("is_centre")), "spot_id"), "grp", "ring")
+    return rows.withColumn("near_entire", F.col("inside_frac") >= 0.9).withColumn("distance", F.when(F.col("ring") % 5 != 0, (F.col("ring") % 60).cast("double")))
+
+
+@query(f"with {CONTAINED} select * from (" + " union all ".join(f"select '{n}' as predicate, (grp % 3)::bigint as status, count(*) filter (where {c}) as hits, count(*) as n from contained group by all" for n, c in batteries.GOLF.items()) + ")")
+def golf_battery(spark, sf_dir):
+    return batteries.count_predicates(_contained(spark, sf_dir).withColumn("status", F.col("grp") % 3), batteries.GOLF)
+
+
+CLASSES = ", ".join(f"'{c}'" for c in tags.OPEN_AREAS)
+ASKED = ", ".join(f"bool_or(({c})" + (f" and area_class in ({', '.join(repr(k) for k in ks)})" if ks else "") + f") as q{i}" for i, (_, c, ks) in enumerate(batteries.OPEN_AREA))
+
+
+@query(f"with {CONTAINED}, classed as (select *, ([{CLASSES}])[(ring % 12 + 1)::int] as area_class from contained), asked as (select grp, {ASKED} from classed group by grp) select * from (" + " union all ".join(f"select '{n}' as predicate, (grp % 3)::bigint as status, count(*) filter (where q{i}) as hits, count(*) as n from asked group by all" for i, (n, _, _) in enumerate(batteries.OPEN_AREA)) + ")")
+def open_area_battery(spark, sf_dir):
+    classed = _contained(spark, sf_dir).withColumn("area_class", F.element_at(F.array(*map(F.lit, tags.OPEN_AREAS)), (F.col("ring") % 12 + 1).cast("int")))
+    asked, questions = batteries.by_class(classed, "grp", "area_class")
+    return batteries.count_predicates(asked.withColumn("status", F.col("grp") % 3), questions)
+
+
+PERCENTILES = ", ".join(f"round(quantile_cont(v, {q}), 6) as p{round(100 * q)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
+
+
+@query(with_views(f"select tile, count(*) as n, {PERCENTILES} from heat where v > 0 group by tile", "heat"))
+def tile_percentiles(spark, sf_dir):
+    return mapdata.tile_percentiles(view(spark, sf_dir, "heat"))
+
+
+@query(with_views("select task_id, n from (select challenge_id::varchar || '/' || event_id as task_id, count(*) as n from review group by 1) where n > 1", "review"))
+def duplicate_ids(spark, sf_dir):
+    r = view(spark, sf_dir, "review").select(F.concat_ws("/", "challenge_id", "event_id").alias("task_id"))
+    return r.groupBy("task_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("select c_nationkey as region, count(*) as applied, max(c_custkey) as sequence, max(c_custkey * 3 % 1000) as state_at from customer left join (select s_nationkey, max(s_suppkey % 50 * 9) as was from supplier where s_nationkey % 2 = 0 group by 1) on s_nationkey = c_nationkey where was is null or c_custkey * 3 % 1000 > was group by 1")
+def replication_advance(spark, sf_dir):
+    current = base(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").groupBy(F.col("s_nationkey").alias("region")).agg(F.max(F.expr("s_suppkey % 50 * 9")).alias("state_at"))
+    diffs = base(spark, sf_dir, "customer").selectExpr("c_nationkey as region", "c_custkey as sequence", "c_custkey * 3 % 1000 as made_at")
+    joined = mapdata.advance(current, diffs)
+    return joined
+
+
+@query("select conv_id, len(list_distinct(regexp_extract_all(string_agg(text, ' '), '[0-9]+')))::int as n from conversations group by conv_id")
+def distinct_sequences(spark, sf_dir):
+    c = base(spark, sf_dir, "conversations").select("conv_id", F.explode(F.regexp_extract_all("text", F.lit("([0-9]+)"))).alias("number"))
+    n = c.groupBy("conv_id").agg(F.countDistinct("number").cast("int").alias("n"))
+    return base(spark, sf_dir, "conversations").select("conv_id").distinct().join(n, "conv_id", "left").fillna(0, ["n"])
+
+
+@query(with_views("select event_id, 'both' as side from (select event_id from candidate where p90 <= 60 intersect select event_id from review) union all select event_id, 'unreviewed' from (select event_id from candidate where p90 <= 60 except select event_id from review)", "candidate", "review"))
+def set_operations(spark, sf_dir):
+    few, reviewed = view(spark, sf_dir, "candidate").where("p90 <= 60").select("event_id"), view(spark, sf_dir, "review").select("event_id")
+    return few.intersect(reviewed).withColumn("side", F.lit("both")).unionByName(few.subtract(reviewed).withColumn("side", F.lit("unreviewed")))

@@ -119,3 +119,23 @@ def test_formats(spark):
     assert f(text.percent(F.lit(1), F.lit(8))) == "12.5%" and f(text.percent(F.lit(1), F.lit(0))) == ""
     assert f(text.duration(F.lit(3725))) == "01:02:05"
     assert [f(text.infer_layer(F.lit(n))) for n in ("Mallorca Ride", "x run y", "an all", "x api test ride", "none")] == ["ride", "run", "all", None, None]
+
+
+def test_task_names_and_boundary_text(spark):
+    from pathglow.operators.mapdata import read_ring_text
+
+    tasks = ['{"name": " a "}', '{"taskName": "b"}', '{"geometries": {"features": [{"properties": {"x": "1"}}, {"properties": {"candidate_id": "c", "name": "d"}}]}}', '{"geometries": [{"properties": {"id": "e"}}]}', "{}", "broken"]
+    df = spark.createDataFrame([(t,) for t in tasks], "t string")
+    assert [r[0] for r in df.select(text.task_candidate_id(F.col("t"))).collect()] == ["a", "b", "c", "e", None, None]
+    ring = spark.range(1).select(read_ring_text(F.lit("name\n1\n   2.5  39.5\n   2.6E+00 39.6\nEND\nEND\n"))).first()[0]
+    assert ring == [[2.5, 39.5], [2.6, 39.6]]
+
+
+def test_reasons_follow_categories(spark):
+    from pathglow.functions import tags
+
+    df = spark.createDataFrame([("close_to_existing_osm", 12.5, None), ("other", None, 0.25)], "category string, peak_dist double, follow100 double")
+    for c in ("parallel15", "parallel30", "ferry_dist", "constr_dist"):
+        df = df.withColumn(c, F.lit(None).cast("double"))
+    got = [r[0] for r in df.select(tags.remaining_reason(F.col("category"))).collect()]
+    assert got == ["nearest_osm_distance_m=12.5<=50", "uncategorized; peak=; follow100=0.25; parallel15="]
