@@ -41,7 +41,7 @@ def suppressed():
 def per_rule(own: list[Rule], source: str, columns: str, more: str = "") -> str:
     """A scan of ``source`` a rule, all in one statement."""
     quoted = [(r.name.replace("'", "''"), r.family, r.complexity, r.sql()) for r in own]
-    return " union all ".join(f"select '{n}' as rule_name, '{f}' as family, {c} as complexity, {columns.format(hit=h)} from {source}{more}" for n, f, c, h in quoted)
+    return " union all ".join(f"select '{n}' as rule_name, '{f}' as family, {c} as complexity, {columns.format(hit='hit')} from (select *, {h} as hit from {source}){more}" for n, f, c, h in quoted)
 
 
 COUNTS = """count(*) filter (where {hit}) as removed_total, count(*) filter (where {hit} and status = 'Not_An_Issue') as removed_nai,
