@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pathglow.llm import embedding_dedup as embedding
 from pathglow.llm import license_scan as licences
 from pathglow.llm import quality_rules as quality
 
@@ -96,4 +97,26 @@ from texts left join base using (rid) left join extra using (rid)
 """
 
 
-ORACLES = {"op2_quality_rules": _quality(), "op6_warc": _warc(), "op7_license_scan": _licences()}
+def _embeddings() -> str:
+    """Reach over links, from every vector; only rows with distinct ids are told apart."""
+    return f"""
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+), able as (
+  select *, sqrt(list_dot_product(e, e)) as norm from v
+  where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+), pairs as materialized (
+  select a.vec_id as a, b.vec_id as b from able a join able b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+  where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {embedding.THRESHOLD}
+), reach(a, c) as (
+  select vec_id, vec_id from v union select p.b, r.c from reach r join pairs p on p.a = r.a
+), least as (
+  select a as vec_id, min(c) as component_id from reach group by a
+), counted as (
+  select a as vec_id, count(*) as n_links from pairs group by a
+)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept from v left join counted using (vec_id) join least using (vec_id)
+"""
+
+
+ORACLES = {"op1_embedding_near_dedup": _embeddings(), "op2_quality_rules": _quality(), "op6_warc": _warc(), "op7_license_scan": _licences()}
