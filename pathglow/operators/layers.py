@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathglow.operators.shared import written
+
 THRESHOLDS = (10, 25, 50, 75, 100)
 
 
@@ -49,23 +49,35 @@ def same_corridor(forward: DataFrame, backward: DataFrame, low: float, high: flo
     return both.where((F.col("dist") > low) & (F.col("dist") <= high)).groupBy("a", "b").agg(F.min_by("dist", "side").alias("dist"))
 
 
-def farthest_points(rows: DataFrame, group: str, quota: Column, id_col: str = "id", x: str = "x", y: str = "y", sample: int = 2000) -> DataFrame:
+def farthest_points(rows: DataFrame, group: str, quota: Column, id_col: str = "id", x: str = "x", y: str = "y", every: int = 5) -> DataFrame:
     """A quota of rows a group, each the farthest from those chosen before; ties go to the greater id.
 
-    Choosing is sequential within a group, so a group is first thinned to ``sample`` rows by hash; groups within that
-    bound are sampled exactly.
+    The first is the one with the least x, then y, then id; ids are unique within a group. Each round updates every row's
+    squared gap to the points chosen so far and takes the greatest of each group as a partial aggregate, so no group is
+    gathered. The driver holds the chosen rows alone: groups times quota. After each ``every`` rounds the gaps are written.
+    Rows with a null coordinate come last; rows without an id or with a null quota are never chosen.
     """
-    thin = rows.withColumn("_quota", quota).withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(id_col), id_col))).where(F.col("_rn") <= sample)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([x, y, id_col]).reset_index(drop=True)
-        points, ids, chosen = frame[[x, y]].to_numpy(float), frame[id_col].to_numpy(), [0]
-        gap = np.full(len(frame), np.inf)
-        while len(chosen) < min(int(frame["_quota"][0]), len(frame)):
-            gap = np.minimum(gap, np.hypot(*(points - points[chosen[-1]]).T))
-            gap[chosen] = -1
-            chosen.append(max(range(len(frame)), key=lambda i: (gap[i], ids[i])))
-        return frame.loc[chosen, [group, id_col]].assign(rank=range(1, len(chosen) + 1))
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return thin.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {id_col} {kinds[id_col]}, rank int")
+    spark, kinds = rows.sparkSession, {f.name: f.dataType.simpleString() for f in rows.schema}
+    fields = [F.col(group).alias("grp"), F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), quota.cast("int").alias("quota")]
+    now = written(rows.select(*fields, F.lit(None).cast("double").alias("gap")).where("quota > 0 and id is not null"), "gaps")
+    kind = f"grp {kinds[group]}, ids array<{kinds[id_col]}>, fresh array<struct<x: double, y: double>>"
+    first = F.struct((F.col("x").isNull() | F.col("y").isNull()).alias("none"), "x", "y", "id")
+    found = now.groupBy("grp").agg(F.min_by(F.struct("id", "x", "y"), first).alias("best"), F.max("quota").alias("quota")).collect()
+    most, chosen, fresh = {r["grp"]: r["quota"] for r in found}, {}, {}
+    while found:
+        for r in found:
+            chosen.setdefault(r["grp"], []).append(r["best"]["id"])
+            fresh.setdefault(r["grp"], []).append((r["best"]["x"], r["best"]["y"]))
+        todo = [(r["grp"], chosen[r["grp"]], fresh.get(r["grp"], [])) for r in found if len(chosen[r["grp"]]) < most[r["grp"]]]
+        if not todo:
+            break
+        near = F.array_min(F.transform("fresh", lambda p: F.nanvl((F.col("x") - p["x"]) ** 2 + (F.col("y") - p["y"]) ** 2, F.lit(None))))
+        held = spark.createDataFrame(todo, kind).withColumnRenamed("grp", "_grp")
+        left = now.join(F.broadcast(held), F.col("grp").eqNullSafe(F.col("_grp"))).where(~F.array_contains("ids", F.col("id")))
+        left = left.select("grp", "id", "x", "y", "quota", F.least("gap", near).alias("gap"))
+        if max(map(len, fresh.values())) >= every:
+            now, fresh = written(left, "gaps"), {}
+            left = now
+        found = left.groupBy("grp").agg(F.max_by(F.struct("id", "x", "y"), F.struct("gap", "id")).alias("best")).collect()
+    picked = [(g, i, n) for g, ids in chosen.items() for n, i in enumerate(ids, 1)]
+    return spark.createDataFrame(picked, f"{group} {kinds[group]}, {id_col} {kinds[id_col]}, rank int")

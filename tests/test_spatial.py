@@ -89,6 +89,24 @@ def test_farthest_points(spark):
     assert got == {("a", 0, 1), ("a", 4, 2), ("a", 3, 3), ("b", 9, 1)}
 
 
+def test_farthest_points_of_large_groups_like_a_loop(spark):
+    rng = np.random.default_rng(5)
+    data = [(g, i, float(x), float(y)) for g, n in (("a", 6000), ("b", 2500), (None, 7)) for i, (x, y) in enumerate(rng.integers(0, 400, (n, 2)).tolist())]
+
+    def loop(own, quota):
+        chosen = [min(own, key=lambda p: (p[2], p[3], p[1]))]
+        while len(chosen) < min(quota, len(own)):
+            left = [p for p in own if p not in chosen]
+            chosen.append(max(left, key=lambda p: (min((p[2] - c[2]) ** 2 + (p[3] - c[3]) ** 2 for c in chosen), p[1])))
+        return {(p[0], p[1], n) for n, p in enumerate(chosen, 1)}
+
+    df = spark.createDataFrame(data, "g string, id long, x double, y double")
+    quota = F.when(F.col("g") == "a", 13).otherwise(9)
+    got = {tuple(r) for r in layers.farthest_points(df, "g", quota).collect()}
+    assert got == set().union(*(loop([p for p in data if p[0] == g], q) for g, q in (("a", 13), ("b", 9), (None, 9))))
+    assert layers.farthest_points(df.limit(0), "g", quota).count() == 0
+
+
 def test_tiles_of_area(spark):
     every = mapdata.tiles_of_area(3, 5, 6, 9, spark).collect()
     assert len(every) == 20 and [r["y"] for r in every[:2]] == [9, 8]
