@@ -7,7 +7,8 @@ as innocent, and a term near many of them gets little weight for misspellings, s
 one. A logistic curve turns a document's mass into a score.
 
 Scoring. Every word runs through the intersection of the lexicon's trie with the Levenshtein automaton of ``EDITS``
-edits, made deterministic as it is used. Each find is weighed by a window of words around it: quotation marks and
+edits, made deterministic as it is used; a stem is met by any word of which a beginning lies within these edits of it.
+Terms shorter than ``FUZZY_LENGTH`` are met exactly. Each find is weighed by a window of words around it: quotation marks and
 reporting verbs make it a quotation, direct address makes it abuse. The weighed finds of a document add up to its mass.
 
 Defined cases: a null or empty text scores as a text without finds; if no row is labelled, or all alike, every score is 0;
@@ -71,6 +72,7 @@ class LexiconAutomaton:
 
     def _reset(self) -> None:
         self.states: list[tuple[tuple[int, int], ...]] = []
+        self.stem_in: list[tuple[int, int] | None] = []
         self.number: dict[tuple, int] = {}
         self.steps: list[dict[str, int]] = []
         self.start = self._state({0: 0})
@@ -91,6 +93,7 @@ class LexiconAutomaton:
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
+            self.stem_in.append(min(((edits, self.stem_at[n]) for n, edits in key if n in self.stem_at and len(self.terms[self.stem_at[n]][0]) >= FUZZY_LENGTH), default=None))
             self.steps.append({})
         return self.number[key]
 
@@ -109,10 +112,10 @@ class LexiconAutomaton:
         return found
 
     def find(self, word: str) -> int:
-        """0, or 1 + EDITS-ary code of the term met with the fewest edits."""
+        """0, or 1 + EDITS-ary code of the term met with the fewest edits; a stem that begins the word comes before all."""
         if len(self.states) > self.MOST_STATES:
             self._reset()
-        state, node = self.start, 0
+        state, node, stem = self.start, 0, None
         for letter in word:
             if node is not None:  # the exact path, on which stems are met
                 node = self.children[node].get(letter)
@@ -122,8 +125,12 @@ class LexiconAutomaton:
             after = self.steps[state].get(letter)
             state = self._step(state, letter) if after is None else after
             if state == self.DEAD:
-                return 0
-        best = min(((edits, self.word_at[n]) for n, edits in self.states[state] if n in self.word_at and (edits == 0 or len(self.terms[self.word_at[n]][0]) >= FUZZY_LENGTH)), default=None)
+                break
+            near = self.stem_in[state]
+            if near and (stem is None or near < stem):
+                stem = near
+        whole = () if state == self.DEAD else ((edits, self.word_at[n]) for n, edits in self.states[state] if n in self.word_at and (edits == 0 or len(self.terms[self.word_at[n]][0]) >= FUZZY_LENGTH))
+        best = min([*whole, *([stem] if stem else [])], default=None)
         return 0 if best is None else 1 + best[1] * (EDITS + 1) + best[0]
 
 
@@ -235,7 +242,8 @@ def _lexicon(counted: DataFrame, base: float) -> list[tuple[str, bool, float]]:
         best = max((t for w, t in whole.items() if w.startswith(word)), default=0)
         if n >= STEM_GAIN * best and not any(s.startswith(word) or word.startswith(s) for s in stems):
             stems.append(word)  # it says more than any one word that begins with it
-    words = [w for w in weight if not w.endswith("*") and not any(w.startswith(s) for s in stems)]
+    fuzzy = [s for s in stems if len(s) >= FUZZY_LENGTH]  # words that begin with a shorter stem stay, for their misspellings
+    words = [w for w in weight if not w.endswith("*") and not any(w.startswith(s) for s in fuzzy)]
     return [(s, True, weight[s + "*"]) for s in stems] + [(w, False, weight[w]) for w in words]
 
 

@@ -132,6 +132,24 @@ def test_automaton_like_distances(word):
         assert divmod(code - 1, toxicity.EDITS + 1) == (best[1], best[0])
 
 
+STEMS = (("achlic", True), ("stem", True), ("stemming", False), ("grubb", True), ("grabs", False), ("loser", False))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.tuples(st.sampled_from([t for t, _ in STEMS]), st.integers(0, 8), st.sampled_from(["", "a", "1", "lo"]), st.sampled_from(["", "her", "ing", "b"])).map(lambda x: x[0][: x[1]] + x[2] + x[0][x[1] + 1 :] + x[3]))
+def test_automaton_meets_misspelt_stems_like_distances(word):
+    exact = [(len(t), i) for i, (t, stem) in enumerate(STEMS) if stem and word.startswith(t)]
+    near = [(min(distance(word[:k], t) for k in range(len(word) + 1)) if stem else distance(word, t), i) for i, (t, stem) in enumerate(STEMS)]
+    best = (0, min(exact)[1]) if exact else min(((d, i) for d, i in near if d <= (toxicity.EDITS if len(STEMS[i][0]) >= toxicity.FUZZY_LENGTH else 0)), default=None)
+    assert toxicity.LexiconAutomaton(STEMS).find(word) == (0 if best is None else 1 + best[1] * (toxicity.EDITS + 1) + best[0])
+
+
+def test_misspelt_stem_adds_to_the_mass():
+    learnt = toxicity.Model(STEMS, (1.0,) * len(STEMS), frozenset({"achtlicht"}), (0.5,) * len(STEMS), -3.0, 5.0)
+    exact, misspelt, innocent = toxicity.masses(pa.array(["an achlicher one", "an achl1cher one", "an achtlicht one"], pa.large_string()), learnt).tolist()
+    assert 0 < misspelt < exact and innocent == 0
+
+
 def model(**more) -> toxicity.Model:
     return toxicity.Model(TERMS, (1.0,) * len(TERMS), frozenset({"closer"}), (0.5,) * len(TERMS), -3.0, 5.0, **more)
 
