@@ -34,7 +34,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: that with the least id."""
+    """Keeps one document of each group of near copies: that with the least id.
+
+    Near copies are those of the op9 contract, three-word shingles and fingerprints that differ in 2 bits at most, not
+    those of similarity 0.8 over five words.
+    """
     return keep_one_of_each_group(docs)
 
 

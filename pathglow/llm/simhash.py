@@ -155,13 +155,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: int = 2) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its group, each id once; rows with a null id all stay.
 
     An id that stands for several texts stays, once, if it is the least of the group of any of them. Only the ids that
-    go are joined back, so texts are shuffled only if these are too many to be broadcast.
+    go are joined back, so texts are shuffled only if these are too many to be broadcast. Shingles of ``width`` words and
+    ``threshold`` differing bits are by default those of the op9 contract.
     """
-    groups = simhash_components(docs, id_col, text_col).where(F.col(id_col).isNotNull())
+    groups = simhash_components(docs, id_col, text_col, width, threshold).where(F.col(id_col).isNotNull())
     verdict = groups.groupBy(F.col(id_col).alias("judged")).agg(F.max(F.col(id_col) == F.col("component_id")).alias("stays"), F.count("*").alias("copies"))
     verdict = written(verdict.where("not stays or copies > 1"), "verdicts")
     rows = docs.join(verdict.where("not stays"), F.col(id_col) == F.col("judged"), "left_anti")

@@ -155,3 +155,14 @@ def test_dense_group_returns_no_pairs(spark):
     rows = [(i, (base + rng.normal(size=64) * 0.02).tolist(), 1) for i in range(400)]
     got = embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tile=150).collect()
     assert len(got) == 400 and {(r["n_links"], r["component_id"]) for r in got} == {(399, 0)}
+
+
+def test_width_and_threshold_of_the_group_filter(spark):
+    rng = np.random.default_rng(3)
+    words = rng.choice([f"w{i}" for i in range(500)], 120).tolist()
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:60], "new", *words[61:]])), (3, " ".join(reversed(words)))], "doc_id long, text string")
+    for width, threshold in ((3, 0), (5, 2), (1, 2)):
+        groups = {r["doc_id"]: r["component_id"] for r in simhash_components(df, width=width, threshold=threshold).collect()}
+        kept = {r["doc_id"] for r in keep_one_of_each_group(df, width=width, threshold=threshold).collect()}
+        assert kept == {i for i, c in groups.items() if i == c}
+        assert (3 in kept) == (width > 1)  # single words do not tell an order from its reverse
