@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from pathglow.llm import embedding_dedup
 from pathglow.llm.common import table
 from pathglow.llm.components import connected_components
 from pathglow.llm.embedding_dedup import embedding_components
@@ -123,8 +124,8 @@ def embeddings(spark, data):
     return df.unionByName(spark.createDataFrame(extra + first + near, df.schema))
 
 
-@pytest.mark.parametrize("tile", [4096, 25])
-def test_embeddings_like_all_pairs(spark, data, tile):
+@pytest.mark.parametrize("part_rows", [None, 25])
+def test_embeddings_like_all_pairs(spark, data, part_rows):
     df = embeddings(spark, data)
     rows = df.collect()
     links, groups = {r["vec_id"]: 0 for r in rows}, Groups({r["vec_id"]: r["vec_id"] for r in rows})
@@ -139,11 +140,42 @@ def test_embeddings_like_all_pairs(spark, data, tile):
             if a != b:
                 links[ids[a]] += 1
                 groups.join(ids[a], ids[b])
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_components(df, tile=tile).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_components(df, part_rows=part_rows).collect()}
     assert got == {i: (links[i], groups.find(i), groups.find(i) == i) for i in links}
     assert sum(links.values()) > 0
 
 
+@pytest.mark.parametrize(("rows", "cell", "sides"), [(500, 256, 1), (1500, 8, 1), (1500, 8, 2), (1500, 100, 2)])
+def test_a_tile_like_all_pairs(monkeypatch, rows, cell, sides):
+    """Cells of few rows, cosines on both sides of the threshold, a dense group, a looser one, and weights."""
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", cell)
+    rng = np.random.default_rng(rows + cell + sides)
+    x, k, centre = rng.normal(size=(rows, 64)), rows // 8, rng.normal(size=64)
+    x[:k] = x[k : 2 * k] + rng.normal(size=(k, 64)) * rng.uniform(0.1, 0.45, (k, 1))
+    x[2 * k : 4 * k] = centre + rng.normal(size=(2 * k, 64)) * 0.06
+    x[4 * k : 5 * k] = centre + rng.normal(size=(k, 64)) * 0.25
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    node, weight = rng.permutation(3 * rows)[:rows].astype(np.int64), rng.integers(1, 4, rows).astype(np.int64)
+    side = np.sort(rng.integers(0, sides, rows))
+    linked = x @ x.T >= 0.93
+    np.fill_diagonal(linked, False)
+    if sides == 2:
+        linked &= side[:, None] != side[None, :]
+    groups = Groups()
+    for a, b in zip(*np.nonzero(linked), strict=True):
+        groups.join(int(node[a]), int(node[b]))
+    got = {a: (b, c) for a, b, c in zip(*(c.tolist() for c in embedding_dedup.tile_links(node, weight, side, x, 0.93)), strict=True)}
+    assert got == {n: (int(s), groups.find(n)) for n, s in zip(node.tolist(), (linked * weight).sum(1), strict=True) if s}
+    assert len(got) > rows // 4
+
+
+def test_components_of_any_size(spark):
+    """Squares of these components overflow or vanish in double precision."""
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1e200], 1), (3, [2e200, 2.1e200], 1), (4, [1e-200, 1e-200], 1), (5, [-1e200, 1e200], 1), (6, [5e-324, 0.0], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
 def test_embeddings_of_nothing(spark, data):
     assert embedding_components(table(spark, data, "embeddings").limit(0)).count() == 0
 
@@ -153,7 +185,7 @@ def test_dense_group_returns_no_pairs(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=64)
     rows = [(i, (base + rng.normal(size=64) * 0.02).tolist(), 1) for i in range(400)]
-    got = embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tile=150).collect()
+    got = embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), part_rows=150).collect()
     assert len(got) == 400 and {(r["n_links"], r["component_id"]) for r in got} == {(399, 0)}
 
 
