@@ -39,6 +39,54 @@ class ShortMemo(Memo):
         return value
 
 
+#: Letters and numbers that Unicode 16.0 adds to 15.1, and capitals that 16.0 and 17.0 add, with the
+#: distance to their small letters. The tokenizers know these versions.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+NEW_CAPITALS = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+]
+SMALL_LETTER = {c: c + shift for first, last, shift in NEW_CAPITALS for c in range(first, last + 1)}
+
+
+@lru_cache
+def letters_and_numbers() -> tuple[str, str, str]:
+    """Letters and numbers as ranges of a regular expression, and those characters on which the ``regex`` module differs.
+
+    It knows a later Unicode than the tokenizers, in which more characters are letters.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x40000)]))  # no letters or numbers lie beyond
+    known = [unicodedata.category(c)[0] for c in every]
+    ours = [{c for c, k in zip(every, known, strict=True) if k == kind} | {chr(c) for a, b in new for c in range(a, b + 1)} for kind, new in (("L", NEW_LETTERS), ("N", NEW_NUMBERS))]
+    theirs = [set(regex.findall(rf"\p{{{kind}}}", every)) for kind in "LN"]
+    return (*map(_ranges, ours), _ranges((ours[0] ^ theirs[0]) | (ours[1] ^ theirs[1])))
+
+
+def _ranges(characters: set[str]) -> str:
+    codes = np.sort(np.fromiter(map(ord, characters), np.int64, len(characters)))
+    runs = np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1)
+    return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs if len(r))
+
+
+class Pattern:
+    """A regular expression over letters and numbers; texts with characters on which ``regex`` differs take a slower one."""
+
+    def __init__(self, pattern: str):
+        letters, numbers, odd = letters_and_numbers()
+        self.plain = regex.compile(pattern.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}"))
+        self.exact = regex.compile(pattern.replace("[{L}]", f"[{letters}]").replace("[{N}]", f"[{numbers}]").replace("{L}", letters).replace("{N}", numbers))
+        self.odd = regex.compile(f"[{odd}]") if odd else None
+
+    def findall(self, text: str) -> list[str]:
+        exact = self.odd is not None and not text.isascii() and self.odd.search(text)
+        return (self.exact if exact else self.plain).findall(text)
+
+
 @lru_cache
 def byte_symbols() -> list[str]:
     """The character that stands for each byte: printable bytes for themselves, the others for 256 and up in order."""
@@ -128,7 +176,7 @@ class ForcedBoundaryEncoder:
                 self.joinable[a][b] = 1
         self.special = {t: array("I", [i]).tobytes() for t, i in special.items()}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
-        self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
+        self.word = Pattern(rf"'s|'t|'re|'ve|'m|'ll|'d|[{{L}}]+|[{{N}}]|[^{SPACES}{{L}}{{N}}]+")
         self.inner_memo = ShortMemo(lambda f: self._encode(f, last=False), 100_000)
         self.final_memo = ShortMemo(lambda f: self._encode(f, last=True), 100_000)
         self.words = ShortMemo(self._word, 400_000)
@@ -156,6 +204,8 @@ class ForcedBoundaryEncoder:
             text = unicodedata.normalize("NFC", text)
         # one character at a time: str.lower() would give a word-final sigma a form of its own
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        if not text.isascii():
+            text = text.translate(SMALL_LETTER)
         if text.isalpha():  # letters alone, or letters and a mark, need no regular expression
             return self.words[text]
         if text[-1:] in MARKS and text[:-1].isalpha():
@@ -188,7 +238,7 @@ class TokenCounter:
         self.symbols = [vocab[s] for s in byte_symbols()]
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special)))
-        self.token = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+        self.token = Pattern(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{{L}}]+| ?[{{N}}]+| ?[^{SPACES}{{L}}{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
         #: Other white space than ASCII's, and what only some engines take for it: such texts go the plain way.
         self.odd = regex.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
         self.coarse = regex.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
