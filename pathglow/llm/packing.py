@@ -2,12 +2,13 @@
 
 Every partition keeps a fixed number of open windows. A document longer than a window first gives off full windows; what
 is left goes to the open window that it fills best. If none has room, the fullest is emitted and a new one is opened.
-The windows still open at the end of a partition are leftovers: as whole items they are merged with those of other
-partitions, best fit by decreasing size, in tasks that hold a bounded number of windows each.
+The windows still open at the end of a partition are leftovers. They are merged with those of other partitions in tasks
+that hold a bounded number of windows each: laid end to end and cut every ``capacity`` ids, so that a task leaves one
+sequence short at most, and a piece is cut in two at most.
 
 Defined cases: a null text counts as empty, and its document is the end mark alone; documents of the size of a window
-fill one exactly; repeated rows are packed as often as they occur; null ids are carried along; an empty table gives no
-rows; columns other than the id and the text are ignored.
+fill one exactly; repeated rows are packed as often as they occur; null ids are carried along, and ids may be of any type;
+an empty table gives no rows; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -65,30 +66,20 @@ class OpenWindows:
         return [p for room, window in self.room for p in self.emit(room, window, is_open=True)]
 
 
-def _merge(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
-    """Best fit by decreasing size: for each item the item that opens its bin, and its offset there."""
-    room: list[tuple[int, int]] = []
-    placed: list[tuple[int, int]] = [(0, 0)] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        at = bisect_left(room, (sizes[i], -1))
-        left, leader = room.pop(at) if at < len(room) else (capacity, i)
-        placed[i] = leader, capacity - left
-        insort(room, (left - sizes[i], leader))
-    return placed
-
-
 def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, open_windows: int = OPEN_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids by the tokenizer at ``path`` and then ``end_id``. start counts its ids before the piece; offset
-    the sequence's ids before it. The crc is taken while the ids are at hand; by start and length they can be had again.
+    the sequence's ids before it. Only leftovers, a bounded number of windows a partition, keep their ids until they are
+    merged; the others' crc is taken while the ids are at hand, and by start and length they can be had again.
     """
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = OpenWindows(TaskContext.get().partitionId() << 36, capacity, open_windows)
-        encode = encoder(path).encode
+        encode, kind = encoder(path).encode, pa.null()
         for batch in batches:
+            kind = batch.schema.field("id").type
             for part in parts(batch, "text"):
                 rows: list[list] = []
                 for key, text in zip(part.column("id").to_pylist(), text_column(part, "text").to_pylist(), strict=True):
@@ -97,44 +88,49 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY,
                     for start in range(0, total, capacity):
                         own = ids[4 * start : 4 * (start + capacity)]
                         rows += windows.place([key, start, len(own) // 4, own, total], len(own) // 4)
-                yield from batches_of(rows)
-        yield from batches_of(windows.leftovers())
+                yield from batches_of(rows, kind)
+        yield from batches_of(windows.leftovers(), kind)
 
-    kind = docs.schema[id_col].dataType
     names = ["id", *(c.strip().split(" ")[0] for c in PIECE.split(","))]
-    types = [None, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
-    def batches_of(rows: list[list]) -> Iterator[pa.RecordBatch]:
+    def batches_of(rows: list[list], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(rows), 2000):
             columns = list(zip(*rows[at : at + 2000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [kind, *types], strict=True)], names)
 
-    if kind.simpleString() == "bigint":
-        types[0] = pa.int64()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pieces = slim.mapInArrow(run, f"id {kind.simpleString()}, {PIECE}").withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = slim.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, {PIECE}")
+    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).withColumn("ids", F.when(F.col("is_open"), F.col("ids")))
     pieces = written(pieces, "pieces")
-    merged = _merged_leftovers(pieces.where("is_open and offset = 0").select("window", "fill"), capacity)
-    placed = pieces.where("is_open").join(merged, "window")
+    merged = _merged_leftovers(pieces.where("is_open and offset = 0").select("window", "fill"))
+    placed = pieces.where("is_open").join(merged, "window").withColumn("at", F.col("base") + F.col("offset"))
+    first = F.least("length", capacity - F.col("at") % capacity)
+    cut = placed.withColumn("part", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("skip"), first.alias("n")), F.struct(first.alias("skip"), (F.col("length") - first).alias("n"))))).where("part.n > 0")
+    skip, n = F.col("part.skip"), F.col("part.n")
     columns = [F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens"]
     return (
         pieces.where("not is_open").select(*columns, F.col("window").alias("sequence_id"), "offset")
-        .unionByName(placed.select(*columns, F.col("leader").alias("sequence_id"), (F.col("offset") + F.col("shift")).alias("offset")))
+        .unionByName(cut.select(
+            F.col("id").alias(id_col), (F.col("start") + skip).alias("start"), n.alias("length"), F.crc32(F.substring("ids", 4 * skip + 1, 4 * n)).alias("ids_crc32"), "doc_tokens",
+            (F.col("task") + F.floor((F.col("at") + skip) / capacity)).alias("sequence_id"), ((F.col("at") + skip) % capacity).alias("offset"),
+        ))
     )
 
 
-def _merged_leftovers(leftovers: DataFrame, capacity: int) -> DataFrame:
-    """window, leader (the window whose sequence it joins) and shift, for the open windows of all partitions."""
+def _merged_leftovers(leftovers: DataFrame) -> DataFrame:
+    """window, task and base, for the open windows of all partitions: the ids before it among those of its task.
+
+    A task's number is the first of its sequences', above those of all windows.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = list(frames)
         if not whole:
             return
         frame = pd.concat(whole).sort_values("window")
-        window = frame["window"].tolist()
-        placed = _merge(frame["fill"].tolist(), capacity)
-        yield pd.DataFrame({"window": window, "leader": [window[i] for i, _ in placed], "shift": [s for _, s in placed]})
+        yield pd.DataFrame({"window": frame["window"], "task": (1 << 62) + (TaskContext.get().partitionId() << 36), "base": frame["fill"].cumsum() - frame["fill"]})
 
     tasks = max(1, -(-leftovers.count() // MERGED_TOGETHER))
     dealt = leftovers.repartition(tasks, F.xxhash64("window"))
-    return written(dealt.mapInPandas(run, "window long, leader long, shift long"), "merged")
+    return written(dealt.mapInPandas(run, "window long, task long, base long"), "merged")
