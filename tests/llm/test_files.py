@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -109,20 +110,57 @@ def test_any_split_reads_each_record_once(spark, data):
         assert gzip.decompress(f.read()).startswith(b"WARC/1.1\r\n")
 
 
-def test_false_magic_and_damage():
-    def member(i: int) -> bytes:
-        packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-        return packer.compress(warc._record(str(i), "u", b"x" * i * 300, None)) + packer.flush()
+def packed(record: bytes) -> bytes:
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
+
+
+def read(data: bytes, step: int) -> list:
+    return [m for s in range(0, len(data), step) for m in warc.members(pa.BufferReader(data), s, min(s + step, len(data)))]
 
-    good = [member(i) for i in range(6)]
+
+def test_false_magic_and_damage():
+    good = [packed(warc._record(warc._urn(i), "u", b"x" * i * 300, None)) for i in range(6)]
     broken = bytearray(good[3])
     broken[20:24] = b"\xff\xff\xff\xff"
-    data = b"noise\x1f\x8b\x08" + good[0] + gzip.compress(b"not an archive") + good[1] + bytes(broken) + good[4] + good[5][:-9]
-    found = [warc._parsed(m)[1] for m in warc.members(pa.BufferReader(data), 0, len(data))]
-    assert found == ["0", "1", "4"]
+    parts = [b"noise\x1f\x8b\x08", good[0], gzip.compress(b"not an archive"), good[1], bytes(broken), good[4], good[5][:-9]]
+    data, places = b"".join(parts), np.cumsum([0, *map(len, parts)]).tolist()
+    found = read(data, len(data))
+    assert [warc._parsed(m)[1] for _, m, _ in found if m is not None] == ["0", "1", "4"]
+    errors = [(at, e) for at, _, e in found if e]
+    assert (0, "no member here") in errors and (places[2], "no member here") in errors and (places[6], "damaged or cut off") in errors
+    assert {at for at, _ in errors} == {0, places[2], places[4], places[6]}
     for step in (1, 13, 100):
-        split = [warc._parsed(m)[1] for s in range(0, len(data), step) for m in warc.members(pa.BufferReader(data), s, min(s + step, len(data)))]
-        assert split == found
+        assert read(data, step) == found
+
+
+def test_gzip_heads_of_any_length():
+    """A head may hold a name as long as it likes before the text begins."""
+    raw = zlib.compressobj(1, zlib.DEFLATED, -15)
+    text = warc._record(warc._urn("x"), None, b"abc", None)
+    body = raw.compress(text) + raw.flush()
+    long = b"\x1f\x8b\x08\x08" + bytes(6) + b"n" * 100_000 + b"\x00" + body + zlib.crc32(text).to_bytes(4, "little") + len(text).to_bytes(4, "little")
+    data = long + packed(warc._record(warc._urn("y"), None, b"", None)) + long
+    for step in (len(data), 50_000, 999):
+        assert [warc._parsed(m)[1] for _, m, e in read(data, step)] == ["x", "y", "x"]
+
+
+def test_wrong_digests_and_lengths_are_rows():
+    record = warc._record(warc._urn(1), "u", b"payload", None)
+    assert warc._parsed(record)[6] is None
+    assert warc._parsed(record.replace(b"payload\r\n\r\n", b"paylaod\r\n\r\n"))[6] == "payload does not have its digest"
+    assert warc._parsed(record[:-8])[6] == "lengths do not hold"
+
+
+def test_ids_and_addresses(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([("", None, "a"), (None, None, "b"), ("x/y z", None, "a"), ("<k>", "u", None)], "page_id string, url string, html string")
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()), key=str)
+    assert got == sorted([("", "revisit", "x/y z"), (None, "response", None), ("x/y z", "response", None), ("<k>", "response", None)], key=str)
+    for folder in (str(tmp_path / "a b"), f"file:{tmp_path}/c", f"file://{tmp_path}/d"):
+        manifest = warc.write_warc(pages, folder)
+        assert warc.read_warc(manifest, folder).where("error is null").count() == 4
+    monkeypatch.setattr(warc, "pafs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=lambda u: u)))
+    assert [warc._opened(u) for u in ("s3a://b/k", "s3n://b/k", "hdfs://n:1/k")] == ["s3://b/k", "s3://b/k", "hdfs://n:1/k"]
 
 
 def test_pipeline(spark, data):
