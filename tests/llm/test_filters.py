@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import string
 
 import numpy as np
@@ -70,8 +72,6 @@ def test_long_repeats_are_rejected(spark):
 
 
 def plain_licences(text: str | None) -> tuple:
-    import re
-
     low = (text or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
     w = re.findall(license_scan.WORD, low)
     places, base, extra = [], set(), {}
@@ -189,3 +189,77 @@ def test_toxicity_of_odd_documents(spark, odd_documents, no_documents):
     few = spark.createDataFrame([(3, 1, 1), (3, 1, 0), (4, 1, 0), (5, None, None), (None, 1, 1)], none.schema)
     assert all(0 <= r["score"] <= 1 for r in toxicity.toxicity_scores(odd_documents, few).collect())
     assert toxicity.toxicity_scores(no_documents, few).count() == 0
+
+
+def plain_find(word: str, terms) -> tuple[int, int] | None:
+    """Edits and number of the term that a normal word meets, by plain distances."""
+    exact = [(len(t), i) for i, (t, stem) in enumerate(terms) if stem and word.startswith(t)]
+    if exact:
+        return 0, min(exact)[1]
+    best = []
+    for i, (t, stem) in enumerate(terms):
+        most = toxicity.EDITS if len(t) >= toxicity.FUZZY_LENGTH else 0
+        ends = range(max(0, len(t) - toxicity.EDITS), min(len(word), len(t) + toxicity.EDITS) + 1) if stem else [len(word)]
+        d = min((distance(word[:k], t) for k in ends if abs(k - len(t)) <= toxicity.EDITS), default=9)
+        if d <= most and not (stem and most == 0):
+            best.append((d, i))
+    return min(best, default=None)
+
+
+def plain_score(text: str | None, learnt: toxicity.Model, memo: dict) -> float:
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    mass = 0.0
+    for place, raw in enumerate(words):
+        word = raw.strip(toxicity.EDGES).lower()
+        if word not in memo:
+            memo[word] = plain_find(word, learnt.terms)
+        if memo[word] is None or memo[word][0] and word in learnt.innocent:
+            continue
+        edits, term = memo[word]
+        before, after = words[max(0, place - toxicity.WINDOW) : place], words[place + 1 : place + 1 + toxicity.WINDOW]
+        opened = any(w[0] in toxicity.QUOTES for w in [*before, raw])
+        closed = any(w.rstrip(".,!?;:")[-1:] in toxicity.QUOTES for w in [raw, *after] if w.rstrip(".,!?;:"))
+        near = {w.strip(toxicity.EDGES).lower() for w in [*before, raw, *after]}
+        quoted = opened and closed or bool(near & toxicity.REPORTING) and (opened or closed)
+        weight = toxicity.QUOTED if quoted else toxicity.ADDRESSED if near & toxicity.ADDRESS else 1.0
+        mass += learnt.weights[term] * (learnt.edit_weights[term] if edits else 1.0) * weight
+    return 1 / (1 + math.exp(-(learnt.intercept + learnt.slope * math.log1p(mass))))
+
+
+def test_scores_like_plain_distances(spark, data):
+    """The whole query over a small table, with the terms that it learns there and some that it might have learnt."""
+    rng = np.random.default_rng(2)
+    bad = ["vileness", "v1leness", "grubbity", "grubbitys", "grubity", "mokester", "mokesters", "\"vileness\"", "Mokester,"]
+    made = [(i, " ".join(rng.permutation([*rng.choice([f"word{j}" for j in range(200)], 30), *rng.choice(["you", "said", '"', "closer"], 2), *(rng.choice(bad, 2) if i % 4 == 0 else [])]))) for i in range(600)]
+    docs = spark.createDataFrame([*made, (-1, None), (-2, ""), (-3, "vileness mokester you")], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    learnt = toxicity.fit(docs, known)
+    assert any(stem for _, stem in learnt.terms) or len(learnt.terms) > 3
+    memo: dict = {}
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, known).collect()}
+    assert all(abs(got[r["doc_id"]] - plain_score(r["text"], learnt, memo)) < 1e-9 for r in docs.collect()) and len(set(got.values())) > 5
+    docs = table(spark, data, "documents")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    frequent = sorted({w for t in rows.values() for w in (t or "").lower().split() if w.isalpha() and 5 <= len(w) <= 9})[::400]
+    more = tuple((w[:-1] + "q", False) for w in frequent) + tuple((w[:4] + "x", True) for w in frequent[:4])
+    other = toxicity.Model(more, (0.9,) * len(more), frozenset(frequent[:3]), (0.4,) * len(more), -2.0, 3.0)
+    memo = {}
+    scored = {r["doc_id"]: r["score"] for r in docs.select("doc_id", toxicity.score_of(docs["text"], other).alias("score")).collect()}
+    assert all(abs(scored[i] - plain_score(t, other, memo)) < 1e-9 for i, t in rows.items()) and len(set(scored.values())) > 2
+
+
+def test_sizes_of_the_model_are_bounds_that_speak(spark):
+    words = ["vileness", "grubbity", "mokester"]
+    docs = spark.createDataFrame([(i, f"plain text number {i} " + " ".join(words if i % 4 == 0 else ["fine"])) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    assert len(toxicity.fit(docs, labels).terms) >= 3
+    with pytest.warns(UserWarning, match="lexicon"):
+        assert len(toxicity.fit(docs, labels, lexicon_size=1).terms) == 1
+
+
+def test_ids_that_repeat_learn_once(spark):
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(0, "b"), (0, "a"), (0, "a"), (1, "c"), (1, None)], "doc_id long, text string")
+    rows = toxicity._training(docs, labels, 10, "doc_id", "text").collect()
+    held = {r["doc_id"] for r in docs.select("doc_id", toxicity.held_out("doc_id").alias("h")).where("h").collect()}
+    assert sorted((r["text"], r["toxic"]) for r in rows) == [x for i, x in enumerate([("a", 1), ("c", 0)]) if i not in held]
