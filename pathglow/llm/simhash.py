@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathglow.llm.common import drop_held, parts, split_words, text_column, written
@@ -143,31 +143,50 @@ def fingerprint_links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     return homes.join(replicas, (homes.anchor == replicas.anchor) & near).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: int = 2) -> DataFrame:
-    """Columns ``id_col``, fingerprint (16 hex digits), component_id (least id reachable over links)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: int) -> DataFrame:
+    """``id_col``, fp, root (a fingerprint that stands for the group) and component_id, one row per document."""
     prints = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     member = connected_components(fingerprint_links(nodes.select("fp"), threshold))
     rooted = nodes.join(member, nodes.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
+    return prints.join(named, "fp").select(id_col, "fp", "root", "component_id")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: int = 2) -> DataFrame:
+    """Columns ``id_col``, fingerprint (16 hex digits), component_id (least id reachable over links)."""
+    return _grouped(docs, id_col, text_col, width, threshold).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _fingerprint_of(text: Column, width: int) -> Column:
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        found = [_fingerprints(text_column(p, "text"), width) for p in parts(batch, "text")]
+        return pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
+
+    return run(text)
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group, each id once; rows with a null id all stay.
+    """One row of ``docs`` for each group, one that has the least id; rows with a null id all stay.
 
-    An id that stands for several texts stays, once, if it is the least of the group of any of them. Only the ids that
-    go are joined back, so texts are shuffled only if these are too many to be broadcast. Shingles of ``width`` words and
-    ``threshold`` differing bits are by default those of the op9 contract.
+    If an id stands for several texts, each of its rows is judged by its own group, so no group is lost; of the rows of a
+    group that share the least id one with the least text stays. Only the ids that go or that repeat are joined back, so
+    texts are shuffled only if these are too many to be broadcast. Shingles of ``width`` words and ``threshold``
+    differing bits are by default those of the op9 contract.
     """
-    groups = simhash_components(docs, id_col, text_col, width, threshold).where(F.col(id_col).isNotNull())
-    verdict = groups.groupBy(F.col(id_col).alias("judged")).agg(F.max(F.col(id_col) == F.col("component_id")).alias("stays"), F.count("*").alias("copies"))
-    verdict = written(verdict.where("not stays or copies > 1"), "verdicts")
-    rows = docs.join(verdict.where("not stays"), F.col(id_col) == F.col("judged"), "left_anti")
-    repeated = verdict.where("stays and copies > 1")
+    groups = _grouped(docs, id_col, text_col, width, threshold).where(F.col(id_col).isNotNull())
+    verdict = groups.groupBy(F.col(id_col).alias("_judged")).agg(F.max(F.col(id_col) == F.col("component_id")).alias("_stays"), F.count("*").alias("_copies"))
+    verdict = written(verdict.where("not _stays or _copies > 1"), "verdicts")
+    once = docs.join(verdict.select("_judged"), F.col(id_col) == F.col("_judged"), "left_anti")
+    repeated = verdict.where("_stays and _copies > 1").select("_judged")
     if not repeated.head(1):
-        return rows
-    again = rows.join(repeated, F.col(id_col) == F.col("judged"), "left_semi").dropDuplicates([id_col])
-    return rows.join(repeated, F.col(id_col) == F.col("judged"), "left_anti").unionByName(again)
+        return once
+    least = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_least"), F.col("fp").alias("_least_fp"), F.col("root").alias("_root"))
+    rows = docs.join(repeated, F.col(id_col) == F.col("_judged"), "left_semi").withColumn("_fp", _fingerprint_of(F.col(text_col), width))
+    rows = rows.join(least.distinct(), (F.col(id_col) == F.col("_least")) & (F.col("_fp") == F.col("_least_fp")))
+    one = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col(text_col), F.lit("")))
+    return once.unionByName(rows.groupBy("_least", "_root").agg(one.alias("_row")).select("_row.*"))

@@ -198,3 +198,13 @@ def test_width_and_threshold_of_the_group_filter(spark):
         kept = {r["doc_id"] for r in keep_one_of_each_group(df, width=width, threshold=threshold).collect()}
         assert kept == {i for i, c in groups.items() if i == c}
         assert (3 in kept) == (width > 1)  # single words do not tell an order from its reverse
+
+
+def test_no_group_is_lost_when_ids_repeat(spark):
+    """An id that stands for several texts is judged text by text."""
+    rng = np.random.default_rng(4)
+    a, b, c = (" ".join(rng.choice([f"w{i}" for i in range(900)], 80)) for _ in range(3))
+    rows = [(7, a, "x"), (7, b, "y"), (7, b, "z"), (9, a, "x"), (3, c, "x"), (7, c, "x"), (None, a, "n"), (12, b, "x"), (5, None, "x"), (5, "", "y")]
+    kept = [tuple(r) for r in keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, root string")).collect()]
+    assert sorted((i, t) for i, t, _ in kept if i is not None and t) == sorted([(7, a), (7, b), (3, c)])
+    assert [i for i, t, _ in kept if not t] == [5] and (None, a, "n") in kept
