@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathglow.operators.shared import written
+
 
 def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
@@ -49,20 +51,87 @@ def nearest(pairs: DataFrame, key: str, other: str, keep: Sequence[str] = ()) ->
 
 def top_near(pairs: DataFrame, key: str, other: str, most: int) -> DataFrame:
     """The ``most`` least distant partners of each key, ranked from 1."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(key).orderBy("dist", other)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
 def nearest_by_ladder(left: DataFrame, right: DataFrame, radii: Sequence[float], distance: Column, key: str, other: str, coordinates: Sequence[str] = ("lx", "ly", "rx", "ry")) -> DataFrame:
-    """The nearest partner within the last radius. Only keys that found none within a radius try the next, wider one."""
+    """The nearest partner, however far it is; only an empty right side leaves keys without one.
+
+    Only keys that found none within a radius try the next, wider one. Those that find none in the last go down a quadtree.
+    """
+    lx, ly, rx, ry = coordinates
     found, todo = None, left
     for radius in radii:
-        step = nearest(near_pairs(todo, right, radius, distance, *coordinates), key, other)
+        step = written(nearest(near_pairs(todo, right, radius, distance, *coordinates), key, other), "nearest")
         found = step if found is None else found.unionByName(step)
         todo = todo.join(step.select(key), key, "left_anti")
-    return found
+    # of equal points only the least takes part, so that a crowded place is one object
+    distinct = right.groupBy(rx, ry).agg(F.min(other).alias(other)).select(other, rx, ry, *[F.col(c).alias(n) for n, c in zip(BOX, (rx, ry, rx, ry), strict=True)])
+    far = nearest_of_all(todo, distinct, key, other, distance, radii[-1], lx, ly)
+    return found.unionByName(far)
+
+
+BOX = ("x1", "y1", "x2", "y2")
+#: Cells of a cell along each side, objects that a cell of the finest level should hold at most, levels at most, and levels
+#: between two written tables.
+FAN, CROWD, MOST_LEVELS, WRITE_EVERY = 8, 1024, 16, 4
+
+
+def nearest_of_all(points: DataFrame, objects: DataFrame, key: str, other: str, distance: Column, size: float, x: str = "px", y: str = "py", slack: float = 1e-5) -> DataFrame:
+    """The nearest object of each point, without a limit of distance; ties within ``slack`` are decided by ``distance``.
+
+    Objects have a box (x1, y1, x2, y2) and stand in the cell of its centre. A quadtree of cells, each with the box around
+    its objects, is descended level by level for all points at once: of a point's cells those stay whose box begins no
+    farther than the nearest one's box ends. A level is one equi-join with the cells of the next and a window over the
+    few cells of a point. The driver learns the extent, a crowd's size and at most nine cells. Points without coordinates
+    and objects without a box have no partner.
+    """
+    a, b, c, d = (F.col(n) for n in BOX)
+    points = written(points.select(key, F.col(x).alias(x), F.col(y).alias(y)).where(F.col(x).isNotNull() & F.col(y).isNotNull()), "far-points")
+    objects = objects.where(" and ".join(f"{n} is not null" for n in BOX))
+    empty = points.select(key).join(objects.select(other).limit(0), F.lit(False)).select(key, other, F.lit(None).cast("double").alias("dist"))
+    if not points.head(1):
+        return empty
+    u, v = (a + c) / 2, (b + d) / 2
+
+    def counted(side: float) -> DataFrame:
+        around = F.min(a).alias("_a"), F.min(b).alias("_b"), F.max(c).alias("_c"), F.max(d).alias("_d")
+        return written(objects.groupBy(cell(u, side).alias("_cx"), cell(v, side).alias("_cy")).agg(*around, F.count("*").alias("_n")), "cells")
+
+    finest, before = size, None
+    while True:
+        base = counted(finest)
+        crowd, *extent = base.agg(F.max("_n"), F.min("_cx"), F.max("_cx"), F.min("_cy"), F.max("_cy")).first()
+        if crowd is None:
+            return empty
+        if crowd <= CROWD or crowd == before or max(map(abs, extent)) > 1 << 40:  # smaller cells would not part equal places
+            break
+        finest, before = finest / FAN, crowd
+    levels = 0
+    while levels < MOST_LEVELS and max(extent[1] - extent[0], extent[3] - extent[2]) >= 2 * FAN**levels:
+        levels += 1
+
+    def level(k: int) -> DataFrame:
+        place = [F.floor(F.col(n) / FAN**k).alias(n) for n in ("_cx", "_cy")]
+        return base.groupBy(*place).agg(F.min("_a").alias("_a"), F.min("_b").alias("_b"), F.max("_c").alias("_c"), F.max("_d").alias("_d")) if k else base.drop("_n")
+
+    def bounded(rows: DataFrame) -> DataFrame:
+        px, py, zero = F.col(x), F.col(y), F.lit(0.0)
+        near = F.sqrt(F.greatest(F.col("_a") - px, px - F.col("_c"), zero) ** 2 + F.greatest(F.col("_b") - py, py - F.col("_d"), zero) ** 2)
+        far = F.sqrt(F.greatest(F.abs(px - F.col("_a")), F.abs(px - F.col("_c"))) ** 2 + F.greatest(F.abs(py - F.col("_b")), F.abs(py - F.col("_d"))) ** 2)
+        reach = F.min(far).over(Window.partitionBy(key)) + slack
+        return rows.withColumn("_near", near).withColumn("_reach", reach).where("_near <= _reach").select(key, x, y, "_cx", "_cy")
+
+    top = [F.struct(*[F.lit(r[n]).alias(n) for n in ("_cx", "_cy", "_a", "_b", "_c", "_d")]) for r in level(levels).collect()]
+    now = bounded(points.withColumn("_cell", F.explode(F.array(*top))).select(key, x, y, "_cell.*"))
+    for k in range(levels - 1, -1, -1):
+        children = level(k).withColumn("_px", F.floor(F.col("_cx") / FAN)).withColumn("_py", F.floor(F.col("_cy") / FAN))
+        now = bounded(now.withColumnsRenamed({"_cx": "_px", "_cy": "_py"}).join(children, ["_px", "_py"]))
+        if k % WRITE_EVERY == 0 and k:
+            now = written(now, "far-cells")
+    held = objects.withColumn("_cx", cell(u, finest)).withColumn("_cy", cell(v, finest))
+    return nearest(now.join(held, ["_cx", "_cy"]).withColumn("dist", distance), key, other)
 
 
 def farther_than(left: DataFrame, right: DataFrame, radius: float, distance: Column, key: str, other: str) -> tuple[DataFrame, DataFrame]:

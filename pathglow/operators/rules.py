@@ -171,11 +171,9 @@ def evaluate_by_universe(rows: DataFrame, rules: Sequence[Rule], universe: Colum
 
 
 def removed_ids(rows: DataFrame, rules: Sequence[Rule], id_col: str, order_col: str, status: str = "status", of: str = FIXED) -> DataFrame:
-    """rule_name and the ids of status ``of`` that each rule removes, joined by ';' in input order."""
+    """rule_name, ``order_col`` and ``id_col`` of each row of status ``of`` that a rule removes; no rule's ids are gathered."""
     few = rows.where(F.col(status) == of)
-    hits = few.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"), F.explode(F.array_compact(F.array(*[F.when(meets(r), F.lit(r.name)) for r in rules]))).alias("rule_name"))
-    listed = F.array_sort(F.collect_list(F.struct("ord", "id")))
-    return hits.groupBy("rule_name").agg(F.array_join(F.transform(listed, lambda x: x["id"]), ";").alias("removed_ids"))
+    return few.select(F.explode(F.array_compact(F.array(*[F.when(meets(r), F.lit(r.name)) for r in rules]))).alias("rule_name"), order_col, id_col)
 
 
 def distinct_rules(rows: DataFrame, rules: Sequence[Rule], status: str = "status") -> DataFrame:

@@ -130,8 +130,7 @@ def status_rule_universe(spark, sf_dir):
     return rules.evaluate_by_universe(accepted(spark, sf_dir), lateral_grid(), universe)
 
 
-@query(oracle(f"""sets as ({per_rule(remaining_grid(), 'accepted', "string_agg(candidate_id, ';' order by event_id) filter (where {hit} and status = 'Fixed') as removed_ids")})
-select rule_name, removed_ids from sets where removed_ids is not null"""))
+@query(oracle(" union all ".join(f"select '{r.name}' as rule_name, event_id, candidate_id from accepted where status = 'Fixed' and {r.sql()}" for r in remaining_grid())))
 def rule_removed_ids(spark, sf_dir):
     return rules.removed_ids(accepted(spark, sf_dir), remaining_grid(), "candidate_id", "event_id")
 

@@ -64,17 +64,21 @@ def component_pca(spark, sf_dir):
     return found.join(m, ["tile", "comp"]).select("tile", "n", F.when(~flat, F.col("orientation")).alias("orientation"), "elongation")
 
 
-SEGMENTS = "segs as (select o_orderkey, cast(floor(o_orderkey / 400) as bigint) as tile, (o_orderkey % 17)::double as r1, (o_orderkey % 13)::double as c1, (o_orderkey % 19)::double as r2, (o_orderkey % 11)::double as c2 from orders where o_orderkey % 40 = 7)"
+SEGMENTS = "segs as (select o_orderkey, cast(floor(o_orderkey / 400) as bigint) as tile, (o_orderkey % 17)::double as r1, (o_orderkey % 13)::double as c1, (o_orderkey % 19)::double as r2, (o_orderkey % 11)::double as c2 from orders)"
 DISTANCE = "sqrt(power(c - (c1 + t * (c2 - c1)), 2) + power(r - (r1 + t * (r2 - r1)), 2))"
 
 
-@query(with_views(f"""{SEGMENTS}, near as (select h.tile, h.r, h.c, min({DISTANCE}) as d from (
+MASKS = "segs as (select cast(floor(o_orderkey / 400) as bigint) as tile, (o_orderkey % 7)::double as r1, (o_orderkey % 5)::double as c1, (o_orderkey % 7 + o_orderkey % 2)::double as r2, (o_orderkey % 5 + o_orderkey % 3)::double as c2 from orders)"
+
+
+@query(with_views(f"""{MASKS}, near as (select h.tile, h.r, h.c, min({DISTANCE}) as d from (
   select h.*, s.r1, s.c1, s.r2, s.c2, case when (c2 - c1) * (c2 - c1) + (r2 - r1) * (r2 - r1) > 0 then greatest(0, least(1, ((c - c1) * (c2 - c1) + (r - r1) * (r2 - r1)) / ((c2 - c1) * (c2 - c1) + (r2 - r1) * (r2 - r1)))) else 0 end as t
   from heat h join segs s using (tile)) h group by all)
 select tile, count(*) as cells, count(*) filter (where v > 0 and coalesce(d, 9) > 1.5) as hot_left, sum(case when coalesce(d, 9) <= 1.5 then 0 else v end)::bigint as heat_left from heat left join near using (tile, r, c) group by tile""", "heat"))
 def heat_after_mask(spark, sf_dir):
-    o = base(spark, sf_dir, "orders").where("o_orderkey % 40 = 7")
-    segs = o.selectExpr(f"{div('o_orderkey', 400)} as tile", *[f"cast(o_orderkey % {m} as double) as {n}" for n, m in (("r1", 17), ("c1", 13), ("r2", 19), ("c2", 11))])
+    """Each order is a short way near a corner of its tile."""
+    places = {"r1": "o_orderkey % 7", "c1": "o_orderkey % 5", "r2": "o_orderkey % 7 + o_orderkey % 2", "c2": "o_orderkey % 5 + o_orderkey % 3"}
+    segs = base(spark, sf_dir, "orders").selectExpr(f"{div('o_orderkey', 400)} as tile", *[f"cast({e} as double) as {n}" for n, e in places.items()])
     left = raster.burn_mask(view(spark, sf_dir, "heat"), segs, 3.0)
     return left.groupBy("tile").agg(F.count("*").alias("cells"), F.count_if(F.col("v") > 0).alias("hot_left"), F.sum("v").alias("heat_left"))
 
@@ -103,18 +107,31 @@ def _pairs(left: str, right: str, radius: float) -> str:
 NEAR = "near as (select lid, arg_min(rid, (dist, rid)) as rid, min(dist) as dist from pairs group by lid)"
 
 
+def _all_near(left: str, right: str) -> str:
+    """The nearest of all, however far."""
+    return f"near as materialized (select l.event_id as lid, arg_min(r.event_id, (sqrt(power(l.mx - r.mx, 2) + power(l.my - r.my, 2)), r.event_id)) as rid, min(sqrt(power(l.mx - r.mx, 2) + power(l.my - r.my, 2))) as dist from candidate l join candidate r on l.layer = '{left}' and r.layer in ({right}) group by l.event_id)"
+
+
+#: Radii that most candidates find a partner in; the others search on without a limit.
+LADDER = (50, 150, 400)
+
+
+def _nearest_run(spark, sf_dir) -> DataFrame:
+    return cells.nearest_by_ladder(_points(spark, sf_dir, "all", L), _points(spark, sf_dir, "run", R), LADDER[2:], plane(), "lid", "rid")
+
+
 def _near(spark, sf_dir, left: str, right: str, radius: float) -> DataFrame:
     return cells.near_pairs(_points(spark, sf_dir, left, L), _points(spark, sf_dir, right, R), radius, plane())
 
 
-@query(with_views(f"{_pairs('all', repr('run'), 400)}, {NEAR} select lid, rid, round(dist, 3) as dist from near", "candidate"))
+@query(with_views(f"{_all_near('all', repr('run'))} select lid, rid, round(dist, 3) as dist from near", "candidate"))
 def nearest_layer(spark, sf_dir):
-    return cells.nearest(_near(spark, sf_dir, "all", "run", 400), "lid", "rid").select("lid", "rid", F.round("dist", 3).alias("dist"))
+    return _nearest_run(spark, sf_dir).select("lid", "rid", F.round("dist", 3).alias("dist"))
 
 
-@query(with_views(f"{_pairs('all', repr('run'), 400)}, {NEAR} select lid, rid, round(dist, 3) as dist from near", "candidate"))
+@query(with_views(f"{_all_near('all', repr('run'))} select lid, rid, round(dist, 3) as dist from near", "candidate"))
 def nearest_ladder(spark, sf_dir):
-    found = cells.nearest_by_ladder(_points(spark, sf_dir, "all", L), _points(spark, sf_dir, "run", R), (50, 150, 400), plane(), "lid", "rid")
+    found = cells.nearest_by_ladder(_points(spark, sf_dir, "all", L), _points(spark, sf_dir, "run", R), LADDER, plane(), "lid", "rid")
     return found.select("lid", "rid", F.round("dist", 3).alias("dist"))
 
 
@@ -126,10 +143,10 @@ def farther_than(spark, sf_dir):
     return none.unionByName(removed.select("lid", F.round("dist", 3).alias("dist"), "rid", F.lit(False).alias("kept")))
 
 
-@query(with_views(f"{_pairs('all', repr('ride') + ', ' + repr('run'), 300)}, {NEAR} select lid, rid, round(dist, 3) as dist from near", "candidate"))
+@query(with_views(f"{_all_near('all', repr('ride') + ', ' + repr('run'))} select lid, rid, round(dist, 3) as dist from near", "candidate"))
 def union_nearest(spark, sf_dir):
     right = _points(spark, sf_dir, "ride", R).unionByName(_points(spark, sf_dir, "run", R))
-    found = cells.nearest(cells.near_pairs(_points(spark, sf_dir, "all", L), right, 300, plane()), "lid", "rid")
+    found = cells.nearest_by_ladder(_points(spark, sf_dir, "all", L), right, LADDER[2:], plane(), "lid", "rid")
     return found.select("lid", "rid", F.round("dist", 3).alias("dist"))
 
 
@@ -147,22 +164,22 @@ def same_corridor_pairs(spark, sf_dir):
 WITHIN = " union all ".join(f"select {t}::int as threshold, count(*) filter (where dist <= {t}) as within, count(*) as n, round(count(*) filter (where dist <= {t}) * 100.0::double / count(*), 4) as percent from near" for t in layers.THRESHOLDS)
 
 
-@query(with_views(f"{_pairs('all', repr('run'), 400)}, {NEAR} select * from ({WITHIN})", "candidate"))
+@query(with_views(f"{_all_near('all', repr('run'))} select * from ({WITHIN})", "candidate"))
 def within_counts(spark, sf_dir):
-    return layers.within_counts(cells.nearest(_near(spark, sf_dir, "all", "run", 400), "lid", "rid"), "dist")
+    return layers.within_counts(_nearest_run(spark, sf_dir), "dist")
 
 
-@query(with_views(f"{_pairs('all', repr('run'), 400)}, {NEAR} select col0::int as place, col1 as bucket, (select count(*) from near where (case when dist <= 10 then 0 when dist <= 25 then 1 when dist <= 50 then 2 when dist <= 75 then 3 when dist <= 100 then 4 else 5 end) = col0) as n from (values (0, '<=10'), (1, '10-25'), (2, '25-50'), (3, '50-75'), (4, '75-100'), (5, '>100'))", "candidate"))
+@query(with_views(f"{_all_near('all', repr('run'))} select col0::int as place, col1 as bucket, (select count(*) from near where (case when dist <= 10 then 0 when dist <= 25 then 1 when dist <= 50 then 2 when dist <= 75 then 3 when dist <= 100 then 4 else 5 end) = col0) as n from (values (0, '<=10'), (1, '10-25'), (2, '25-50'), (3, '50-75'), (4, '75-100'), (5, '>100'))", "candidate"))
 def distance_histogram(spark, sf_dir):
-    return layers.histogram(cells.nearest(_near(spark, sf_dir, "all", "run", 400), "lid", "rid"), "dist")
+    return layers.histogram(_nearest_run(spark, sf_dir), "dist")
 
 
 QUANTILES = ", ".join(f"round(quantile_cont(dist, {q}), 3) as {n}" for n, q in (("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9)))
 
 
-@query(with_views(f"{_pairs('all', repr('run'), 400)}, {NEAR} select count(*) as n, round(min(dist), 3) as low, {QUANTILES}, round(max(dist), 3) as high from near", "candidate"))
+@query(with_views(f"{_all_near('all', repr('run'))} select count(*) as n, round(min(dist), 3) as low, {QUANTILES}, round(max(dist), 3) as high from near", "candidate"))
 def distance_stats(spark, sf_dir):
-    return layers.distance_stats(cells.nearest(_near(spark, sf_dir, "all", "run", 400), "lid", "rid"), "dist")
+    return layers.distance_stats(_nearest_run(spark, sf_dir), "dist")
 
 
 def _least(name: str, right: str) -> str:
@@ -210,19 +227,30 @@ HITS = """raw as (select event_id, way_id, mx, my, x1, y1, x2, y2, case when pow
 hits as materialized (select event_id, way_id, min(sqrt(power(mx - (x1 + t * (x2 - x1)), 2) + power(my - (y1 + t * (y2 - y1)), 2))) as dist from raw group by all having min(sqrt(power(mx - (x1 + t * (x2 - x1)), 2) + power(my - (y1 + t * (y2 - y1)), 2))) <= 250)"""
 
 
+def _boxed_segments(spark, sf_dir) -> DataFrame:
+    segs = mapdata.segments(view(spark, sf_dir, "vertex"))
+    return segs.select("way_id", *(F.col(c).alias("s" + c) for c in ("x1", "y1", "x2", "y2")), F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"))
+
+
 def _way_hits(spark, sf_dir, radius: float = 250) -> DataFrame:
     """event_id, way_id, dist for all ways within ``radius`` of a candidate."""
-    segs = mapdata.segments(view(spark, sf_dir, "vertex"))
-    boxed = segs.select("way_id", *(F.col(c).alias("s" + c) for c in ("x1", "y1", "x2", "y2")), F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"))
-    pairs = cells.near_boxes(_points(spark, sf_dir, None, ("event_id", "px", "py")), boxed, radius, 2 * radius)
+    pairs = cells.near_boxes(_points(spark, sf_dir, None, ("event_id", "px", "py")), _boxed_segments(spark, sf_dir), radius, 2 * radius)
     dist = geo.segment_distance(*(F.col(c) for c in ("px", "py", "sx1", "sy1", "sx2", "sy2")))
     return pairs.groupBy("event_id", "way_id").agg(F.min(dist).alias("dist")).where(F.col("dist") <= radius)
 
 
-@query(with_views(f"{SEGS}, {HITS} select event_id, arg_min(way_id, (round(dist, 6), way_id)) as way_id, round(min(dist), 6) as dist from hits group by event_id", "candidate", "vertex"))
+FAR = """far as (select event_id, way_id, mx, my, x1, y1, x2, y2, case when power(x2 - x1, 2) + power(y2 - y1, 2) > 0 then greatest(0, least(1, ((mx - x1) * (x2 - x1) + (my - y1) * (y2 - y1)) / (power(x2 - x1, 2) + power(y2 - y1, 2)))) else 0 end as t
+  from (select event_id, mx, my from candidate where event_id not in (select event_id from hits)), segs),
+every as (select event_id, way_id, dist from hits union all select event_id, way_id, min(sqrt(power(mx - (x1 + t * (x2 - x1)), 2) + power(my - (y1 + t * (y2 - y1)), 2))) from far group by all)"""
+
+
+@query(with_views(f"{SEGS}, {HITS}, {FAR} select event_id, arg_min(way_id, (round(dist, 6), way_id)) as way_id, round(min(dist), 6) as dist from every group by event_id", "candidate", "vertex"))
 def nearest_map_object(spark, sf_dir):
     hits = _way_hits(spark, sf_dir).withColumn("dist", F.round("dist", 6))
-    return cells.nearest(hits, "event_id", "way_id").select("event_id", "way_id", "dist")
+    near = cells.nearest(hits, "event_id", "way_id").select("event_id", "way_id", "dist")
+    todo = _points(spark, sf_dir, None, ("event_id", "px", "py")).join(near.select("event_id"), "event_id", "left_anti")
+    distance = F.round(geo.segment_distance(*(F.col(c) for c in ("px", "py", "sx1", "sy1", "sx2", "sy2"))), 6)
+    return near.unionByName(cells.nearest_of_all(todo, _boxed_segments(spark, sf_dir), "event_id", "way_id", distance, 250))
 
 
 @query(with_views(f"{SEGS}, {HITS} select event_id, way_id, rank::int as rank from (select event_id, way_id, row_number() over (partition by event_id order by round(dist, 6), way_id) as rank from hits) where rank <= 5", "candidate", "vertex"))
@@ -275,7 +303,7 @@ def vote_winner(spark, sf_dir):
 RING = "ring as (select p_partkey as ring, x as ox, y as oy, 40 + p_size * 3 as s from (select p_partkey, p_size, cast(p_partkey * 37 % 20000 as double) as x, cast(p_partkey * 53 % 20000 as double) as y from part))"
 CORNERS = "corners as (select ring, ox + s * dx as x1, oy + s * dy as y1, ox + s * ex as x2, oy + s * ey as y2 from ring, (values (0, 0, 4, 1), (4, 1, 3, 4), (3, 4, 2, 2), (2, 2, 0, 3), (0, 3, 0, 0)) as e(dx, dy, ex, ey))"
 SHAPE = ((0, 0, 4, 1), (4, 1, 3, 4), (3, 4, 2, 2), (2, 2, 0, 3), (0, 3, 0, 0))
-SPOT = "spot as (select l_orderkey as grp, l_linenumber as pos, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_tax, l_discount) as spot_id, cast(l_partkey * 37 % 20000 + l_linenumber * 11 + 0.5 as double) as px, cast(l_partkey * 53 % 20000 + l_suppkey % 90 + 0.25 as double) as py from lineitem where l_orderkey % 3 = 0)"
+SPOT = "spot as (select l_orderkey as grp, l_linenumber as pos, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_tax, l_discount) as spot_id, cast(l_partkey * 37 % 20000 + l_linenumber * 11 + 0.5 as double) as px, cast(l_partkey * 53 % 20000 + l_suppkey % 90 + 0.25 as double) as py from lineitem)"
 INSIDE = "inside as (select spot_id, ring, sum(((y1 > py) <> (y2 > py) and px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)::int) % 2 = 1 as inside from spot join ring on px between ox and ox + 4 * s and py between oy and oy + 4 * s join corners using (ring) group by all)"
 
 
@@ -284,7 +312,7 @@ def _inside(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     edges = part.select("ring", F.explode(F.array(*[F.struct(*[(F.col(o) + F.col("s") * v).alias(n) for n, o, v in zip(("x1", "y1", "x2", "y2"), ("ox", "oy", "ox", "oy"), e, strict=True)]) for e in SHAPE])).alias("e")).select("ring", "e.*")
     boxes = part.selectExpr("ring", "ox as x1", "oy as y1", "ox + 4 * s as x2", "oy + 4 * s as y2")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax", "l_discount"]
-    spots = base(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.xxhash64(*keys).alias("spot_id"), F.col("l_orderkey").alias("grp"), F.col("l_linenumber").alias("pos"), F.expr("cast(l_partkey * 37 % 20000 + l_linenumber * 11 + 0.5 as double)").alias("px"), F.expr("cast(l_partkey * 53 % 20000 + l_suppkey % 90 + 0.25 as double)").alias("py"))
+    spots = base(spark, sf_dir, "lineitem").select(F.xxhash64(*keys).alias("spot_id"), F.col("l_orderkey").alias("grp"), F.col("l_linenumber").alias("pos"), F.expr("cast(l_partkey * 37 % 20000 + l_linenumber * 11 + 0.5 as double)").alias("px"), F.expr("cast(l_partkey * 53 % 20000 + l_suppkey % 90 + 0.25 as double)").alias("py"))
     near = cells.near_boxes(spots, boxes, 0, 500).select("spot_id", "ring")
     return spots, metrics.inside_counts(spots, edges, near, "spot_id", "ring")
 
@@ -311,7 +339,7 @@ def axis_even_samples(spark, sf_dir):
 @query(with_views(f"""{SEGMENTS}, steps as (select o_orderkey as id, tile, round_even(r1 + s / 8.0::double * (r2 - r1), 0)::int as r, round_even(c1 + s / 8.0::double * (c2 - c1), 0)::int as c from segs, unnest(range(0, 9)) as t(s))
 select id, count(*) as n, round(quantile_cont(coalesce(v, 0), 0.5), 6) as between_median, round(avg(coalesce(v, 0)), 6) as between_mean from steps left join heat using (tile, r, c) group by id""", "heat"))
 def segment_heat_between(spark, sf_dir):
-    o = base(spark, sf_dir, "orders").where("o_orderkey % 40 = 7")
+    o = base(spark, sf_dir, "orders")
     segs = o.selectExpr("o_orderkey as id", f"{div('o_orderkey', 400)} as tile", *[f"cast(o_orderkey % {m} as double) as {n}" for n, m in (("r1", 17), ("c1", 13), ("r2", 19), ("c2", 11))])
     return metrics.heat_between(segs, view(spark, sf_dir, "heat"), "id", 8)
 

@@ -26,12 +26,27 @@ def test_near_pairs_like_all_pairs(spark):
     assert got == {(i, j) for i, x, y in a for j, u, v in b if math.hypot(x - u, y - v) <= 40}
     near = {r["lid"]: r["rid"] for r in cells.nearest_by_ladder(left, right, (10.0, 30.0, 90.0), plane(), "lid", "rid").collect()}
     best = {i: min((math.hypot(x - u, y - v), j) for j, u, v in b) for i, x, y in a}
-    assert near == {i: j for i, (d, j) in best.items() if d <= 90}
+    assert near == {i: j for i, (d, j) in best.items()}
+    assert cells.nearest_by_ladder(left, right.limit(0), (10.0, 30.0), plane(), "lid", "rid").count() == 0
     kept, removed = cells.farther_than(left, right, 25.0, plane(), "lid", "rid")
     assert {r["lid"] for r in kept.collect()} == {i for i, (d, _) in best.items() if d > 25}
     assert removed.count() + kept.count() == len(a)
 
 
+def test_nearest_of_all_like_all_pairs(spark, monkeypatch):
+    """Far points, a crowd at one place, rings of equal distance, boxes of any size, missing coordinates."""
+    monkeypatch.setattr(cells, "CROWD", 20)
+    rng = np.random.default_rng(8)
+    boxes = [(i, x, y, x + w, y + h) for i, (x, y, w, h) in enumerate((rng.normal(size=(150, 4)) * [40, 40, 3, 3]).round(2).tolist())]
+    boxes = [(i, min(a, c), min(b, d), max(a, c), max(b, d)) for i, a, b, c, d in boxes] + [(200 + i, 7.0, 7.0, 7.0, 7.0) for i in range(60)] + [(300, -1e6, 5.0, -1e6, 6.0), (301, None, 1.0, 2.0, 3.0)]
+    spots = [(i, *p) for i, p in enumerate((rng.normal(size=(60, 2)) * 300).round(1).tolist())] + [(100, 1e5, -1e5), (101, -9e5, 0.0), (102, 7.0, 7.0), (103, None, 1.0)]
+    points, objects = spark.createDataFrame(spots, "id long, px double, py double"), spark.createDataFrame(boxes, "box int, x1 double, y1 double, x2 double, y2 double")
+    dist = F.sqrt(F.greatest(F.col("x1") - F.col("px"), F.col("px") - F.col("x2"), F.lit(0.0)) ** 2 + F.greatest(F.col("y1") - F.col("py"), F.col("py") - F.col("y2"), F.lit(0.0)) ** 2)
+    got = {r["id"]: r["box"] for r in cells.nearest_of_all(points, objects, "id", "box", dist, 5.0).collect()}
+    gap = lambda x, y, a, b, c, d: math.sqrt(max(a - x, x - c, 0.0) ** 2 + max(b - y, y - d, 0.0) ** 2)
+    assert got == {i: min((gap(x, y, *box), k) for k, *box in boxes if box[0] is not None)[1] for i, x, y in spots if x is not None}
+
+
 def test_boxes_and_empty_sides(spark):
     pts, a = points(spark, 100, 3, ("id", "px", "py"))
     boxes = spark.createDataFrame([(k, k * 40.0 - 200, -50.0, k * 40.0 - 120, 60.0) for k in range(8)], "way int, x1 double, y1 double, x2 double, y2 double")
