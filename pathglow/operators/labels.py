@@ -61,6 +61,12 @@ def registry_append(stored: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("challenge_id").agg(newest("name"), newest("layer"), newest("task_count"))
 
 
+def history_usable(stored: DataFrame, not_an_issue: DataFrame) -> DataFrame:
+    """One row: whether a history holds anything, tasks or no-issue ids. One row of either side is looked at."""
+    either = stored.select(F.lit(1).alias("x")).limit(1).unionByName(not_an_issue.select(F.lit(1).alias("x")).limit(1))
+    return either.agg((F.count("*") > 0).alias("usable"))
+
+
 def prefer(stored: DataFrame, discovered: DataFrame, key: str, value: str) -> DataFrame:
     """Full outer merge in which discovered values win."""
     return stored.select(key, F.col(value).alias("old")).join(discovered.select(key, F.col(value).alias("new")), key, "full").select(key, F.coalesce("new", "old").alias(value))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathglow.operators.shared import written
@@ -21,6 +21,13 @@ def histogram(rows: DataFrame, dist: str, edges: tuple[int, ...] = THRESHOLDS) -
     return every.join(counted, "place", "left").select("place", "bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def top_values(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """The ``most`` most frequent values, with their counts and places; equal counts go by value, nulls do not count."""
+    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    first = counted.orderBy(F.desc("n"), "value").limit(most)  # merges sorted heads, no full sort
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
+
+
 def within_counts(rows: DataFrame, dist: str, *keys: str, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
     steps = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
     g = rows.select(*keys, dist, steps).groupBy(*keys, "threshold").agg(F.count_if(F.col(dist) <= F.col("threshold")).alias("within"), F.count("*").alias("n"))

@@ -48,6 +48,27 @@ def merge_roots(elements: DataFrame, key: list[str], order: str) -> DataFrame:
     return elements.groupBy(*key).agg(F.min_by(F.struct(*others), order).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
+def union_members(members: DataFrame, order: list[str]) -> DataFrame:
+    """Members (relation_id, type, ref, role) of a relation that several batches brought, each once, at its first place."""
+    first = F.min(F.struct(*order)).alias("_at")
+    return members.groupBy("relation_id", "type", "ref", "role").agg(first).select("relation_id", "type", "ref", "role", "_at.*")
+
+
+def shape_of(coords: Column) -> Column:
+    """A closed line of four points or more is a polygon, any other a line."""
+    closed = (F.size(coords) >= 4) & (F.element_at(coords, 1) == F.element_at(coords, -1))
+    return F.when(closed, "polygon").otherwise("line")
+
+
+def coordinate_extent(geometry: Column) -> list[Column]:
+    """Bounds of all positions in a geometry's text, however deep they are nested."""
+    number = r"-?[0-9.]+(?:[eE][-+]?[0-9]+)?"
+    xs = F.regexp_extract_all(geometry, F.lit(rf"\[\s*({number})\s*,"), F.lit(1))
+    ys = F.regexp_extract_all(geometry, F.lit(rf"\[\s*{number}\s*,\s*({number})"), F.lit(1))
+    xs, ys = (F.transform(v, lambda n: n.cast("double")) for v in (xs, ys))
+    return [F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2")]
+
+
 def merge_rings(members: DataFrame, key: str = "relation_id") -> DataFrame:
     """Joins member lines (pos, xs, ys) of a relation end to end into rings; each row is a ring and whether it closed.
 

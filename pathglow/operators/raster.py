@@ -87,14 +87,15 @@ def detection_counts(cells: DataFrame, min_size: int, keys: tuple[str, ...] = ("
     return counts.select(*keys, "candidates", "small", (F.col("candidates") + F.col("small")).alias("raw"))
 
 
-def intensity_stats(cells: DataFrame, keys: tuple[str, ...] = ("tile", "comp")) -> DataFrame:
-    """Size, extent and exact percentiles of each hot region."""
+def intensity_stats(cells: DataFrame, keys: tuple[str, ...] = ("tile", "comp"), pixel: float = 1.0) -> DataFrame:
+    """Corner, size, extent, diagonal, area and exact percentiles of each hot region; ``pixel`` is a cell's width."""
     q = F.percentile("v", F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95))))
     stats = cells.where("comp >= 0").groupBy(*keys).agg(
-        F.count("*").alias("pixels"), (F.max("c") - F.min("c") + 1).alias("width"), (F.max("r") - F.min("r") + 1).alias("height"),
+        F.min("r").alias("top"), F.min("c").alias("side"), F.count("*").alias("pixels"), (F.max("c") - F.min("c") + 1).alias("width"), (F.max("r") - F.min("r") + 1).alias("height"),
         F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.round(F.avg("v"), 6).alias("v_mean"), q.alias("q"),
     )
-    return stats.select(*[c for c in stats.columns if c != "q"], *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("v_median", "v_p75", "v_p90", "v_p95"))])
+    span = F.round(F.hypot("width", "height") * pixel, 6).alias("diagonal"), (F.col("pixels") * float(pixel * pixel)).alias("area")
+    return stats.select(*[c for c in stats.columns if c != "q"], *span, *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("v_median", "v_p75", "v_p90", "v_p95"))])
 
 
 def principal_axes(cells: DataFrame, keys: tuple[str, ...] = ("tile", "comp"), most: float = 1e6) -> DataFrame:
@@ -106,7 +107,7 @@ def principal_axes(cells: DataFrame, keys: tuple[str, ...] = ("tile", "comp"), m
     turned = F.degrees(F.atan2(2 * b, a - d) / 2)
     angle = F.when(turned < 0, turned + 180).otherwise(turned)
     long: Column = F.when(minor <= 1e-12, F.lit(most)).otherwise(F.least(major / minor, F.lit(most)))
-    return m.where("n >= 2").select(*keys, "n", F.round(angle, 4).alias("orientation"), F.round(long, 4).alias("elongation"))
+    return m.where("n >= 2").select(*keys, "n", "a", "b", "d", F.round(angle, 4).alias("orientation"), F.round(long, 4).alias("elongation"))
 
 
 def burn_mask(heat: DataFrame, segments: DataFrame, width: float, keys: tuple[str, ...] = ("tile",)) -> DataFrame:

@@ -212,6 +212,22 @@ def ranked(results: DataFrame, limit: float, top: int | None = None) -> DataFram
     return out.where(F.col("rank") <= top) if top else out
 
 
+def _listed(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows with their rank; rules are few."""
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def safest(results: DataFrame) -> DataFrame:
+    """Useful rules that remove neither Fixed nor Too_Hard: those that remove most first, then the simplest."""
+    able = results.where("removed_nai > 0 and removed_fixed = 0 and removed_too_hard = 0")
+    return _listed(able, F.desc("removed_nai"), "complexity", "rule_name")
+
+
+def exploratory(results: DataFrame) -> DataFrame:
+    """Useful rules that cost exactly one Fixed."""
+    return _listed(results.where("removed_nai > 0 and removed_fixed = 1"), F.desc("removed_nai"), "removed_too_hard", "complexity", "rule_name")
+
+
 def best_of(results: DataFrame, top: int = 10) -> DataFrame:
     """The first ``top`` rules from the frontier, then the careful, bold and safe lists, each rule once."""
     useful = results.where("removed_nai > 0")

@@ -46,12 +46,10 @@ def detection_counts(spark, sf_dir):
     return raster.detection_counts(_cells(spark, sf_dir), MIN_SIZE)
 
 
-@query(with_views(f"""{LABELLED} select tile, min(r)::int as top, min(c)::int as side, count(*) as pixels, (max(c) - min(c) + 1)::int as width, (max(r) - min(r) + 1)::int as height, min(v)::int as v_min, max(v)::int as v_max, round(avg(v), 6) as v_mean,
+@query(with_views(f"""{LABELLED} select tile, min(r)::int as top, min(c)::int as side, count(*) as pixels, (max(c) - min(c) + 1)::int as width, (max(r) - min(r) + 1)::int as height, round(sqrt(power(max(c) - min(c) + 1, 2) + power(max(r) - min(r) + 1, 2)) * 10, 6) as diagonal, count(*) * 100.0::double as area, min(v)::int as v_min, max(v)::int as v_max, round(avg(v), 6) as v_mean,
   round(quantile_cont(v, 0.5), 6) as v_median, round(quantile_cont(v, 0.75), 6) as v_p75, round(quantile_cont(v, 0.9), 6) as v_p90, round(quantile_cont(v, 0.95), 6) as v_p95 from cells where comp is not null group by tile, comp""", "heat"))
 def component_stats(spark, sf_dir):
-    found = _cells(spark, sf_dir)
-    corner = found.where("comp >= 0").groupBy("tile", "comp").agg(F.min("r").alias("top"), F.min("c").alias("side"))
-    return raster.intensity_stats(found).join(corner, ["tile", "comp"]).drop("comp")
+    return raster.intensity_stats(_cells(spark, sf_dir), pixel=10).drop("comp")
 
 
 @query(with_views(f"""{LABELLED}, m as (select tile, comp, count(*) as n, var_samp(c::double) as a, covar_samp(c::double, -r::double) as b, var_samp(r::double) as d from cells where comp is not null group by tile, comp having count(*) >= 2),
@@ -59,9 +57,8 @@ def component_stats(spark, sf_dir):
 select tile, n, case when abs(b) < 1e-9 and abs(a - d) < 1e-9 then null else round(case when t < -1e-9 then t + 180 else abs(t) end, 4) end as orientation, case when l2 <= 1e-9 then 1e6 else round(least(l1 / l2, 1e6), 4) end as elongation from e""", "heat"))
 def component_pca(spark, sf_dir):
     found = raster.principal_axes(_cells(spark, sf_dir))
-    m = _cells(spark, sf_dir).where("comp >= 0").groupBy("tile", "comp").agg(F.var_samp("c").alias("a"), F.covar_samp("c", -F.col("r")).alias("b"), F.var_samp("r").alias("d"))
     flat = (F.abs("b") < 1e-9) & (F.abs(F.col("a") - F.col("d")) < 1e-9)  # a round region has no orientation
-    return found.join(m, ["tile", "comp"]).select("tile", "n", F.when(~flat, F.col("orientation")).alias("orientation"), "elongation")
+    return found.select("tile", "n", F.when(~flat, F.col("orientation")).alias("orientation"), "elongation")
 
 
 SEGMENTS = "segs as (select o_orderkey, cast(floor(o_orderkey / 400) as bigint) as tile, (o_orderkey % 17)::double as r1, (o_orderkey % 13)::double as c1, (o_orderkey % 19)::double as r2, (o_orderkey % 11)::double as c2 from orders)"
@@ -462,11 +459,12 @@ def gaps_and_formats(spark, sf_dir):
     return view(spark, sf_dir, "candidate").select("event_id", F.round(text.gap(0.7, F.col("parallel15")), 6).alias("parallel_gap"), F.round(F.col("peak_dist") - 35, 6).alias("above"), F.when(F.col("constr_dist").isNotNull(), text.fixed_digits(F.col("constr_dist"), 1)).alias("shown"))
 
 
-@query(with_views("select case when lon < -170 + 0.02 then 'west' when lon < -170 + 0.04 then 'central' else 'east' end as band_x, count(*) as n, count(distinct array_to_string(string_split(candidate_id, '/')[1:3], '/')) as tiles, round(min(lon), 6) as lon_min, round(max(lat), 6) as lat_max from candidate group by 1", "candidate"))
+@query(with_views("select case when lon < -170 + 0.02 then 'west' when lon < -170 + 0.04 then 'central' else 'east' end as band_x, case when lat < 30.017 then 'south' when lat < 30.034 then 'mid' else 'north' end as band_y, count(*) as n, count(distinct array_to_string(string_split(candidate_id, '/')[1:3], '/')) as tiles, round(min(lon), 6) as lon_min, round(max(lat), 6) as lat_max from candidate group by 1, 2", "candidate"))
 def geo_report(spark, sf_dir):
     c = view(spark, sf_dir, "candidate")
     band = F.when(F.col("lon") < F.lit(-170 + 0.02), "west").when(F.col("lon") < F.lit(-170 + 0.04), "central").otherwise("east")
-    return c.groupBy(band.alias("band_x")).agg(F.count("*").alias("n"), F.countDistinct(text.tile_key(F.col("candidate_id"))).alias("tiles"), F.round(F.min("lon"), 6).alias("lon_min"), F.round(F.max("lat"), 6).alias("lat_max"))
+    rows = F.when(F.col("lat") < 30.017, "south").when(F.col("lat") < 30.034, "mid").otherwise("north")
+    return c.groupBy(band.alias("band_x"), rows.alias("band_y")).agg(F.count("*").alias("n"), F.countDistinct(text.tile_key(F.col("candidate_id"))).alias("tiles"), F.round(F.min("lon"), 6).alias("lon_min"), F.round(F.max("lat"), 6).alias("lat_max"))
 
 
 @query(with_views("""b as (select way_id, x1, y1, x2, y2 from (select way_id, min(x) as x1, min(y) as y1, max(x) as x2, max(y) as y2 from vertex group by way_id)), t as (select way_id, unnest(range(floor(x1 / 256)::bigint, floor(x2 / 256)::bigint + 1)) as x, y1, y2 from b), u as (select way_id, x, unnest(range(floor(y1 / 256)::bigint, floor(y2 / 256)::bigint + 1)) as y from t)

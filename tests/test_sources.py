@@ -135,7 +135,8 @@ def test_reasons_follow_categories(spark):
     from pathglow.functions import tags
 
     df = spark.createDataFrame([("close_to_existing_osm", 12.5, None), ("other", None, 0.25)], "category string, peak_dist double, follow100 double")
+    df = df.withColumn("tunnel", F.lit("yes"))
     for c in ("parallel15", "parallel30", "ferry_dist", "constr_dist"):
         df = df.withColumn(c, F.lit(None).cast("double"))
     got = [r[0] for r in df.select(tags.remaining_reason(F.col("category"))).collect()]
-    assert got == ["nearest_osm_distance_m=12.5<=50", "uncategorized; peak=; follow100=0.25; parallel15="]
+    assert got == ["peak_dist=12.5", "peak_dist=, follow100=0.25, parallel15="]
