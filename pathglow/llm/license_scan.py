@@ -1,8 +1,9 @@
 """Licence scan: known phrases, and an exact set-similarity join of text blocks with licence templates.
 
-All of it is DataFrame functions. A block is a window of ``BLOCK_WORDS`` words, one beginning every half window, so that
-each run of half a window's words lies whole in some block. A template is met by a block that holds at least
-``CONTAINMENT`` of its distinct words. Words are ordered by document frequency over the whole table, rarest first; only
+All of it is DataFrame functions. Templates are short notices and whole licence texts. A template has windows of its own size:
+half a window, a power of two, holds all its words. A block is a window of a text's words, one beginning every half window, so
+that each run of half a window's words lies whole in some block. A template is met by a block of its size that holds at
+least ``CONTAINMENT`` of its distinct words. Words are ordered by document frequency over the whole table, rarest first; only
 template words count, so a block is the ordered set of those it holds. A pair is a candidate if a word in the template's
 prefix equals one in the block's prefix, if the block is long enough (length filter), and if the words that remain after
 the first common one can still reach the overlap (positional filter). The overlap of candidates is then counted.
@@ -40,10 +41,29 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("public-domain", "this is free and unencumbered software released into the public domain"),
+    # whole texts
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution"),
+    ("public-domain", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
 ]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK_WORDS, CONTAINMENT = 64, 0.9
+CONTAINMENT, LEAST_BLOCK = 0.9, 16
+
+
+def block_words(template: str) -> int:
+    """Words of a template's windows: twice the power of two that holds the template."""
+    return max(LEAST_BLOCK, 2 << (len(template.split(" ")) - 1).bit_length())
+
+
+def templates() -> list[tuple[str, list[str], int]]:
+    """Label, distinct words and window of each template."""
+    return [(label, list(dict.fromkeys(text.split(" "))), block_words(text)) for label, text in TEMPLATES]
 
 
 def _needed(words: list[str], containment: float) -> int:
@@ -54,21 +74,27 @@ def _literal(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def _word_table(docs: DataFrame, id_col: str, text_col: str, templates: list[tuple[str, list[str]]], containment: float) -> DataFrame:
-    """One scan: id, n_words, template words present, and the words of those texts that can hold a finding at all.
+def _word_table(docs: DataFrame, id_col: str, text_col: str, known: list[tuple[str, list[str], int]], containment: float) -> DataFrame:
+    """One scan: id, n_words, template words present, the words of those texts that can hold a finding at all, and the
+    windows that they need.
 
     A text can meet a template only if it holds the needed number of its words; that is checked before anything is kept.
     """
-    vocabulary = sorted({w for _, ws in templates for w in ws})
+    vocabulary = sorted({w for _, ws, _ in known for w in ws})
     lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     phrase = "|".join(p.replace(" ", GAP) for p in PHRASES)
     seen = docs.select(F.col(id_col).alias("id"), lowered.alias("lowered"))
     seen = seen.select("id", F.col("lowered").rlike(phrase).alias("has_phrase"), F.regexp_extract_all("lowered", F.lit(WORD), F.lit(0)).alias("words"))
     seen = seen.select("id", "has_phrase", "words", F.array_intersect("words", _literal(vocabulary)).alias("present"))
-    able = F.lit(False)
-    for _, words in templates:
-        able = able | (F.size(F.array_intersect("present", _literal(words))) >= _needed(words, containment))
-    return seen.select("id", F.size("words").cast("long").alias("n_words"), "present", F.when(F.col("has_phrase") | able, F.col("words")).alias("words"))
+    needs = []
+    for size in sorted({n for *_, n in known}):
+        able = F.lit(False)
+        for _, words, own in known:
+            if own == size:
+                able = able | ((F.size("present") >= _needed(words, containment)) & (F.size(F.array_intersect("present", _literal(words))) >= _needed(words, containment)))
+        needs.append(F.when(able, size))
+    seen = seen.select("id", "has_phrase", "words", "present", F.array_compact(F.array(*needs)).alias("windows"))
+    return seen.select("id", F.size("words").cast("long").alias("n_words"), "present", "windows", F.when(F.col("has_phrase") | (F.size("windows") > 0), F.col("words")).alias("words"))
 
 
 def _phrase_places(words: Column, phrase: str) -> Column:
@@ -83,26 +109,28 @@ def _phrase_places(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), F.filter(F.sequence(F.lit(0), F.size(words) - len(parts)), stands)).otherwise(F.array().cast("array<int>"))
 
 
-def _template_labels(table: DataFrame, templates: list[tuple[str, list[str]]], containment: float) -> DataFrame:
+def _template_labels(table: DataFrame, known: list[tuple[str, list[str], int]], containment: float) -> DataFrame:
     """row, label, containment for every template that a block of the row's text meets."""
     spark = table.sparkSession
     frequency = table.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counted = {r["word"]: r["n"] for r in frequency.collect()}  # one row a template word at most
-    order = {w: i for i, w in enumerate(sorted({w for _, ws in templates for w in ws}, key=lambda w: (counted.get(w, 0), w)))}
-    prefixes, least = [], min(_needed(ws, containment) for _, ws in templates)
-    for number, (label, words) in enumerate(templates):
+    order = {w: i for i, w in enumerate(sorted({w for _, ws, _ in known for w in ws}, key=lambda w: (counted.get(w, 0), w)))}
+    prefixes, least = [], {}
+    for number, (label, words, size) in enumerate(known):
         ranks, needed = sorted(order[w] for w in words), _needed(words, containment)
-        prefixes += [(number, label, ranks, needed, rank, place) for place, rank in enumerate(ranks[: len(ranks) - needed + 1])]
-    small = spark.createDataFrame(prefixes, "template int, label string, ranks array<int>, needed int, rank int, template_place int")
+        least[size] = min(needed, least.get(size, needed))
+        prefixes += [(number, label, size, ranks, needed, rank, place) for place, rank in enumerate(ranks[: len(ranks) - needed + 1])]
+    small = spark.createDataFrame(prefixes, "template int, label string, window int, ranks array<int>, needed int, rank int, template_place int")
     ranked = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-
-    half = BLOCK_WORDS // 2
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - half, F.lit(0)), F.lit(half))
-    blocks = table.where("words is not null").select("row", "words", F.explode(starts).alias("start"))
-    held = F.array_intersect(F.slice("words", F.col("start") + 1, BLOCK_WORDS), _literal(list(order)))
-    blocks = blocks.select("row", "start", F.array_sort(F.transform(held, lambda w: ranked[w])).alias("block")).where(F.size("block") >= least)
-    first = blocks.select("row", "start", "block", F.posexplode(F.slice(F.col("block"), F.lit(1), F.size("block") - least + 1)).alias("place", "rank"))
-    met = first.join(F.broadcast(small), "rank").where(F.size("block") >= F.col("needed"))
+    fewest = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("window")]
+
+    blocks = table.where("size(windows) > 0").select("row", "words", F.explode("windows").alias("window"))
+    half = F.expr("window div 2").cast("int")
+    blocks = blocks.select("row", "words", "window", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - half, F.lit(0)), half)).alias("start"))
+    held = F.array_intersect(F.slice("words", F.col("start") + 1, F.col("window")), _literal(list(order)))
+    blocks = blocks.select("row", "window", "start", F.array_sort(F.transform(held, lambda w: ranked[w])).alias("block")).where(F.size("block") >= fewest)
+    first = blocks.select("row", "window", "start", "block", F.posexplode(F.slice(F.col("block"), F.lit(1), F.size("block") - fewest + 1)).alias("place", "rank"))
+    met = first.join(F.broadcast(small), ["rank", "window"]).where(F.size("block") >= F.col("needed"))
     pairs = met.groupBy("row", "start", "template").agg(
         F.min("place").alias("place"), F.min("template_place").alias("template_place"), F.first("block").alias("block"),
         F.first("ranks").alias("ranks"), F.first("needed").alias("needed"), F.first("label").alias("label"),
@@ -115,14 +143,14 @@ def _template_labels(table: DataFrame, templates: list[tuple[str, list[str]]], c
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """``id_col``, n_words, n_base, first_word, last_word, base_labels, labels and score, one row per document."""
-    templates = [(label, list(dict.fromkeys(text.split(" ")))) for label, text in TEMPLATES]
-    table = written(_word_table(docs, id_col, text_col, templates, containment).withColumn("row", F.monotonically_increasing_id()), "licence-words")
+    known = templates()
+    table = written(_word_table(docs, id_col, text_col, known, containment).withColumn("row", F.monotonically_increasing_id()), "licence-words")
     places = {label: _phrase_places(F.col("words"), phrase) for phrase, label in PHRASES.items()}
     found = table.where("words is not null").select("row", *[p.alias(label) for label, p in places.items()])
     every = F.concat(*[F.col(f"`{label}`") for label in places])
     named = F.array_compact(F.array(*[F.when(F.size(F.col(f"`{label}`")) > 0, F.lit(label)) for label in places]))
     base = found.select("row", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), named.alias("base"))
-    extra = _template_labels(table, templates, containment).groupBy("row").agg(F.collect_set("label").alias("extra"), F.max("containment").alias("containment"))
+    extra = _template_labels(table, known, containment).groupBy("row").agg(F.collect_set("label").alias("extra"), F.max("containment").alias("containment"))
     none = F.array().cast("array<string>")
     merged = table.select("row", F.col("id").alias(id_col), "n_words").join(base.join(extra, "row", "left"), "row", "left")
     return merged.select(

@@ -67,11 +67,12 @@ from d
 
 def _licences() -> str:
     word = r"[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
-    spots, half = [], licences.BLOCK_WORDS // 2
+    spots = []
     for phrase, label in licences.PHRASES.items():
         parts = phrase.split(" ")
         spots.append(f"select rid, i, '{label}' as label from w where " + " and ".join(f"ws[i + {k}] = '{x}'" for k, x in enumerate(parts)))
-    rows = ", ".join(f"('{label}', {sorted(set(text.split(' ')))!r})" for label, text in licences.TEMPLATES)
+    rows = ", ".join(f"('{label}', {sorted(words)!r}, {window})" for label, words, window in licences.templates())
+    sizes = sorted({window for *_, window in licences.templates()})
     return f"""
 with texts as (
   select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') as ws from documents
@@ -82,11 +83,11 @@ with texts as (
 ), base as (
   select rid, count(*) as n_base, min(i) - 1 as first_word, max(i) - 1 as last_word, list_sort(list_distinct(list(label))) as base from places group by rid
 ), blocks as (
-  select rid, ws[s + 1 : s + {licences.BLOCK_WORDS}] as b from (select rid, ws, unnest(range(0, greatest(len(ws) - {half}, 0) + 1, {half})) as s from texts)
-), templates(label, t) as (
+  select rid, n, ws[s + 1 : s + n] as b from (select rid, ws, n, unnest(range(0, greatest(len(ws) - n // 2, 0) + 1, n // 2)) as s from texts, (select unnest({sizes}) as n))
+), templates(label, t, n) as (
   values {rows}
 ), met as (
-  select rid, label, len(list_intersect(b, t)) / len(t) as containment from blocks, templates where len(list_intersect(b, t)) >= {licences.CONTAINMENT} * len(t) - 1e-9
+  select rid, label, len(list_intersect(b, t)) / len(t) as containment from blocks join templates using (n) where len(list_intersect(b, t)) >= {licences.CONTAINMENT} * len(t) - 1e-9
 ), extra as (
   select rid, list(label) as extra, max(containment) as containment from met group by rid
 )

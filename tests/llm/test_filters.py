@@ -80,11 +80,10 @@ def plain_licences(text: str | None) -> tuple:
         hits = [i for i in range(len(w) - len(parts) + 1) if w[i : i + len(parts)] == parts]
         places += hits
         base |= {label} if hits else set()
-    half = license_scan.BLOCK_WORDS // 2
-    for start in range(0, max(len(w) - half, 0) + 1, half):
-        block = set(w[start : start + license_scan.BLOCK_WORDS])
-        for label, template in license_scan.TEMPLATES:
-            t = set(template.split())
+    for label, template, window in license_scan.templates():
+        t, half = set(template), window // 2
+        for start in range(0, max(len(w) - half, 0) + 1, half):
+            block = set(w[start : start + window])
             if len(block & t) >= license_scan.CONTAINMENT * len(t) - 1e-9:
                 extra[label] = max(extra.get(label, 0), len(block & t) / len(t))
     score = 1.0 if places else max(extra.values(), default=0.0)
@@ -93,12 +92,17 @@ def plain_licences(text: str | None) -> tuple:
 
 def test_licences_of_odd_documents(spark, odd_documents, no_documents):
     texts = ["Cc-By cc by. ALL rights, reserved", "x " * 40 + license_scan.TEMPLATES[3][1] + " y" * 9, "released under the license", "Released under the MIT License!", "cc", license_scan.TEMPLATES[4][1].replace("binary", "any")]
+    whole = [t for _, t in license_scan.TEMPLATES if len(t.split()) > 60]
+    texts += ["intro words " * 70 + t.upper() + " and more" * 300 for t in whole] + [" ".join(w for i, w in enumerate(t.split()) if i % 3) for t in whole[:2]]
     extra = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     rows = odd_documents.select("doc_id", "text").unionByName(extra)
     got = sorted((tuple(r) for r in license_scan.license_scan(rows).collect()), key=str)
     assert got == sorted(((r["doc_id"], *plain_licences(r["text"])) for r in rows.collect()), key=str)
     assert license_scan.license_scan(no_documents).count() == 0
     assert any("mit" in r[6] for r in got)
+    assert {label for label, t in license_scan.TEMPLATES if t in whole} <= {x for r in got if r[0] is not None and r[0] >= 106 for x in r[6].split(",")}
+    for _, template, window in license_scan.templates():
+        assert len(template) <= window // 2
 
 
 def test_licence_scan_uses_no_python(spark, data, capsys):
