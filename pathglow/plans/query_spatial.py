@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathglow.functions import geo, tags, text
 from pathglow.operators import batteries, cells, layers, mapdata, metrics, raster
+from pathglow.operators.shared import written
 from pathglow.plans.registry import query
 from pathglow.plans.standins import base, div, view, with_views
 
@@ -229,9 +230,9 @@ def _boxed_segments(spark, sf_dir) -> DataFrame:
     return segs.select("way_id", *(F.col(c).alias("s" + c) for c in ("x1", "y1", "x2", "y2")), F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"))
 
 
-def _way_hits(spark, sf_dir, radius: float = 250) -> DataFrame:
+def _way_hits(spark, sf_dir, radius: float = 250, segs: DataFrame | None = None) -> DataFrame:
     """event_id, way_id, dist for all ways within ``radius`` of a candidate."""
-    pairs = cells.near_boxes(_points(spark, sf_dir, None, ("event_id", "px", "py")), _boxed_segments(spark, sf_dir), radius, 2 * radius)
+    pairs = cells.near_boxes(_points(spark, sf_dir, None, ("event_id", "px", "py")), segs or _boxed_segments(spark, sf_dir), radius, 2 * radius)
     dist = geo.segment_distance(*(F.col(c) for c in ("px", "py", "sx1", "sy1", "sx2", "sy2")))
     return pairs.groupBy("event_id", "way_id").agg(F.min(dist).alias("dist")).where(F.col("dist") <= radius)
 
@@ -243,11 +244,12 @@ every as (select event_id, way_id, dist from hits union all select event_id, way
 
 @query(with_views(f"{SEGS}, {HITS}, {FAR} select event_id, arg_min(way_id, (round(dist, 6), way_id)) as way_id, round(min(dist), 6) as dist from every group by event_id", "candidate", "vertex"))
 def nearest_map_object(spark, sf_dir):
-    hits = _way_hits(spark, sf_dir).withColumn("dist", F.round("dist", 6))
-    near = cells.nearest(hits, "event_id", "way_id").select("event_id", "way_id", "dist")
+    segs = written(_boxed_segments(spark, sf_dir), "segments")
+    hits = _way_hits(spark, sf_dir, segs=segs).withColumn("dist", F.round("dist", 6))
+    near = written(cells.nearest(hits, "event_id", "way_id").select("event_id", "way_id", "dist"), "near-ways")
     todo = _points(spark, sf_dir, None, ("event_id", "px", "py")).join(near.select("event_id"), "event_id", "left_anti")
     distance = F.round(geo.segment_distance(*(F.col(c) for c in ("px", "py", "sx1", "sy1", "sx2", "sy2"))), 6)
-    return near.unionByName(cells.nearest_of_all(todo, _boxed_segments(spark, sf_dir), "event_id", "way_id", distance, 250))
+    return near.unionByName(cells.nearest_of_all(todo, segs, "event_id", "way_id", distance, 250))
 
 
 @query(with_views(f"{SEGS}, {HITS} select event_id, way_id, rank::int as rank from (select event_id, way_id, row_number() over (partition by event_id order by round(dist, 6), way_id) as rank from hits) where rank <= 5", "candidate", "vertex"))

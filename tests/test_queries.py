@@ -40,3 +40,16 @@ def test_entry_without_the_corpus_subpackage(tmp_path):
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'unmapped_peaks' in q and not any(n.startswith('op') and n[2].isdigit() for n in q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, check=True, timeout=120)
+
+
+def test_entry_outlives_a_module_that_only_the_corpus_needs():
+    """A module that the optional subpackage lacks costs its queries, not the others."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parent.parent
+    code = "import sys, warnings; sys.modules['xxhash'] = None; warnings.simplefilter('ignore'); import __spark_entry__ as e; q = e.queries(); assert 'unmapped_peaks' in q and 'op9_simhash_near_dedup' not in q"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=repo, env={"PATH": "/usr/bin:/bin"}, check=True, timeout=120)
+    broken = "import sys; sys.modules['pathglow.operators'] = None\ntry:\n    import __spark_entry__\nexcept ModuleNotFoundError:\n    sys.exit(0)\nsys.exit(1)"
+    subprocess.run([sys.executable, "-B", "-c", broken], cwd=repo, env={"PATH": "/usr/bin:/bin"}, check=True, timeout=120)
