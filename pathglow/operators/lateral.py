@@ -20,6 +20,9 @@ from pathglow.operators.shared import written
 SEARCH, TANGENT_HALF, AROUND, LEAST_SPAN = 250.0, 20.0, 30.0, 1.0
 PARALLEL, WIDE, MOST_WAYS, LEAST_CELLS, MOST_SAMPLES, ON_LINE, BETWEEN = 15, 30, 32, 5, 160, 80, 24
 
+#: Digits of distances and angles; one less than those shown, so that a median halfway between two is exact.
+DIGITS = 5
+
 
 def moments(r: str = "r", c: str = "c") -> list[Column]:
     """Whole-number moments of cells, from which directions follow without rounding."""
@@ -94,12 +97,12 @@ def parallel_ways(samples: DataFrame, ways: DataFrame, keys: list[str]) -> DataF
     ends = ("x1", "y1", "x2", "y2")
     boxed = ways.select("way_id", "place", "m1", "len", "total", F.struct(*ends).alias("at"), F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"))
     hits = near_boxes(samples.select(*keys, "px", "py"), boxed, SEARCH, 2 * SEARCH).drop(*ends).select("*", "at.*").drop("at")
-    hits = hits.withColumn("dist", F.round(segment_distance(*(F.col(c) for c in ("px", "py", *ends))), 6)).where(F.col("dist") <= SEARCH)
+    hits = hits.withColumn("dist", F.round(segment_distance(*(F.col(c) for c in ("px", "py", *ends))), DIGITS)).where(F.col("dist") <= SEARCH)
     hits = hits.withColumn("along", F.col("m1") + projected("px", "py") * F.col("len"))
     each = hits.groupBy(*keys, "way_id").agg(F.min_by(F.struct("dist", "along", "total"), F.struct("dist", "place")).alias("b")).select(*keys, "way_id", "b.*")
     ranked = each.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("dist", "way_id"))).where(F.col("_rn") <= MOST_WAYS).drop("_rn")
     turned = tangents(ranked, ways, keys).join(samples.select(*keys, "ax", "ay"), keys)
-    angle = F.round(axis_angle(F.col("ax"), F.col("ay"), F.col("tx"), F.col("ty")), 6)
+    angle = F.round(axis_angle(F.col("ax"), F.col("ay"), F.col("tx"), F.col("ty")), DIGITS)
     best = F.struct("dist", "way_id", "angle")
     near = F.min(F.when(F.col("angle") <= PARALLEL, best))
     found = turned.withColumn("angle", angle).groupBy(*keys).agg(near.alias("b"), F.min(F.when(F.col("angle") <= WIDE, F.col("dist"))).alias("dist30"))
@@ -177,7 +180,7 @@ def lateral_metrics(cells: DataFrame, segments: DataFrame, heat: DataFrame, left
     on_way = pieces.select(*keys, "place", *to_cells(F.col("x1"), F.col("y1"), 1), *to_cells(F.col("x2"), F.col("y2"), 2))
     t = projected("px", "py")
     foot = F.struct((F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"))
-    dist = F.round(segment_distance(*(F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2"))), 6)
+    dist = F.round(segment_distance(*(F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2"))), DIGITS)
     feet = pieces.groupBy(*keys).agg(F.first("cr").alias("r1"), F.first("cc").alias("c1"), F.min_by(foot, F.struct(dist, "place")).alias("f"))
     between = feet.select(*keys, F.lit(1).alias("place"), F.col("r1"), F.col("c1"), *to_cells(F.col("f.x"), F.col("f.y"), 2))
     spots = points_on_axis(cells, regions, keys, side).withColumn("kind", F.lit("axis"))
@@ -194,4 +197,4 @@ def lateral_metrics(cells: DataFrame, segments: DataFrame, heat: DataFrame, left
     shown["halo"] = F.when(F.col("way_p90").isNotNull() & F.col("between_median").isNotNull() & (F.col("own_p90") > 0), halo)
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("votes", "axis_n", "way_n")]
     covers = [c for c in cover.columns if c != "key"]
-    return rows.select(tile, "first.r", "first.c", "n", "way_id", F.round("d_median", 4).alias("d_median"), "d_min", F.round("angle_median", 4).alias("angle_median"), *covers, *counts, *[F.round(e, 4).alias(n) for n, e in shown.items()])
+    return rows.select(tile, "first.r", "first.c", "n", "way_id", "d_median", "d_min", "angle_median", *covers, *counts, *[F.round(e, 4).alias(n) for n, e in shown.items()])

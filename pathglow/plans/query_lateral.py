@@ -29,7 +29,7 @@ def _turned(name: str, source: str) -> str:
 
 
 FOOT = "greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (len * len)))"
-GAP = "round(sqrt(power(px - (x1 + t * (x2 - x1)), 2) + power(py - (y1 + t * (y2 - y1)), 2)), 6)"
+GAP = "round(sqrt(power(px - (x1 + t * (x2 - x1)), 2) + power(py - (y1 + t * (y2 - y1)), 2)), 5)"
 
 
 def _range(a: str, b: str) -> str:
@@ -63,7 +63,7 @@ ranked as (select *, greatest(0, along - least({lateral.TANGENT_HALF}, total / 2
 window_ends as (select k.tile, k.comp, k.r, k.c, k.way_id, any_value(k.dist) as dist,
     arg_max(w.x1 + (e - w.m1) / w.len * (w.x2 - w.x1), w.place) - arg_min(w.x1 + (s - w.m1) / w.len * (w.x2 - w.x1), w.place) as tx, arg_max(w.y1 + (e - w.m1) / w.len * (w.y2 - w.y1), w.place) - arg_min(w.y1 + (s - w.m1) / w.len * (w.y2 - w.y1), w.place) as ty
   from ranked k join way w on w.way_id = k.way_id and w.m2 >= k.s and w.m1 <= k.e where k.e - k.s >= {lateral.LEAST_SPAN} group by all),
-angled as (select tile, comp, r, c, way_id, dist, round(degrees(acos(least(1, abs(ax * tx + ay * ty) / nullif(sqrt(ax * ax + ay * ay) * sqrt(tx * tx + ty * ty), 0)))), 6) as angle from window_ends join sample using (tile, comp, r, c)),
+angled as (select tile, comp, r, c, way_id, dist, round(degrees(acos(least(1, abs(ax * tx + ay * ty) / nullif(sqrt(ax * ax + ay * ay) * sqrt(tx * tx + ty * ty), 0)))), 5) as angle from window_ends join sample using (tile, comp, r, c)),
 best as materialized (select tile, comp, r, c, min(dist) filter (where angle <= {lateral.PARALLEL}) as dist15, min(dist) filter (where angle <= {lateral.WIDE}) as dist30, arg_min(way_id, (dist, way_id)) filter (where angle <= {lateral.PARALLEL}) as way_id, arg_min(angle, (dist, way_id)) filter (where angle <= {lateral.PARALLEL}) as angle from angled group by all),
 cover as (select tile, comp, {', '.join(f'round(avg(coalesce(dist15 <= {b}, false)::int), 6) as cover{b}' for b in BANDS)}, round(avg(coalesce(dist30 <= {BANDS[-1]}, false)::int), 6) as cover250_30 from sample left join best using (tile, comp, r, c) group by all),
 won as materialized (select * from (select tile, comp, way_id, count(*) as votes, quantile_cont(dist15, 0.5) as d_median, min(dist15) as d_min, quantile_cont(angle, 0.5) as angle_median from best where way_id is not null group by all) qualify row_number() over (partition by tile, comp order by votes desc, d_median, way_id) = 1),
@@ -79,7 +79,7 @@ strode as (select *, case when steps = 0 then 0 else t0 + (t1 - t0) * i / steps
 axis_seen as (select tile, comp, 'axis' as kind, round_even(round(cr - s * ay, 6), 0) as r, round_even(round(cc + s * ax, 6), 0) as c from strode),
 seen as (select kind, p.tile, p.comp, coalesce(h.v, 0) as v from (select tile, comp, kind, r, c from axis_seen where r between 0 and {SIDE - 1} and c between 0 and {SIDE - 1} union all select tile, comp, kind, r, c from way_seen union all select tile, comp, kind, r, c from between_seen) p left join heat h on h.tile = p.tile and h.r = p.r and h.c = p.c),
 stat as (select tile, comp, {', '.join(f"avg(v) filter (where kind = '{k}') as {k}_mean, quantile_cont(v, 0.9) filter (where kind = '{k}') as {k}_p90, count(*) filter (where kind = '{k}') as {k}_n" for k in ('axis', 'way'))}, quantile_cont(v, 0.5) filter (where kind = 'between') as between_median from seen group by all)
-select tile, (head // 1000)::int as r, (head % 1000)::int as c, n, way_id, round(round(d_median, 6), 4) as d_median, d_min, round(round(angle_median, 6), 4) as angle_median, {', '.join(f'cover{b}' for b in BANDS)}, cover250_30, coalesce(votes, 0) as votes, coalesce(axis_n, 0) as axis_n, coalesce(way_n, 0) as way_n,
+select tile, (head // 1000)::int as r, (head % 1000)::int as c, n, way_id, round(d_median, 6) as d_median, d_min, round(angle_median, 6) as angle_median, {', '.join(f'cover{b}' for b in BANDS)}, cover250_30, coalesce(votes, 0) as votes, coalesce(axis_n, 0) as axis_n, coalesce(way_n, 0) as way_n,
   {', '.join(f'round({c}, 4) as {c}' for c in ('own_mean', 'own_p90', 'axis_mean', 'axis_p90', 'way_mean', 'way_p90', 'between_median'))}, round(way_mean / own_mean, 4) as ratio_mean, round(way_p90 / own_p90, 4) as ratio_p90, round(between_median / own_mean, 4) as between_ratio,
   case when way_p90 is not null and between_median is not null then round(least(way_p90, between_median) / own_p90, 4) end as halo
 from region join cover using (tile, comp) left join won using (tile, comp) left join stat using (tile, comp)"""
