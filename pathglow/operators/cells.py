@@ -15,11 +15,17 @@ def cell(x: Column, size: float) -> Column:
 
 
 def covering_cells(x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> Column:
-    """All cells that a box meets, as an array of (cx, cy)."""
+    """All cells that a small box meets, as an array of (cx, cy); ``over_cells`` is for boxes of any size."""
     xs, ys = F.sequence(cell(x1, size), cell(x2, size)), F.sequence(cell(y1, size), cell(y2, size))
     return F.flatten(F.transform(xs, lambda cx: F.transform(ys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
+def over_cells(boxes: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, size: float, cx: str, cy: str) -> DataFrame:
+    """A row for each cell that a row's box meets, columns before cells: no array is longer than one side of the box."""
+    columns = boxes.withColumn("_y", F.struct(cell(y1, size).alias("a"), cell(y2, size).alias("b"))).withColumn(cx, F.explode(F.sequence(cell(x1, size), cell(x2, size))))
+    return columns.withColumn(cy, F.explode(F.sequence("_y.a", "_y.b"))).drop("_y")
+
+
 def near_pairs(left: DataFrame, right: DataFrame, radius: float, distance: Column, lx: str = "lx", ly: str = "ly", rx: str = "rx", ry: str = "ry") -> DataFrame:
     """Pairs of points within ``radius`` in the plane, with their distance, each pair once.
 
@@ -36,8 +42,7 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, distance: Colum
 def near_boxes(points: DataFrame, boxes: DataFrame, radius: float, size: float, x: str = "px", y: str = "py", box: Sequence[str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
     """Points and boxes no farther apart than ``radius`` in either direction, each pair once."""
     a, b, c, d = (F.col(n) for n in box)
-    spread = boxes.withColumn("_c", F.explode(covering_cells(a - radius, b - radius, c + radius, d + radius, size)))
-    spread = spread.select("*", F.col("_c.cx").alias("_bx"), F.col("_c.cy").alias("_by")).drop("_c")
+    spread = over_cells(boxes, a - radius, b - radius, c + radius, d + radius, size, "_bx", "_by")
     homes = points.withColumn("_px", cell(F.col(x), size)).withColumn("_py", cell(F.col(y), size))
     inside = F.col(x).between(a - radius, c + radius) & F.col(y).between(b - radius, d + radius)
     return homes.join(spread, (F.col("_px") == F.col("_bx")) & (F.col("_py") == F.col("_by")) & inside).drop("_px", "_py", "_bx", "_by")

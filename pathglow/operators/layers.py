@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathglow.operators.quantiles import exact_quantiles
 from pathglow.operators.shared import written
 
 THRESHOLDS = (10, 25, 50, 75, 100)
@@ -36,8 +37,7 @@ def within_counts(rows: DataFrame, dist: str, *keys: str, thresholds: tuple[int,
 
 def distance_stats(rows: DataFrame, dist: str, *keys: str) -> DataFrame:
     names = ("p10", "p25", "median", "p75", "p90")
-    q = F.percentile(dist, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
-    g = rows.where(F.col(dist).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.min(dist).alias("low"), q.alias("q"), F.max(dist).alias("high"))
+    g = exact_quantiles(rows.where(F.col(dist).isNotNull()), list(keys), dist, (0.1, 0.25, 0.5, 0.75, 0.9))
     return g.select(*keys, "n", F.round("low", 3).alias("low"), *[F.round(F.col("q")[i], 3).alias(n) for i, n in enumerate(names)], F.round("high", 3).alias("high"))
 
 

@@ -124,6 +124,23 @@ def burn_mask(heat: DataFrame, segments: DataFrame, width: float, keys: tuple[st
     return heat.join(burnt, [*keys, "r", "c"], "left").withColumn("v", F.when(F.col("_burnt"), 0).otherwise(F.col("v"))).drop("_burnt")
 
 
+def fill_polygons(heat: DataFrame, edges: DataFrame, side: int, shape: str = "shape", keys: tuple[str, ...] = ("tile",)) -> DataFrame:
+    """Sets to 0 the cells inside polygons (keys, shape, edges r1, c1, r2, c2) of their tile of ``side`` cells.
+
+    A row of cells meets a polygon's edges in an even number of places; the cells between the first and the second, the
+    third and the fourth and so on lie inside. A cell on an edge belongs to the polygon above or to its right; masks burn
+    the edges as lines too. A shape gives no more than the tile's cells; parts outside the tile cost nothing.
+    """
+    first, last = F.greatest(F.lit(0), F.ceil(F.least("r1", "r2")).cast("int")), F.least(F.lit(side - 1), F.floor(F.greatest("r1", "r2")).cast("int"))
+    met = edges.where(first <= last).withColumn("r", F.explode(F.sequence(first, last))).where((F.col("r1") > F.col("r")) != (F.col("r2") > F.col("r")))
+    place = (F.col("c2") - F.col("c1")) * (F.col("r") - F.col("r1")) / (F.col("r2") - F.col("r1")) + F.col("c1")
+    rows = met.groupBy(*keys, shape, "r").agg(F.array_sort(F.collect_list(F.least(F.lit(float(side)), F.greatest(F.lit(0.0), place)))).alias("x"))
+    spans = F.transform(F.sequence(F.lit(0), F.size("x") - 2, F.lit(2)), lambda i: F.struct(F.ceil(F.get("x", i)).cast("int").alias("a"), (F.ceil(F.get("x", i + 1)) - 1).cast("int").alias("b")))
+    inside = rows.where(F.size("x") >= 2).select(*keys, "r", F.explode(spans).alias("s")).where("s.a <= s.b").select(*keys, "r", F.explode(F.sequence("s.a", "s.b")).alias("c"))
+    burnt = inside.distinct().withColumn("_burnt", F.lit(True))
+    return heat.join(burnt, [*keys, "r", "c"], "left").withColumn("v", F.when(F.col("_burnt"), 0).otherwise(F.col("v"))).drop("_burnt")
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """Grey values of an 8-bit PNG without interlace: grey, grey with alpha, RGB or RGBA."""
     import struct

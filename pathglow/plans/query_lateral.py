@@ -9,7 +9,7 @@ from pathglow.operators.metrics import BANDS
 from pathglow.operators.shared import written
 from pathglow.plans.query_spatial import LABELLED, MIN_SIZE, SEGS, THRESHOLD
 from pathglow.plans.registry import query
-from pathglow.plans.standins import div, view, with_views
+from pathglow.plans.standins import base, div, view, with_views
 
 #: Tiles of 20 cells of 10 metres that lie among the ways of their orders.
 PIXEL, SIDE = 10.0, 20
@@ -93,3 +93,20 @@ def lateral_heat(spark, sf_dir):
     chosen = raster.peaks(cells, MIN_SIZE).select("tile", "comp")
     own = cells.join(chosen, ["tile", "comp"], "left_semi").select("tile", "comp", "r", "c", "v")
     return lateral.lateral_metrics(own, mapdata.segments(view(spark, sf_dir, "vertex")), heat, F.expr(LEFT), F.expr(TOP), PIXEL, SIDE)
+
+
+#: An order is a triangle of its tile, some of them wide, some partly outside.
+CORNERS = [f"o_orderkey % 20 - 1.7e0 + ({s})" for s in ("0", "w", "w / 2")], [f"o_orderkey * 7 % 20 - 1.7e0 + ({s})" for s in ("0", "w / 2", "w")]
+TRIANGLES = " union all ".join(f"select tile, shape, {CORNERS[0][i]} as r1, {CORNERS[1][i]} as c1, {CORNERS[0][(i + 1) % 3]} as r2, {CORNERS[1][(i + 1) % 3]} as c2 from {{orders}}" for i in range(3))
+WIDTH = "case when o_orderkey % 16 = 3 then 2e0 + o_orderkey % 4 else 0.4e0 end"
+
+
+@query(with_views(f"""shapes as (select *, {div('o_orderkey', 400)} as tile, o_orderkey as shape, {WIDTH} as w from orders), edges as ({TRIANGLES.replace('{orders}', 'shapes')}),
+inside as (select distinct tile, r, c from (select tile, r, c, shape from heat join edges using (tile) group by all having count(*) filter (where (r1 > r) <> (r2 > r) and c < (c2 - c1) * (r - r1) / (r2 - r1) + c1) % 2 = 1))
+select tile, count(*) as cells, count(*) filter (where i.tile is null and v > 0) as hot_left, sum(case when i.tile is null then v else 0 end)::bigint as heat_left from heat left join inside i using (tile, r, c) group by tile""", "heat"))
+def heat_after_fill(spark, sf_dir):
+    """Heat that areas leave: every order is a polygon, filled in its tile."""
+    shapes = base(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{div('o_orderkey', 400)} as tile", "o_orderkey as shape", f"{WIDTH} as w")
+    edges = F.array(*[F.struct(*[F.expr(e).alias(n) for n, e in (("r1", CORNERS[0][i]), ("c1", CORNERS[1][i]), ("r2", CORNERS[0][(i + 1) % 3]), ("c2", CORNERS[1][(i + 1) % 3]))]) for i in range(3)])
+    left = raster.fill_polygons(view(spark, sf_dir, "heat"), shapes.select("tile", "shape", F.explode(edges).alias("e")).select("tile", "shape", "e.*"), SIDE)
+    return left.groupBy("tile").agg(F.count("*").alias("cells"), F.count_if(F.col("v") > 0).alias("hot_left"), F.sum("v").alias("heat_left"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathglow.functions import tags, text
 from pathglow.operators import labels, rules
+from pathglow.operators.quantiles import exact_quantiles
 from pathglow.operators.rules import Rule
 from pathglow.plans.registry import query
 from pathglow.plans.rulebook import full_grid, lateral_grid, remaining_grid, second_grid
@@ -207,8 +208,7 @@ DESCRIBED = " union all ".join(f"""select '{f}' as field, {BUCKET} as bucket, co
 def describe_by_status(spark, sf_dir):
     rows = accepted(spark, sf_dir).withColumn("bucket", tags.status_bucket(F.col("status")))
     long = rows.unpivot(["bucket"], list(FIELDS), "field", "x")
-    parts = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = long.groupBy("field", "bucket").agg(F.count("x").alias("n"), F.min("x").alias("low"), parts.alias("q"), F.avg("x").alias("mean"), F.max("x").alias("high"))
+    stats = exact_quantiles(long, ["field", "bucket"], "x", (0.25, 0.5, 0.75))
     return stats.select("field", "bucket", "n", *[F.round(c, 6).alias(n) for n, c in (("low", F.col("low")), ("p25", F.col("q")[0]), ("median", F.col("q")[1]), ("mean", F.col("mean")), ("p75", F.col("q")[2]), ("high", F.col("high")))])
 
 
@@ -220,7 +220,10 @@ def metric_medians(spark, sf_dir):
     s = F.col("status")
     group = F.when(s == "Not_An_Issue", "nai").when(s == "Too_Hard", "too_hard").when(s.isin("Fixed", "Already_Fixed"), "positive")
     rows = accepted(spark, sf_dir).withColumn("label_group", group).where("label_group is not null")
-    return rows.groupBy("label_group").agg(F.count("*").alias("n"), *[F.round(F.median(c), 6).alias(c) for c in ("peak_dist", "p90", "follow100")])
+    names = ["peak_dist", "p90", "follow100"]
+    medians = exact_quantiles(rows.unpivot(["label_group"], names, "field", "x"), ["label_group", "field"], "x", (0.5,))
+    shown = [F.round(F.max(F.when(F.col("field") == c, F.col("q")[0])), 6).alias(c) for c in names]
+    return rows.groupBy("label_group").agg(F.count("*").alias("n")).join(medians.groupBy("label_group").agg(*shown), "label_group", "left")
 
 
 PROXIES = {"pixels": (0, "<=", (20, 50, 100)), "heat_max": (999, "<", (60, 100, 140))}

@@ -472,8 +472,8 @@ def geo_report(spark, sf_dir):
 @query(with_views("""b as (select way_id, x1, y1, x2, y2 from (select way_id, min(x) as x1, min(y) as y1, max(x) as x2, max(y) as y2 from vertex group by way_id)), t as (select way_id, unnest(range(floor(x1 / 256)::bigint, floor(x2 / 256)::bigint + 1)) as x, y1, y2 from b), u as (select way_id, x, unnest(range(floor(y1 / 256)::bigint, floor(y2 / 256)::bigint + 1)) as y from t)
 select (x % 2 + 2 * (y % 2))::int as part, count(distinct (x, y)) as tiles, count(*) as visits from u group by 1""", "vertex"))
 def tile_enumeration_offsets(spark, sf_dir):
-    found = _boxes(spark, sf_dir).select("way_id", F.explode(cells.covering_cells(*(F.col(c) for c in ("x1", "y1", "x2", "y2")), 256)).alias("t"))
-    return found.groupBy((F.col("t.cx") % 2 + 2 * (F.col("t.cy") % 2)).cast("int").alias("part")).agg(F.countDistinct("t.cx", "t.cy").alias("tiles"), F.count("*").alias("visits"))
+    found = cells.over_cells(_boxes(spark, sf_dir), *(F.col(c) for c in ("x1", "y1", "x2", "y2")), 256, "cx", "cy")
+    return found.groupBy((F.col("cx") % 2 + 2 * (F.col("cy") % 2)).cast("int").alias("part")).agg(F.countDistinct("cx", "cy").alias("tiles"), F.count("*").alias("visits"))
 
 
 @query()

@@ -94,3 +94,39 @@ def test_candidates_without_ways_have_no_cover(spark):
             assert (long["d_median"], long["votes"], long["way_mean"], long["between_median"]) == (20, 9, 60, 60)
             assert long["halo"] == 0.5
     assert lateral.lateral_metrics(own.limit(0), spark.createDataFrame(segments(lines), SEGMENT), heat, F.lit(0.0), F.lit(0.0), 10.0, 20).count() == 0
+
+
+def test_percentiles_of_large_groups_are_exact(spark):
+    from pathglow.operators.quantiles import exact_quantiles
+
+    rng = random.Random(3)
+    rows = [(g, float(rng.choice((rng.randrange(30), rng.random() * 30)))) for g in ("a", "b", None) for _ in range(700)] + [("one", 4.0), ("a", None), ("none", None)]
+    df, shares = spark.createDataFrame(rows, "g string, x double").repartition(7), (0.0, 0.1, 0.5, 0.9, 1.0)
+    for held in (0, 10**6):
+        found = {r["g"]: r for r in exact_quantiles(df, ["g"], "x", shares, held).collect()}
+        assert set(found) == {"a", "b", None, "one", "none"}
+        none = found.pop("none")
+        assert (none["n"], none["low"], none["mean"], none["q"]) == (0, None, None, None)
+        for g, r in found.items():
+            own = [x for k, x in rows if k == g and x is not None]
+            assert list(r["q"]) == pytest.approx(list(np.percentile(own, [100 * s for s in shares])))
+            assert (r["n"], r["low"], r["high"], r["mean"]) == (len(own), min(own), max(own), pytest.approx(np.mean(own)))
+        whole = exact_quantiles(df, [], "x", (0.5,), held).collect()
+        assert whole[0]["q"] == pytest.approx([np.median([x for _, x in rows if x is not None])])
+        assert exact_quantiles(df.limit(0), ["g"], "x", shares, held).count() == 0
+
+
+def test_filled_polygons_hold_the_cells_inside(spark):
+    from pathglow.operators.raster import fill_polygons
+
+    shapes = {1: [(2, 2), (9, 3), (5, 5.5), (8, 9), (1, 8)], 2: [(-30, -30), (-30, 4), (3.5, 3.5)], 3: [(25, 25), (30, 25), (30, 30)], 4: [(12, 12), (12, 12)], 5: [(13, 10), (15, 14), (17, 10), (15, 40)]}
+    edges = [(0, k, float(a[0]), float(a[1]), float(b[0]), float(b[1])) for k, s in shapes.items() for a, b in zip(s, s[1:] + s[:1], strict=True)]
+    heat = [(t, r, c, 9) for t in (0, 1) for r in range(20) for c in range(20)]
+    left = fill_polygons(spark.createDataFrame(heat, "tile int, r int, c int, v int"), spark.createDataFrame(edges, "tile int, shape int, r1 double, c1 double, r2 double, c2 double"), 20)
+
+    def holds(r, c):
+        return any(sum((r1 > r) != (r2 > r) and c < (c2 - c1) * (r - r1) / (r2 - r1) + c1 for _, k, r1, c1, r2, c2 in edges if k == s) % 2 for s in shapes)
+
+    got = {(x["tile"], x["r"], x["c"]): x["v"] for x in left.collect()}
+    assert got == {(t, r, c): 0 if t == 0 and holds(r, c) else 9 for t, r, c, _ in heat}
+    assert 20 < sum(v == 0 for v in got.values()) < 200
