@@ -24,6 +24,20 @@ def test_history_follows_the_stream(spark, tmp_path):
     assert reviews.history(spark, path).count() == 2
 
 
+def test_a_batch_rewrites_only_the_parts_it_touches(spark, tmp_path):
+    source, path, check = str(tmp_path / "in"), tmp_path / "history", str(tmp_path / "check")
+    for n in range(1, 5):
+        rows = [("same", "2", day(n), f"m{n}")] + ([(f"c{i}", "2", day(1), "m") for i in range(12)] if n == 1 else [])
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        reviews.follow_reviews(spark.readStream.schema(SCHEMA).parquet(source), str(path), check, parts=4).awaitTermination()
+    assert reviews.history(spark, str(path)).count() == 13
+    assert [r["mapper"] for r in reviews.history(spark, str(path)).where("candidate_id = 'same'").collect()] == ["m4"]
+    folders = {v.name: sorted(p.name for p in v.glob("part=*")) for v in path.glob("version=*")}
+    newest = folders["version=3"]
+    assert len(newest) == 1 and folders["version=2"] == newest  # the version before stays, for a batch that is run again
+    assert set(folders) == {"version=0", "version=2", "version=3"} and newest[0] not in folders["version=0"] and len(folders["version=0"]) == 3
+
+
 def test_history_of_nothing(spark, tmp_path):
     assert reviews.history(spark, str(tmp_path / "none")).count() == 0
 
