@@ -20,6 +20,19 @@ def write_sequence(rows: DataFrame, path: str, lon: str, lat: str, properties: l
     rows.select(F.concat(F.lit(RECORD_MARK if marked else ""), one).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_collection(rows: DataFrame, path: str, key: str, lon: str, lat: str, properties: list[str]) -> None:
+    """One collection of all rows, sorted by ``key`` as text, in files that together, in the order of their names, are the
+    document; so no task holds it whole. A key has one feature, the least of its rows; rows without a key are left out.
+    """
+    entries = F.create_map(*[x for p in properties for x in (F.lit(p), F.coalesce(F.col(p).cast("string"), F.lit("")))])
+    one = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.to_json(as_feature(F.col(lon), F.col(lat), entries)).alias("f"))
+    each = one.groupBy("k").agg(F.min("f").alias("f"))
+    first = each.agg(F.min("k")).first()[0]
+    lines = each.select(F.lit(1).alias("place"), "k", F.concat(F.when(F.col("k") == F.lit(first), "").otherwise(","), "f").alias("value"))
+    ends = rows.sparkSession.createDataFrame([(0, "", '{"type": "FeatureCollection", "features": ['), (2, "", "]}")], "place int, k string, value string")
+    lines.unionByName(ends).repartitionByRange("place", "k").sortWithinPartitions("place", "k").select("value").write.mode("overwrite").text(path)
+
+
 def write_table(rows: DataFrame, path: str, columns: list[str]) -> None:
     """CSV with the given columns in their order; nulls are blank, other columns are left out."""
     rows.select(*columns).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", escape='"')

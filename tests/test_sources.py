@@ -45,6 +45,17 @@ def test_sequence_round_trip(spark, tmp_path):
     assert [(r["id"], r["lon"], r["lat"], r["properties"]["size"], r["properties"]["peak"]) for r in back] == [("14/1/2/3/4", 1.25, 2.5, "35", ""), ("14/1/2/3/5", 1.0, -2.5, "40", "7")]
 
 
+def test_collection_is_one_document_over_all_files(spark, tmp_path):
+    rows = [(f"k{i % 60:02d}", float(i % 60), 2.5, None if i % 3 else i % 60) for i in range(120)] + [(None, 1.0, 1.0, 1)]
+    df = spark.createDataFrame(rows, "id string, lon double, lat double, size int").repartition(5)
+    for name, own in (("all", df), ("one", df.where("id = 'k07'")), ("none", df.limit(0))):
+        sinks.write_collection(own, str(tmp_path / name), "id", "lon", "lat", ["id", "size"])
+        found = json.loads("".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*"))))
+        ids = [f["properties"]["id"] for f in found["features"]]
+        assert found["type"] == "FeatureCollection" and ids == {"all": [f"k{i:02d}" for i in range(60)], "one": ["k07"], "none": []}[name]
+        assert all(f["geometry"]["coordinates"] == [int(f["properties"]["id"][1:]), 2.5] for f in found["features"])
+
+
 def test_area_keeps_holes(spark, tmp_path):
     square = [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]
     hole = [[1, 1], [2, 1], [2, 2], [1, 1]]
