@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathglow.llm import sql
 from pathglow.llm.common import table
 from pathglow.llm.embedding_dedup import embedding_components
+from pathglow.llm.lexical_search import search
 from pathglow.llm.license_scan import license_scan
 from pathglow.llm.packing import pack
+from pathglow.llm.periodic_runs import periodic_runs
 from pathglow.llm.quality_rules import MAX_LONGEST, quality_verdicts
+from pathglow.llm.secret_scan import KINDS, find_secrets
 from pathglow.llm.sharding import assign_shards
 from pathglow.llm.simhash import simhash_components
 from pathglow.llm.tokenize import encode_decode, token_counts
@@ -70,6 +73,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """The given documents, those whose id asks for it made periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words).cast("long")
+    a = F.when(n > 0, g % n)
+    planned = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.when(h % 10 == 0, a).alias("a"), g.alias("g"))
+    p = (1 + F.floor((F.size("words") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    planned = planned.withColumn("a", F.col("a").cast("int")).withColumn("p", p)
+    changed = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return planned.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_with_periods(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), "collapsed_sha256",
+    )
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    kinds = F.array(*map(F.lit, KINDS))
+
+    def listed(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["stop"])), ",")
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    return found.select("doc_id", *map(count, range(3)), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -81,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = sql.ORACLES
