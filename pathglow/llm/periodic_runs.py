@@ -194,7 +194,7 @@ def _read(part: pa.RecordBatch, core: int, low: int) -> Iterator[pa.RecordBatch]
     for f in solve_tiles(codes[mine], counts[small], zero, zero, counts[small], 0, max(low, core.bit_length())):
         found[small[f[0]]].append(f)
     pending = np.array([bool(f) for f in found], bool) | (counts > core)
-    texts = pc.binary_join(pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(counts)], words), " ")
+    texts = pc.binary_join(pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), words), pa.scalar(" ", words.type))
     _, offsets, data = texts.buffers()
     bounds, data = np.frombuffer(offsets, np.int64).tolist(), memoryview(data or b"")
     digests = [None if p else hashlib.sha256(data[bounds[i] : bounds[i + 1]]).hexdigest() for i, p in enumerate(pending.tolist())]
