@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathglow.functions import geo, tags, text
-from pathglow.operators import batteries, cells, layers, mapdata, metrics, raster
+from pathglow.operators import areas, batteries, cells, layers, mapdata, metrics, raster
 from pathglow.operators.shared import written
 from pathglow.plans.registry import query
 from pathglow.plans.standins import base, div, view, with_views
@@ -306,26 +306,24 @@ SPOT = "spot as (select l_orderkey as grp, l_linenumber as pos, row_number() ove
 INSIDE = "inside as (select spot_id, ring, sum(((y1 > py) <> (y2 > py) and px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)::int) % 2 = 1 as inside from spot join ring on px between ox and ox + 4 * s and py between oy and oy + 4 * s join corners using (ring) group by all)"
 
 
-def _inside(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _inside(spark, sf_dir) -> DataFrame:
+    """grp, pos, ring, inside: line items as spots, for each ring whose box holds the spot."""
     part = base(spark, sf_dir, "part").selectExpr("p_partkey as ring", "cast(p_partkey * 37 % 20000 as double) as ox", "cast(p_partkey * 53 % 20000 as double) as oy", "40 + p_size * 3 as s")
     edges = part.select("ring", F.explode(F.array(*[F.struct(*[(F.col(o) + F.col("s") * v).alias(n) for n, o, v in zip(("x1", "y1", "x2", "y2"), ("ox", "oy", "ox", "oy"), e, strict=True)]) for e in SHAPE])).alias("e")).select("ring", "e.*")
-    boxes = part.selectExpr("ring", "ox as x1", "oy as y1", "ox + 4 * s as x2", "oy + 4 * s as y2")
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax", "l_discount"]
-    spots = base(spark, sf_dir, "lineitem").select(F.xxhash64(*keys).alias("spot_id"), F.col("l_orderkey").alias("grp"), F.col("l_linenumber").alias("pos"), F.expr("cast(l_partkey * 37 % 20000 + l_linenumber * 11 + 0.5 as double)").alias("px"), F.expr("cast(l_partkey * 53 % 20000 + l_suppkey % 90 + 0.25 as double)").alias("py"))
-    near = cells.near_boxes(spots, boxes, 0, 500).select("spot_id", "ring")
-    return spots, metrics.inside_counts(spots, edges, near, "spot_id", "ring")
+    spots = base(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").alias("pos"), F.expr("cast(l_partkey * 37 % 20000 + l_linenumber * 11 + 0.5 as double)").alias("px"), F.expr("cast(l_partkey * 53 % 20000 + l_suppkey % 90 + 0.25 as double)").alias("py"))
+    met = areas.placed_points(spots, areas.covering(edges, "ring", outside=True), "ring")
+    return met.where("px between bx1 and bx2 and py between by1 and by2").select("grp", "pos", "ring", "inside")
 
 
 @query(f"with {RING}, {CORNERS}, {SPOT}, {INSIDE} select ring, count(*) as near_spots, count(*) filter (where inside) as inside_spots from inside group by ring")
 def point_in_polygon(spark, sf_dir):
-    return _inside(spark, sf_dir)[1].groupBy("ring").agg(F.count("*").alias("near_spots"), F.count_if("inside").alias("inside_spots"))
+    return _inside(spark, sf_dir).groupBy("ring").agg(F.count("*").alias("near_spots"), F.count_if("inside").alias("inside_spots"))
 
 
 @query(f"""with {RING}, {CORNERS}, {SPOT}, {INSIDE}, g as (select grp, ring, avg(inside::int) as f, bool_or(inside) as any_in, bool_or(not inside) as any_out, bool_or(inside and pos = 1) as centre_inside from inside join spot using (spot_id) group by all)
 select grp, ring, round(f, 6) as inside_frac, centre_inside, any_in and any_out as crosses, f >= 0.5 as majority, f >= 0.99 as entire, centre_inside and f >= 0.9 and not (any_in and any_out) as stays_inside from g""")
 def containment_fractions(spark, sf_dir):
-    spots, inside = _inside(spark, sf_dir)
-    return metrics.containment(inside.join(spots.select("spot_id", "grp", (F.col("pos") == 1).alias("is_centre")), "spot_id"), "grp", "ring")
+    return metrics.containment(_inside(spark, sf_dir).withColumn("is_centre", F.col("pos") == 1), "grp", "ring")
 
 
 @query("""with n as (select *, row_number() over (partition by user_id order by value, event_id) - 1 as place, count(*) over (partition by user_id) as n from events), s as (select distinct user_id, round_even(i * (n - 1)::double / (least(n, 20) - 1), 0)::bigint as place from n, unnest(range(0, 20)) as t(i) where n > 20)
@@ -527,8 +525,7 @@ contained as (select grp, ring, round(f, 6) as inside_frac, centre_inside, any_i
 
 
 def _contained(spark, sf_dir) -> DataFrame:
-    spots, inside = _inside(spark, sf_dir)
-    rows = metrics.containment(inside.join(spots.select("spot_id", "grp", (F.col("pos") == 1).alias("is_centre")), "spot_id"), "grp", "ring")
+    rows = metrics.containment(_inside(spark, sf_dir).withColumn("is_centre", F.col("pos") == 1), "grp", "ring")
     return rows.withColumn("near_entire", F.col("inside_frac") >= 0.9).withColumn("distance", F.when(F.col("ring") % 5 != 0, (F.col("ring") % 60).cast("double")))
 
 

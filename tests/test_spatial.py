@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pathglow.functions import geo
-from pathglow.operators import cells, layers, mapdata, metrics
+from pathglow.operators import areas, cells, layers, mapdata, metrics
 
 
 def plane():
@@ -60,7 +60,7 @@ def test_polygon_parity_like_winding(spark):
     edges = spark.createDataFrame([(1, *p, *q) for p, q in zip(ring, ring[1:] + ring[:1], strict=True)], "ring int, x1 double, y1 double, x2 double, y2 double")
     spots = [(i, x + 0.37, y + 0.21) for i, (x, y) in enumerate((x, y) for x in range(-1, 9) for y in range(-1, 10))]
     df = spark.createDataFrame(spots, "spot long, px double, py double")
-    got = {r["spot"] for r in metrics.inside_counts(df, edges, df.select("spot", F.lit(1).alias("ring")), "spot", "ring").where("inside").collect()}
+    got = {r["spot"] for r in areas.placed_points(df, areas.covering(edges, "ring"), "ring").where("inside").collect()}
 
     def winding(x, y):
         turn = 0.0
