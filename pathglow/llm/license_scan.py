@@ -8,7 +8,10 @@ template words count, so a block is the ordered set of those it holds. A pair is
 prefix equals one in the block's prefix, if the block is long enough (length filter), and if the words that remain after
 the first common one can still reach the overlap (positional filter). The overlap of candidates is then counted.
 
-Defined cases: a null text counts as empty; texts are scanned whole; a text without findings has null first_word and
+Texts that can meet a template are exploded once into the places of the templates' words, with ranks from a broadcast of some
+hundreds of words; blocks are groups of these places, so work and memory grow with a text's words, not with their square.
+
+Defined cases: a null text counts as empty; texts are scanned whole, whatever their length; a text without findings has null first_word and
 last_word, empty labels and score 0; repeated rows and null ids are returned as they come; an empty table gives
 no rows; columns other than the id and the text are ignored, whatever their names.
 """
@@ -121,14 +124,19 @@ def _template_labels(table: DataFrame, known: list[tuple[str, list[str], int]],
         least[size] = min(needed, least.get(size, needed))
         prefixes += [(number, label, size, ranks, needed, rank, place) for place, rank in enumerate(ranks[: len(ranks) - needed + 1])]
     small = spark.createDataFrame(prefixes, "template int, label string, window int, ranks array<int>, needed int, rank int, template_place int")
-    ranked = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+    ranked = spark.createDataFrame(list(order.items()), "word string, rank int")  # the templates' words, some hundreds
     fewest = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("window")]
 
-    blocks = table.where("size(windows) > 0").select("row", "words", F.explode("windows").alias("window"))
-    half = F.expr("window div 2").cast("int")
-    blocks = blocks.select("row", "words", "window", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - half, F.lit(0)), half)).alias("start"))
-    held = F.array_intersect(F.slice("words", F.col("start") + 1, F.col("window")), _literal(list(order)))
-    blocks = blocks.select("row", "window", "start", F.array_sort(F.transform(held, lambda w: ranked[w])).alias("block")).where(F.size("block") >= fewest)
+    # a place of a template word for each window size that its text needs; from here on no row holds a text
+    places = table.where("size(windows) > 0").select("row", "n_words", "windows", F.posexplode("words").alias("at", "word"))
+    places = places.join(F.broadcast(ranked), "word").select("row", "n_words", "at", "rank", F.explode("windows").alias("window"))
+    half = F.expr("cast(window div 2 as int)")
+    halves = places.groupBy("row", "n_words", "window", F.floor(F.col("at") / half).cast("int").alias("half")).agg(F.collect_set("rank").alias("held"))
+    # a block begins every half window as long as half a window is left: it is made of two halves
+    last = F.floor(F.greatest(F.col("n_words") - half, F.lit(0)) / half).cast("int")
+    halves = halves.select("row", "window", "held", last.alias("last"), F.explode(F.array(F.col("half") - 1, F.col("half"))).alias("start")).where(F.col("start").between(0, F.col("last")))
+    block = F.array_sort(F.array_distinct(F.flatten(F.collect_list("held"))))
+    blocks = halves.groupBy("row", "window", "start").agg(block.alias("block")).where(F.size("block") >= fewest)
     first = blocks.select("row", "window", "start", "block", F.posexplode(F.slice(F.col("block"), F.lit(1), F.size("block") - fewest + 1)).alias("place", "rank"))
     met = first.join(F.broadcast(small), ["rank", "window"]).where(F.size("block") >= F.col("needed"))
     pairs = met.groupBy("row", "start", "template").agg(

@@ -2,9 +2,9 @@
 
 Learning. From labelled rows (at most ``fit_rows``, those of the least hash of the id; never the held-out third; of an id
 that stands for several texts the least text) words of three letters or more and their stems are counted by document
-and class. The lexicon, of ``lexicon_size`` terms at most, holds those whose share of toxic documents exceeds the
-base rate by more than chance among all candidates allows. Words near the lexicon that clean documents use are noted
-as innocent, and a term near many of them gets little weight for misspellings, so that ordinary words are not taken for
+and class. The lexicon holds all those whose share of toxic documents exceeds the
+base rate by more than chance among all candidates allows. All words near the lexicon that clean documents use are noted
+as innocent, so lexicon and innocent words are bounded by the words of the ``fit_rows`` documents alone. A term near many of them gets little weight for misspellings, so that ordinary words are not taken for
 one. A logistic curve turns a document's mass into a score.
 
 Scoring. Every word runs through the intersection of the lexicon's trie with the Levenshtein automaton of ``EDITS``
@@ -20,7 +20,6 @@ id are scored and are not held out; an empty table gives no rows; columns other
 from __future__ import annotations
 
 import math
-import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pathglow.llm.common import Memo, held, parts, split_words, text_column, written
 
-FIT_ROWS, LEXICON_SIZE, INNOCENT_SIZE, LEAST_LETTERS = 10_000, 2_000, 50_000, 3
+FIT_ROWS, LEAST_LETTERS = 10_000, 3
 EDITS, FUZZY_LENGTH, EDIT_WEIGHT = 1, 5, 0.6
 STEM_LENGTHS, STEM_GAIN, PRECISION, MARGIN = range(4, 10), 1.5, 0.8, -1.0
 WINDOW, QUOTED, ADDRESSED = 8, 0.3, 1.5
@@ -234,17 +233,10 @@ def _evidence(base: float) -> Column:
     return n * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
 
 
-def _at_most(rows: list, most: int, what: str) -> list:
-    if len(rows) > most:
-        warnings.warn(f"more than {most} {what}: those of less evidence are left out", stacklevel=2)
-    return rows[:most]
-
-
-def _lexicon(counted: DataFrame, base: float, lexicon_size: int) -> list[tuple[str, bool, float]]:
+def _lexicon(counted: DataFrame, base: float) -> list[tuple[str, bool, float]]:
     size = counted.count()
     strong = counted.where((F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))) & (_evidence(base) >= math.log(size) + MARGIN))
-    rows = strong.select("word", "toxic", "clean", _evidence(base).alias("evidence")).orderBy(F.desc("evidence"), "word").limit(lexicon_size + 1).collect()
-    rows = _at_most(rows, lexicon_size, "terms of the lexicon")
+    rows = strong.select("word", "toxic", "clean", _evidence(base).alias("evidence")).orderBy(F.desc("evidence"), "word").collect()  # words of fit_rows documents
     weight = {r["word"]: r["toxic"] / (r["toxic"] + r["clean"]) for r in rows}
     whole = {r["word"]: r["toxic"] for r in rows if not r["word"].endswith("*")}
     stems: list[str] = []
@@ -271,10 +263,9 @@ def _near(counted: DataFrame, terms: tuple[tuple[str, bool], ...]) -> DataFrame:
     return written(counted.mapInArrow(run, "word string, toxic long, clean long, term long"), "near-words")
 
 
-def _misspelt(near: DataFrame, terms: tuple[tuple[str, bool], ...], innocent_size: int) -> tuple[frozenset[str], tuple[float, ...]]:
+def _misspelt(near: DataFrame, terms: tuple[tuple[str, bool], ...]) -> tuple[frozenset[str], tuple[float, ...]]:
     """The innocent words, and for each term the weight of its misspellings."""
-    used = near.where("clean > toxic").orderBy(F.desc("clean"), "word").limit(innocent_size + 1).collect()
-    used = _at_most(used, innocent_size, "innocent words")
+    used = near.where("clean > toxic").select("word").collect()  # words of fit_rows documents, near a term
     sums = {r["term"]: (r["toxic"], r["clean"]) for r in near.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()}
     shares = [(1 + sums.get(i, (0, 0))[0]) / (1 + sum(sums.get(i, (0, 0)))) for i in range(len(terms))]
     return frozenset(r["word"] for r in used), tuple(EDIT_WEIGHT * s for s in shares)
@@ -293,18 +284,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float,
     return float(beta[0]), float(max(beta[1], 0.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lexicon_size: int = LEXICON_SIZE, innocent_size: int = INNOCENT_SIZE) -> Model:
-    """Learns from ``fit_rows`` labelled documents at most. The sizes bound what the model holds; a warning says so if they cut."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learns from ``fit_rows`` labelled documents at most."""
     training = written(_training(docs, labels, fit_rows, id_col, text_col), "training")
     total, toxic = training.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
     if not 0 < toxic < total:
         return Model()
     counted = _counted(training)
-    chosen = _lexicon(counted, toxic / total, lexicon_size)
+    chosen = _lexicon(counted, toxic / total)
     terms, weights = tuple((t, s) for t, s, _ in chosen), tuple(w for *_, w in chosen)
     if not terms:
         return Model(intercept=math.log(toxic / (total - toxic)))
-    model = Model(terms, weights, *_misspelt(_near(counted, terms), terms, innocent_size))
+    model = Model(terms, weights, *_misspelt(_near(counted, terms), terms))
     seen = training.select(score_of(F.col("text"), model, raw=True).alias("mass"), (F.col("toxic") > 0).cast("double").alias("toxic")).toArrow()  # fit_rows rows at most
     intercept, slope = _logistic(np.log1p(seen["mass"].to_numpy()), seen["toxic"].to_numpy())
     return replace(model, intercept=intercept, slope=slope)

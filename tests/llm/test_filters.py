@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import string
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -252,13 +253,69 @@ def test_scores_like_plain_distances(spark, data):
     assert all(abs(scored[i] - plain_score(t, other, memo)) < 1e-9 for i, t in rows.items()) and len(set(scored.values())) > 2
 
 
-def test_sizes_of_the_model_are_bounds_that_speak(spark):
-    words = ["vileness", "grubbity", "mokester"]
-    docs = spark.createDataFrame([(i, f"plain text number {i} " + " ".join(words if i % 4 == 0 else ["fine"])) for i in range(400)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
-    assert len(toxicity.fit(docs, labels).terms) >= 3
-    with pytest.warns(UserWarning, match="lexicon"):
-        assert len(toxicity.fit(docs, labels, lexicon_size=1).terms) == 1
+def plain_fit(texts: list[str], toxic: list[int]) -> tuple[set, dict]:
+    """Terms and counts of the lexicon by plain counting: evidence, precision, stems and what they cover."""
+    counts: dict[str, list[int]] = {}
+    for t, y in zip(texts, toxic, strict=True):
+        words = {w for w in map(toxicity.normal, t.split()) if len(w) >= toxicity.LEAST_LETTERS}
+        for w in words | {w[:k] + "*" for w in words for k in toxicity.STEM_LENGTHS if len(w) > k}:
+            counts.setdefault(w, [0, 0])[y] += 1
+    base, strong = sum(toxic) / len(toxic), {}
+    for w, (clean, bad) in counts.items():
+        n = clean + bad
+        share = min(bad / n, 1 - 1e-9)
+        evidence = n * ((share * math.log(share / base) if share else 0) + (1 - share) * math.log((1 - share) / (1 - base)))
+        if bad >= toxicity.PRECISION * n and evidence >= math.log(len(counts)) + toxicity.MARGIN:
+            strong[w] = (evidence, bad, n)
+    order = sorted(strong, key=lambda w: (-strong[w][0], w))
+    stems: list[str] = []
+    for w in order:
+        if w.endswith("*"):
+            s = w[:-1]
+            best = max((strong[x][1] for x in order if not x.endswith("*") and x.startswith(s)), default=0)
+            if strong[w][1] >= toxicity.STEM_GAIN * best and not any(x.startswith(s) or s.startswith(x) for x in stems):
+                stems.append(s)
+    long = [s for s in stems if len(s) >= toxicity.FUZZY_LENGTH]
+    words = [w for w in order if not w.endswith("*") and not any(w.startswith(s) for s in long)]
+    terms = {(s, True): strong[s + "*"][1] / strong[s + "*"][2] for s in stems} | {(w, False): strong[w][1] / strong[w][2] for w in words}
+    near: dict[tuple, list[int]] = {}
+    innocent = set()
+    for w, (clean, bad) in counts.items():
+        if not w.endswith("*"):
+            found = toxicity.automaton(tuple(terms)).find(w) - 1
+            term, edits = divmod(found, toxicity.EDITS + 1)
+            if found >= 0 and edits:
+                sums = near.setdefault(list(terms)[term], [0, 0])
+                sums[0], sums[1] = sums[0] + clean, sums[1] + bad
+                innocent |= {w} if clean > bad else set()
+    edit = {t: toxicity.EDIT_WEIGHT * (1 + near.get(t, (0, 0))[1]) / (1 + sum(near.get(t, (0, 0)))) for t in terms}
+    return innocent, {t: (terms[t], edit[t]) for t in terms}
+
+
+def test_the_fit_like_plain_counting(spark):
+    """Lexicon, weights, misspellings and innocent words are all that pass the evidence test, however many; then the curve."""
+    import random
+
+    rng = random.Random(4)
+    bad = ["vileness", "grubbity", "mokester", "slimeling", "slimewort", "slimefoot"] + [f"insult{c}{d}" for c in "abcde" for d in "xyz"]
+    good = ["village", "grubbily", "mokesters", "plain", "text", "fine", "slim", "number"] + [f"word{i}" for i in range(60)]
+    texts, toxic = [], []
+    for i in range(400):
+        y = int(i % 4 == 0)
+        texts.append(" ".join(rng.choices(good, k=12) + (rng.choices(bad, k=6) + rng.choices(["v1leness", "grubity"], k=1) if y else [])))
+        toxic.append(y)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    learnt = [i for i in range(400) if not zlib.crc32(str(i).encode()) % 3 == 1]
+    innocent, terms = plain_fit([texts[i] for i in learnt], [toxic[i] for i in learnt])
+    model = toxicity.fit(docs, labels)
+    assert len(terms) >= 8 and set(model.terms) == set(terms) and set(model.innocent) == innocent
+    for t, w, e in zip(model.terms, model.weights, model.edit_weights, strict=True):
+        assert w == pytest.approx(terms[t][0]) and e == pytest.approx(terms[t][1])
+    x = np.log1p(toxicity.masses(pa.array([texts[i] for i in learnt], pa.large_string()), model))
+    y = np.array([toxic[i] for i in learnt], float)
+    p = 1 / (1 + np.exp(-(model.intercept + model.slope * x)))
+    assert abs((y - p).sum() - 0.01 * model.intercept) < 1e-3 and abs((x * (y - p)).sum() - 0.01 * model.slope) < 1e-3  # a root of the gradient
 
 
 def test_ids_that_repeat_learn_once(spark):
@@ -267,3 +324,15 @@ def test_ids_that_repeat_learn_once(spark):
     rows = toxicity._training(docs, labels, 10, "doc_id", "text").collect()
     held = {r["doc_id"] for r in docs.select("doc_id", toxicity.held_out("doc_id").alias("h")).where("h").collect()}
     assert sorted((r["text"], r["toxic"]) for r in rows) == [x for i, x in enumerate([("a", 1), ("c", 0)]) if i not in held]
+
+
+def test_licences_of_a_very_long_text(spark):
+    """A million words with templates at both ends and in the middle: work and memory grow with the words."""
+    whole = {label: t for label, t in license_scan.TEMPLATES if len(t.split()) > 100}
+    rest = 1_000_000 - sum(len(whole[k].split()) for k in ("mit", "zlib", "bsd"))
+    filler = ["words of the software and to any other", "license in use"]
+    half = " ".join(filler[i % 2] for i in range(rest // 11))
+    docs = spark.createDataFrame([(1, f"{whole['mit']} {half} {whole['zlib']} {half} {whole['bsd']}"), (2, half), (3, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in license_scan.license_scan(docs).collect()}
+    assert rows[1]["n_words"] > 950_000 and {"mit", "zlib", "bsd"} <= set(rows[1]["labels"].split(",")) and rows[1]["score"] == 1.0
+    assert rows[2]["labels"] == "" and rows[3]["n_words"] == 0
