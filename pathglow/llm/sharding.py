@@ -60,15 +60,24 @@ def _hashed(column: str) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("\x00"))), F.lit(1 << BITS))
 
 
+def _size_and_level(text: Column) -> tuple[Column, Column]:
+    size = F.octet_length(F.coalesce(text, F.lit(""))).cast("long") + 1
+    return size, F.least(F.floor(F.log2(size.cast("double")) * 10), F.lit((1 << BITS) - 1)).cast("long")
+
+
 def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``id_col``, size, text_crc32, curve, shard and slot: runs of the curve whose row counts differ by one at most."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    size = F.octet_length(text).cast("long") + 1
-    level = F.least(F.floor(F.log2(size.cast("double")) * 10), F.lit((1 << BITS) - 1)).cast("long")
+    size, level = _size_and_level(text)
     rows = docs.select(
         F.col(id_col).alias("id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         _hashed(lang_col).alias("a"), _hashed(source_col).alias("b"), level.alias("c"), F.monotonically_increasing_id().alias("row"),
     )
+    return _dealt(rows, shards).select(F.col("id").alias(id_col), "size", "text_crc32", "curve", "shard", "slot")
+
+
+def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """id, size, text_crc32, row, curve, shard and slot of rows (id, size, text_crc32, a, b, c, row)."""
     placed = written(rows.select("id", "size", "text_crc32", "row", _curve("a", "b", "c").alias("curve")), "curve")
     keys = ["curve", "text_crc32", "id", "row"]
     ordered = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -79,15 +88,28 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
     for part, n in sorted(ordered.groupBy("part").count().collect()):  # one row a partition
         offsets.append((part, before))
         before += n
-    known = docs.sparkSession.createDataFrame(offsets or [(0, 0)], "part int, before long")
+    known = rows.sparkSession.createDataFrame(offsets or [(0, 0)], "part int, before long")
     rank = F.col("before") + F.col("place")
     numbered = ordered.join(F.broadcast(known), "part").withColumn("rank", rank).withColumn("shard", F.expr(f"cast(rank * {shards} div {max(before, 1)} as int)"))
     first = F.expr(f"(cast(shard as bigint) * {before} + {shards - 1}) div {shards}")
-    return numbered.select(F.col("id").alias(id_col), "size", "text_crc32", "curve", "shard", (F.col("rank") - first).alias("slot"))
+    return numbered.select("id", "size", "text_crc32", "row", "curve", "shard", (F.col("rank") - first).alias("slot"))
+
 
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> str:
+    """Writes ``docs`` to ``path``, one folder a shard, its rows in the order of the curve; returns the folders' column.
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id") -> None:
-    """Writes ``docs`` to ``path``, one folder a shard, its rows in the order of the curve."""
-    dealt = assign_shards(docs, shards, id_col).select(F.col(id_col).alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    joined = docs.join(dealt, docs[id_col].eqNullSafe(F.col("_id"))).drop("_id")
-    joined.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)
+    That column is ``_shard``, with more underscores where ``docs`` has one of that name. The rows are numbered in a
+    written copy and dealt by number, so rows that share an id, or are alike, are written as often as they occur.
+    """
+    numbered = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    size, level = _size_and_level(F.col(f"doc.{text_col}"))
+    rows = numbered.select(
+        F.col(f"doc.{id_col}").alias("id"), size.alias("size"), F.crc32(F.coalesce(f"doc.{text_col}", F.lit("")).cast("binary")).alias("text_crc32"),
+        _hashed(f"doc.{lang_col}").alias("a"), _hashed(f"doc.{source_col}").alias("b"), level.alias("c"), "row",
+    )
+    folder = "_shard"
+    while folder in docs.columns:
+        folder = "_" + folder
+    joined = numbered.join(_dealt(rows, shards).select("row", "shard", "slot"), "row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    joined.select("doc.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
+    return folder

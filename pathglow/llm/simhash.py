@@ -178,15 +178,17 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     texts are shuffled only if these are too many to be broadcast. Shingles of ``width`` words and ``threshold``
     differing bits are by default those of the op9 contract.
     """
+    names = iter(f"_{k}" for k in range(len(docs.columns) + 6))
+    judged, least, least_fp, root, doc, fp = (next(n for n in names if n not in docs.columns) for _ in range(6))  # no column of docs
     groups = _grouped(docs, id_col, text_col, width, threshold).where(F.col(id_col).isNotNull())
-    verdict = groups.groupBy(F.col(id_col).alias("_judged")).agg(F.max(F.col(id_col) == F.col("component_id")).alias("_stays"), F.count("*").alias("_copies"))
-    verdict = written(verdict.where("not _stays or _copies > 1"), "verdicts")
-    once = docs.join(verdict.select("_judged"), F.col(id_col) == F.col("_judged"), "left_anti")
-    repeated = verdict.where("_stays and _copies > 1").select("_judged")
+    verdict = groups.groupBy(F.col(id_col).alias(judged)).agg(F.max(F.col(id_col) == F.col("component_id")).alias("stays"), F.count("*").alias("copies"))
+    verdict = written(verdict.where("not stays or copies > 1"), "verdicts")
+    once = docs.join(verdict.select(judged), F.col(id_col) == F.col(judged), "left_anti")
+    repeated = verdict.where("stays and copies > 1").select(judged)
     if not repeated.head(1):
         return once
-    least = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_least"), F.col("fp").alias("_least_fp"), F.col("root").alias("_root"))
-    rows = docs.join(repeated, F.col(id_col) == F.col("_judged"), "left_semi").withColumn("_fp", _fingerprint_of(F.col(text_col), width))
-    rows = rows.join(least.distinct(), (F.col(id_col) == F.col("_least")) & (F.col("_fp") == F.col("_least_fp")))
-    one = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col(text_col), F.lit("")))
-    return once.unionByName(rows.groupBy("_least", "_root").agg(one.alias("_row")).select("_row.*"))
+    leasts = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(least), F.col("fp").alias(least_fp), F.col("root").alias(root))
+    rows = docs.join(repeated, F.col(id_col) == F.col(judged), "left_semi").select(F.struct("*").alias(doc), _fingerprint_of(F.col(text_col), width).alias(fp))
+    rows = rows.join(leasts.distinct(), (F.col(f"{doc}.{id_col}") == F.col(least)) & (F.col(fp) == F.col(least_fp)))
+    one = F.min_by(doc, F.coalesce(F.col(f"{doc}.{text_col}"), F.lit("")))
+    return once.unionByName(rows.groupBy(least, root).agg(one.alias(doc)).select(f"{doc}.*"))

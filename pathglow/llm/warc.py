@@ -6,6 +6,11 @@ the range's end where the last of them does. After a member that has been read t
 cannot be read is not passed over in silence: a member that is damaged or cut off, bytes between members that are none,
 a record whose lengths do not hold or whose payload does not have its digest give a row each with ``error`` set.
 
+Payloads may themselves hold archives, in which a scan would find members that are none of the file's. The writer so
+keeps in its manifest where the first member of each ``MARK_BYTES`` begins, and a task that has such marks decodes from the last one before
+its range on. A manifest of foreign archives may lack them: then a range that begins inside a stored, incompressible
+payload takes an archive's members in it for its own.
+
 Files are reached through ``pyarrow.fs``. The folder's address is made absolute by Spark's own file systems first, so it may
 be relative; s3a and s3n stand for s3. The executors must share it. Every attempt of a task writes files of its own, and the manifest, itself a written table,
 names those that count.
@@ -37,6 +42,8 @@ from pathglow.llm.common import parts, shared_path, written
 
 MAGIC = b"\x1f\x8b\x08"
 READ_BYTES = 1 << 20
+#: Bytes of a file for which the manifest has one member's place.
+MARK_BYTES = 1 << 20
 #: A member whose text begins otherwise is none of ours. So many bytes are looked at first, and more only while the gzip head goes on.
 VERSION, PROBE_BYTES = b"WARC/1.", 512
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -91,17 +98,19 @@ def _with_originals(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, file_bytes: int = 64 << 20, level: int = 1) -> DataFrame:
-    """Writes a record per row, each a gzip member, and returns the manifest: path, bytes, records."""
+    """Writes a record per row, each a gzip member, and returns the manifest: path, bytes, records, marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _opened(folder)
-        out, path, size, records, done = None, "", 0, 0, []
+        out, path, size, records, marks, done = None, "", 0, 0, [], []
         for batch in batches:
             for part in parts(batch, "payload"):
                 for key, url, payload, original in zip(*(part.column(c).to_pylist() for c in ("id", "url", "payload", "original")), strict=True):
                     if out is None:
                         path = f"{base}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
-                        out, size, records = fs.open_output_stream(path, compression=None), 0, 0
+                        out, size, records, marks = fs.open_output_stream(path, compression=None), 0, 0, []
+                    if size >= MARK_BYTES * len(marks):
+                        marks.append(size)
                     refers_to = None if original is None or key == original else _urn(original)
                     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                     member = packer.compress(_record(_urn(key), url, payload, refers_to)) + packer.flush()
@@ -109,19 +118,20 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                     size, records = size + len(member), records + 1
                     if size >= file_bytes:
                         out.close()
-                        done.append((path, size, records))
+                        done.append((path, size, records, marks))
                         out = None
         if out is not None:
             out.close()
-            done.append((path, size, records))
+            done.append((path, size, records, marks))
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "bytes", "records"])
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], ["path", "bytes", "records", "marks"])
 
     folder = address(pages.sparkSession, folder)
     fs, base = _opened(folder)
     fs.create_dir(base, recursive=True)
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("payload"))
-    return written(_with_originals(slim, min_bytes).mapInArrow(run, "path string, bytes long, records long"), "manifest")
+    return written(_with_originals(slim, min_bytes).mapInArrow(run, "path string, bytes long, records long, marks array<long>"), "manifest")
 
 
 class _Window:
@@ -175,9 +185,17 @@ def _member(window: _Window) -> bytes | None:
     return b"".join(out)
 
 
-def members(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int, bytes | None, str | None]]:
-    """place, decoded member and error, for the members that start in [start, end) and for what should be one but cannot be read."""
-    window, known = _Window(file, start), None
+def members(file: pa.NativeFile, start: int, end: int, mark: int | None = None) -> Iterator[tuple[int, bytes | None, str | None]]:
+    """place, decoded member and error, for the members that start in [start, end) and for what should be one but cannot be read.
+
+    ``mark`` is the place of a member, at or before ``start``, from which members are decoded one after the other.
+    """
+    window, known = _Window(file, start if mark is None else mark), None if mark is None else True
+    while mark is not None and known and window.at < start:
+        # what is damaged here is told by the range that owns it
+        known = True if _member(window) is not None and _is_member(window) else None
+    if window.at < start:
+        window = _Window(file, start)
     while window.at < end:
         at = window.at
         if _is_member(window) if known is None else known:
@@ -220,7 +238,7 @@ RECORD = "record_type string, record_id string, target string, refers_to string,
 
 
 def read_warc(manifest: DataFrame, folder: str, split_bytes: int = 8 << 20, with_payload: bool = False) -> DataFrame:
-    """One row per record of the archives in ``manifest`` (path, bytes), read by ranges of ``split_bytes``: what it says,
+    """One row per record of the archives in ``manifest`` (path, bytes, and marks if it has them), read by ranges of ``split_bytes``: what it says,
     the path and place of its member, and error, which is null if all is well."""
     schema = RECORD + ", payload binary" * with_payload + ", path string, place long"
     types = [pa.string()] * 5 + [pa.int64(), pa.string()] + [pa.binary()] * with_payload + [pa.string(), pa.int64()]
@@ -230,10 +248,10 @@ def read_warc(manifest: DataFrame, folder: str, split_bytes: int = 8 << 20, with
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _opened(folder)
         for batch in batches:
-            for path, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end")), strict=True):
+            for path, start, end, mark in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end", "mark")), strict=True):
                 with fs.open_input_file(path) as file:
                     rows, held = [], 0
-                    for place, record, error in members(file, start, end):
+                    for place, record, error in members(file, start, end, mark):
                         row = _parsed(record) if record is not None else (*[None] * 6, error, None)
                         rows.append((*row[: 7 + with_payload], path, place))
                         held += len(row[-1] or b"") if with_payload else 0
@@ -246,8 +264,10 @@ def read_warc(manifest: DataFrame, folder: str, split_bytes: int = 8 << 20, with
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    splits = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    splits = splits.select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"))
+    marks = F.col("marks") if "marks" in manifest.columns else F.lit(None).cast("array<long>")
+    splits = manifest.where("bytes > 0").select("path", "bytes", marks.alias("marks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    before = F.array_max(F.filter("marks", lambda m: m <= F.col("start")))
+    splits = splits.select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"), before.alias("mark"))
     return splits.repartition(max(1, splits.count())).mapInArrow(run, schema)
 
 

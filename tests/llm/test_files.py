@@ -66,6 +66,98 @@ def test_written_shards(spark, data, tmp_path):
     assert back.count() == docs.count() and back.select("_shard").distinct().count() == 16
 
 
+def plain_curve(axes: tuple[int, ...], bits: int) -> int:
+    """Place on the curve by descent: in each cell the order of the halves follows from entry corner and direction."""
+    n, entry, direction, place = len(axes), 0, 0, 0
+    for bit in reversed(range(bits)):
+        corner = sum((x >> bit & 1) << (n - 1 - i) for i, x in enumerate(axes))
+        turn = direction + 1
+        local = corner ^ entry
+        local = (local >> turn | local << (n - turn)) & ((1 << n) - 1) if turn % n else local
+        rank, shift = local, 1
+        while shift < n:  # Gray code to rank
+            rank ^= rank >> shift
+            shift *= 2
+        place = place << n | rank
+        gray = lambda r: r ^ r >> 1
+        first = gray(2 * ((rank - 1) // 2)) if rank else 0
+        first = (first << turn | first >> (n - turn)) & ((1 << n) - 1) if turn % n else first
+        entry ^= first
+        low = lambda r: (~r & r + 1).bit_length() - 1  # noqa: E731  trailing ones
+        step = 0 if not rank else low(rank - 1) if rank % 2 == 0 else low(rank)
+        direction = (direction + step + 1) % n
+    return place
+
+
+@pytest.mark.parametrize(("dims", "bits"), [(2, 5), (3, 4), (4, 3)])
+def test_curve_fills_every_cube_before_the_next(dims, bits):
+    """What makes it a Hilbert curve beside unit steps: the cells of each aligned cube, of any size, are one run of places."""
+    grid = np.indices((1 << bits,) * dims).reshape(dims, -1)
+    index = sharding.hilbert_index(list(grid), bits)
+    for k in range(1, bits):
+        cube = np.ravel_multi_index(tuple(grid >> k), (1 << (bits - k),) * dims)
+        for c in range(cube.max() + 1):
+            mine = index[cube == c]
+            assert mine.max() - mine.min() + 1 == len(mine)
+
+
+@pytest.mark.parametrize(("dims", "bits"), [(2, 3), (2, 8)])
+def test_curve_is_the_hilbert_curve_of_the_plane(dims, bits):
+    """Against a recursive construction: the same up to one order of axes and reflection of the whole square."""
+    from itertools import permutations
+
+    rng = np.random.default_rng(dims + bits)
+    points = rng.integers(0, 1 << bits, (dims, 400))
+    own = sharding.hilbert_index(list(points), bits)
+    top = (1 << bits) - 1
+    for order in permutations(range(dims)):
+        for flip in range(1 << dims):
+            turned = [points[a] ^ (top if flip >> a & 1 else 0) for a in order]
+            if [plain_curve(tuple(int(v) for v in c), bits) for c in zip(*turned, strict=True)] == own.tolist():
+                return
+    raise AssertionError("no turn of the plain curve gives the same places")
+
+
+def test_order_of_shards_is_recomputed(spark, data):
+    """Quantised dimensions, places and order of all rows, worked out row by row."""
+    docs = table(spark, data, "documents")
+    hashed = {r[0]: r[1:] for r in docs.select("doc_id", *[F.xxhash64(F.coalesce(c, F.lit("\x00"))) for c in ("lang", "source")]).collect()}
+    rows = []
+    for r in docs.collect():
+        text = (r["text"] or "").encode()
+        level = min(int(np.floor(np.log2(len(text) + 1) * 10)), 255)
+        axes = [np.array([v]) for v in (hashed[r["doc_id"]][0] % 256, hashed[r["doc_id"]][1] % 256, level)]
+        rows.append((int(sharding.hilbert_index(axes)[0]), zlib.crc32(text), r["doc_id"]))
+    n = len(rows)
+    expected = {}
+    for rank, (curve, _, doc) in enumerate(sorted(rows)):
+        shard = rank * sharding.SHARDS // n
+        expected[doc] = (curve, shard, rank - -(-shard * n // sharding.SHARDS))
+    assert {r["doc_id"]: (r["curve"], r["shard"], r["slot"]) for r in sharding.assign_shards(docs).collect()} == expected
+
+
+def test_written_shards_keep_rows_that_share_an_id(spark, tmp_path):
+    rows = [(1, "a", "en", "s", 1, 2), (1, "a", "en", "s", 1, 3), (2, None, None, None, 5, 5), (1, "b", "de", "t", 7, 7), (None, "c", "en", "s", 8, 8), (None, "c", "en", "s", 8, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _slot int, _shard int")
+    folder = sharding.write_shards(docs, str(tmp_path / "out"), 2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert folder not in docs.columns and sorted(map(tuple, back.select(*docs.columns).collect()), key=str) == sorted(rows, key=str)
+    assert {r[0] for r in back.select(folder).distinct().collect()} == {0, 1}
+
+
+def test_archives_inside_payloads(spark, tmp_path):
+    """A stored gzip member of a WARC inside a payload is no record, whatever the split."""
+    rng = np.random.default_rng(0)
+    inner = b"".join(packed(warc._record(f"urn:page:{900 + i}", None, rng.bytes(30_000), None)) for i in range(3))
+    rows = [(i, f"http://x/{i}", bytes(rng.bytes(40_000)) if i % 2 else inner) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html binary").coalesce(1)
+    manifest = warc.write_warc(pages, str(tmp_path / "w"), min_bytes=1 << 40, level=0)
+    assert manifest.agg(F.sum(F.size("marks"))).first()[0] >= 3
+    for split in (50_000, 1_300_000, 8 << 20):
+        found = warc.read_warc(manifest, str(tmp_path / "w"), split).collect()
+        assert sorted((int(r["record_id"]), r["error"]) for r in found) == [(i, None) for i in range(60)]
+
+
 def plain_archive(rows: list, min_bytes: int = 0) -> list:
     best: dict = {}
     for i, _, h in rows:

@@ -208,3 +208,11 @@ def test_no_group_is_lost_when_ids_repeat(spark):
     kept = [tuple(r) for r in keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, root string")).collect()]
     assert sorted((i, t) for i, t, _ in kept if i is not None and t) == sorted([(7, a), (7, b), (3, c)])
     assert [i for i, t, _ in kept if not t] == [5] and (None, a, "n") in kept
+
+
+def test_helper_columns_of_the_group_filter_touch_no_column(spark):
+    """Columns named like the filter's own keep their values, where an id stands for several texts as elsewhere."""
+    rows = [(1, "a b c d e", 7, 8, "k"), (1, "v w x y z", 9, 10, "l"), (2, "a b c d e", 11, 12, "m"), (3, "q r s t u", 13, 14, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _fp int, _0 int, _least string")
+    kept = sorted(map(tuple, keep_one_of_each_group(docs).collect()), key=str)
+    assert kept == sorted([rows[0], rows[1], rows[3]], key=str)
