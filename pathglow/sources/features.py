@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathglow.sources.sequences import SPLIT_BYTES, read_records
+
 #: A feature with a point; other geometry keeps its coordinates as text.
 FEATURE = "struct<type string, id string, geometry struct<type string, coordinates string>, properties map<string,string>>"
 DOCUMENT = "type string, id string, geometry struct<type string, coordinates string>, properties map<string,string>, features array<" + FEATURE + ">"
 RECORD_MARK = "\x1e"
 
 
-def read_features(spark: SparkSession, path: str, mode: str = "lenient") -> DataFrame:
-    """ord, id, lon, lat, properties of point features.
+def read_features(spark: SparkSession, path: str, mode: str = "lenient", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """ord, place, id, lon, lat, properties of point features; ord is the record's first byte in its file.
 
-    Reads sequences with or without record marks, a feature or collection a line, and whole documents. A byte order mark is
-    ignored. ``strict`` raises on anything that is no feature, and on features without id and place; ``lenient``
-    leaves it out.
+    Reads sequences with or without record marks, a feature or collection a line, and whole documents; a sequence is
+    read in ranges of ``split_bytes``, a document feature by feature. A byte order mark is ignored. ``strict`` raises on
+    anything that is no feature, and on features without id and place; ``lenient`` leaves it out.
     """
-    # a record mark or a line break parts the records; a document over several lines is one record
-    texts = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
-    whole = F.from_json("value", DOCUMENT)
-    records = texts.select(F.when(whole["type"].isNotNull() & ~F.col("value").rlike(r"[\n\x1e]\s*\{.*\}\s*[\n\x1e]?\s*$") | F.trim("value").startswith("["), F.array("value")).otherwise(F.split("value", "[\n\x1e]")).alias("r"))
-    lines = records.select(F.posexplode("r").alias("ord", "line")).where(F.trim("line") != "")
+    lines = read_records(spark, path, split_bytes).select(F.col("at").alias("ord"), F.col("record").alias("line"))
     lists = F.from_json("line", f"array<{FEATURE}>")
     parsed = lines.withColumn("d", F.from_json("line", DOCUMENT)).withColumn("l", F.when(F.trim("line").startswith("["), lists))
     as_one = F.struct(F.lit("Feature").alias("type"), F.col("d.id").alias("id"), F.col("d.geometry").alias("geometry"), F.col("d.properties").alias("properties"))
