@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,34 +68,6 @@ def coordinate_extent(geometry: Column) -> list[Column]:
     return [F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2")]
 
 
-def merge_rings(members: DataFrame, key: str = "relation_id") -> DataFrame:
-    """Joins member lines (pos, xs, ys) of a relation end to end into rings; each row is a ring and whether it closed.
-
-    Joining depends on what has been joined before, so a relation's members are handled together; they are few.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        open_lines = [list(zip(r.xs, r.ys, strict=True)) for r in frame.sort_values("pos").itertuples() if len(r.xs) > 1]
-        rings = []
-        while open_lines:
-            ring = open_lines.pop(0)
-            grown = True
-            while ring[0] != ring[-1] and grown:
-                grown = False
-                for i, line in enumerate(open_lines):
-                    if ring[-1] in (line[0], line[-1]):
-                        ring += line[1:] if ring[-1] == line[0] else line[-2::-1]
-                        del open_lines[i]
-                        grown = True
-                        break
-            rings.append(ring)
-        found = pd.DataFrame({key: [frame[key].iloc[0]] * len(rings), "ring": range(len(rings)), "points": [len(r) for r in rings], "closed": [r[0] == r[-1] and len(r) >= 4 for r in rings], "xs": [[p[0] for p in r] for r in rings], "ys": [[p[1] for p in r] for r in rings]})
-        return found.astype({key: frame[key].dtype, "ring": "int32", "points": "int32", "closed": "bool", "xs": object, "ys": object})
-
-    kind = members.schema[key].dataType.simpleString()
-    return members.groupBy(key).applyInPandas(run, f"{key} {kind}, ring int, points int, closed boolean, xs array<double>, ys array<double>")
-
-
 def tiles_of_area(x1: int, y1: int, x2: int, y2: int, spark, offset: int | None = None) -> DataFrame:
     """Tiles of a range, x ascending and y descending; an offset 0 to 3 keeps one of each 2 x 2."""
     xs = spark.range(x1, x2 + 1).select(F.col("id").alias("x"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathglow.functions import geo, tags, text
-from pathglow.operators import areas, batteries, cells, layers, mapdata, metrics, raster
+from pathglow.operators import areas, batteries, cells, layers, mapdata, metrics, raster, rings
 from pathglow.operators.shared import written
 from pathglow.plans.registry import query
 from pathglow.plans.standins import base, div, view, with_views
@@ -379,11 +379,24 @@ def merge_roots_dedupe(spark, sf_dir):
     return mapdata.merge_roots(c, ["way_id"], "batch").select("way_id", "batch", "name")
 
 
-@query()
+#: Walks along the members' ends, paired at each corner; a walk from the least member round, or of a chain from its end.
+RINGS = """member as materialized (select o_custkey as k, o_orderkey as pos, o_orderkey % 12 as a, o_orderkey * 7 % 12 as b from orders),
+ends as (select k, pos, 0 as e, a as corner from member where a <> b union all select k, pos, 1, b from member where a <> b),
+numbered as materialized (select *, row_number() over (partition by k, corner order by pos, e) as n from ends),
+follows as materialized (select l.k, l.pos, 1 - l.e as way, r.pos as then_pos, r.e as then_way from numbered l left join numbered r on r.k = l.k and r.corner = l.corner and r.n = l.n + case when l.n % 2 = 1 then 1 else -1 end),
+walk(k, pos, way, at_pos, at_way, step) as (select k, pos, way, pos, way, 0 from follows
+  union all select w.k, w.pos, w.way, f.then_pos, f.then_way, w.step + 1 from walk w join follows f on f.k = w.k and f.pos = w.at_pos and f.way = w.at_way where f.then_pos is not null and not (f.then_pos = w.pos and f.then_way = w.way)),
+told as (select k, pos, way, min(at_pos) as least, arg_min(at_way, at_pos) as least_way, count(*) as lines, arg_max(at_pos, step) as last_pos, arg_max(at_way, step) as last_way from walk group by all),
+cyclic as (select t.*, f.then_pos is not null as ring from told t join follows f on f.k = t.k and f.pos = t.last_pos and f.way = t.last_way),
+chosen as (select k, pos as ring, lines + 1 as points, lines + 1 >= 4 as closed from cyclic where ring and pos = least and way = 0
+  union all select c.k, c.least, c.lines + 1, false from cyclic c where not c.ring and c.least_way = 0 and not exists (select 1 from follows f where f.k = c.k and f.then_pos = c.pos and f.then_way = c.way))"""
+
+
+@query(f"with recursive {RINGS} select k as relation_id, ring, points::int as points, closed from chosen union all select k, pos, 2, false from member where a = b")
 def ring_merge(spark, sf_dir):
     """Members of a relation: its orders in turn, each a line between two of twelve corners."""
     o = base(spark, sf_dir, "orders").selectExpr("o_custkey as relation_id", "o_orderkey as pos", "array(cast(o_orderkey % 12 as double), cast(o_orderkey * 7 % 12 as double)) as xs", "array(cast(o_orderkey % 12 as double), cast(o_orderkey * 7 % 12 as double)) as ys")
-    return mapdata.merge_rings(o).select("relation_id", "ring", "points", "closed")
+    return rings.merge_rings(o).select("relation_id", "ring", "points", "closed")
 
 
 def _tag(*names: str):

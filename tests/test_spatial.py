@@ -90,13 +90,6 @@ def test_even_sample_like_linspace(spark):
         assert got == (list(range(n)) if n <= most else sorted({round(v) for v in np.linspace(0, n - 1, most).tolist()}))
 
 
-def test_rings_join_end_to_end(spark):
-    members = [(1, 0, [0.0, 1.0], [0.0, 0.0]), (1, 1, [1.0, 1.0], [1.0, 0.0]), (1, 2, [1.0, 0.0], [1.0, 0.0]), (2, 0, [0.0, 5.0], [0.0, 5.0]), (3, 0, [1.0], [1.0])]
-    df = spark.createDataFrame(members, "relation_id long, pos int, xs array<double>, ys array<double>")
-    got = {(r["relation_id"], r["points"], r["closed"]) for r in mapdata.merge_rings(df).collect()}
-    assert got == {(1, 4, True), (2, 2, False)}
-
-
 def test_farthest_points(spark):
     data = [("a", i, float(x), 0.0) for i, x in enumerate((0, 1, 2, 50, 100))] + [("b", 9, 1.0, 1.0)]
     df = spark.createDataFrame(data, "g string, id long, x double, y double")
