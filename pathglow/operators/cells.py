@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pathglow.operators.shared import written
 
 
-def cell(x: Column, size: float) -> Column:
+def cell(x: Column, size: float | Column) -> Column:
     return F.floor(x / size).cast("long")
 
 
@@ -20,7 +20,7 @@ def covering_cells(x1: Column, y1: Column, x2: Column, y2: Column, size: float)
     return F.flatten(F.transform(xs, lambda cx: F.transform(ys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
-def over_cells(boxes: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, size: float, cx: str, cy: str) -> DataFrame:
+def over_cells(boxes: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, size: float | Column, cx: str, cy: str) -> DataFrame:
     """A row for each cell that a row's box meets, columns before cells: no array is longer than one side of the box."""
     columns = boxes.withColumn("_y", F.struct(cell(y1, size).alias("a"), cell(y2, size).alias("b"))).withColumn(cx, F.explode(F.sequence(cell(x1, size), cell(x2, size))))
     return columns.withColumn(cy, F.explode(F.sequence("_y.a", "_y.b"))).drop("_y")
@@ -39,13 +39,33 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, distance: Colum
     return joined.withColumn("dist", distance).where(F.col("dist") <= radius).drop("_lcx", "_lcy", "_rcx", "_rcy")
 
 
-def near_boxes(points: DataFrame, boxes: DataFrame, radius: float, size: float, x: str = "px", y: str = "py", box: Sequence[str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
-    """Points and boxes no farther apart than ``radius`` in either direction, each pair once."""
+def near_boxes(points: DataFrame, boxes: DataFrame, radius: float, size: float, x: str = "px", y: str = "py", box: Sequence[str] = ("x1", "y1", "x2", "y2"), on: Sequence[str] = (), most_levels: int | None = None) -> DataFrame:
+    """Points and boxes no farther apart than ``radius`` in either direction, each pair once; with ``on``, of equal columns.
+
+    A box stands at the level whose cells, ``size`` wide and doubling from level to level, are half as wide as it is with its
+    margin, so in nine cells at most, whatever its extent; a point looks at one cell a level. The driver learns the highest level, unless it
+    is told that in ``most_levels``. Boxes with a bound that is null or not finite meet nothing.
+    """
     a, b, c, d = (F.col(n) for n in box)
-    spread = over_cells(boxes, a - radius, b - radius, c + radius, d + radius, size, "_bx", "_by")
-    homes = points.withColumn("_px", cell(F.col(x), size)).withColumn("_py", cell(F.col(y), size))
+    able = boxes.where(" and ".join(f"`{n}` between -1e300 and 1e300" for n in box))
+    extent = F.greatest(c - a, d - b) + 2 * radius
+    level = F.greatest(F.ceil(F.log2(extent / (2 * size))), F.lit(0)).cast("int")
+    if most_levels is None:
+        most_levels = able.agg(F.max(level)).first()[0] or 0
+    able = able.withColumn("_bl", F.least(level, F.lit(most_levels)))
+    side = size * F.pow(F.lit(2.0), F.col("_bl"))
+    spread = over_cells(able, a - radius, b - radius, c + radius, d + radius, side, "_bx", "_by")
+    looks = F.array(*[F.struct(F.lit(k).alias("l"), cell(F.col(x), size * 2.0**k).alias("x"), cell(F.col(y), size * 2.0**k).alias("y")) for k in range(most_levels + 1)])
+    homes = points.withColumn("_look", F.explode(looks))
     inside = F.col(x).between(a - radius, c + radius) & F.col(y).between(b - radius, d + radius)
-    return homes.join(spread, (F.col("_px") == F.col("_bx")) & (F.col("_py") == F.col("_by")) & inside).drop("_px", "_py", "_bx", "_by")
+    same = (F.col("_look.l") == F.col("_bl")) & (F.col("_look.x") == F.col("_bx")) & (F.col("_look.y") == F.col("_by"))
+    if on:
+        homes, spread = homes.alias("_homes"), spread.alias("_spread")
+        for name in on:
+            same = same & (F.col(f"_homes.{name}") == F.col(f"_spread.{name}"))
+        joined = homes.join(spread, same & inside)
+        return joined.select(*[F.col(f"_homes.{n}") for n in points.columns], *[F.col(f"_spread.{n}") for n in boxes.columns if n not in on])
+    return homes.join(spread, same & inside).drop("_look", "_bl", "_bx", "_by")
 
 
 def nearest(pairs: DataFrame, key: str, other: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -78,65 +98,80 @@ def nearest_by_ladder(left: DataFrame, right: DataFrame, radii: Sequence[float],
 
 
 BOX = ("x1", "y1", "x2", "y2")
-#: Cells of a cell along each side, objects that a cell of the finest level should hold at most, levels at most, and levels
+#: Cells of a cell along each side, levels below the given size at which objects are counted, objects that a cell of the finest level should hold at most, levels at most, and levels
 #: between two written tables.
-FAN, CROWD, MOST_LEVELS, WRITE_EVERY = 8, 1024, 16, 4
+FAN, FINER, CROWD, MOST_LEVELS, WRITE_EVERY = 8, 1, 1024, 16, 4
 
 
-def nearest_of_all(points: DataFrame, objects: DataFrame, key: str, other: str, distance: Column, size: float, x: str = "px", y: str = "py", slack: float = 1e-5) -> DataFrame:
-    """The nearest object of each point, without a limit of distance; ties within ``slack`` are decided by ``distance``.
+def nearest_of_all(points: DataFrame, objects: DataFrame, key: str, other: str, distance: Column, size: float, x: str = "px", y: str = "py", slack: float = 1e-5, by: Sequence[str] = (), most: int = 1) -> DataFrame:
+    """The ``most`` nearest objects of each point, without a limit of distance; ties within ``slack`` are decided by ``distance``.
 
-    Objects have a box (x1, y1, x2, y2) and stand in the cell of its centre. A quadtree of cells, each with the box around
-    its objects, is descended level by level for all points at once: of a point's cells those stay whose box begins no
-    farther than the nearest one's box ends. A level is one equi-join with the cells of the next and a window over the
-    few cells of a point. The driver learns the extent, a crowd's size and at most nine cells. Points without coordinates
-    and objects without a box have no partner.
+    ``by`` names columns of points and objects that must be equal, such as a class: one descent then serves all classes, as
+    cells are told apart by them too. Objects have a box (x1, y1, x2, y2) and stand in the cell of its centre. A quadtree of cells, each with the box around
+    its objects and their number, is descended level by level for all points at once: of a point's cells those stay whose box begins no
+    farther than enough objects surely lie. A level is one equi-join with the cells of the next and a window over the
+    few cells of a point. Objects are counted once, in cells that are rolled up to those of the finest level that a crowd allows. The driver learns
+    extents and crowds, and at most nine cells for each value of ``by``. Points without coordinates, or with ones that are not finite, and objects without such a box have no partner.
+    With ``most`` above 1 there is a rank, from 1.
     """
     a, b, c, d = (F.col(n) for n in BOX)
-    points = written(points.select(key, F.col(x).alias(x), F.col(y).alias(y)).where(F.col(x).isNotNull() & F.col(y).isNotNull()), "far-points")
-    objects = objects.where(" and ".join(f"{n} is not null" for n in BOX))
-    empty = points.select(key).join(objects.select(other).limit(0), F.lit(False)).select(key, other, F.lit(None).cast("double").alias("dist"))
+    ids, kept = [key, *by], [key, *by, x, y]
+    points = written(points.select(*kept).where(f"`{x}` between -1e300 and 1e300 and `{y}` between -1e300 and 1e300"), "far-points")
+    objects = objects.where(" and ".join(f"{n} between -1e300 and 1e300" for n in BOX))
+    ranked = [F.lit(None).cast("int").alias("rank")] if most > 1 else []
+    empty = points.select(*ids).join(objects.select(other).limit(0), F.lit(False)).select(*ids, other, F.lit(None).cast("double").alias("dist"), *ranked)
     if not points.head(1):
         return empty
     u, v = (a + c) / 2, (b + d) / 2
-
-    def counted(side: float) -> DataFrame:
-        around = F.min(a).alias("_a"), F.min(b).alias("_b"), F.max(c).alias("_c"), F.max(d).alias("_d")
-        return written(objects.groupBy(cell(u, side).alias("_cx"), cell(v, side).alias("_cy")).agg(*around, F.count("*").alias("_n")), "cells")
-
-    finest, before = size, None
+    finest, before = size / FAN**FINER, None
     while True:
-        base = counted(finest)
+        around = F.min(a).alias("_a"), F.min(b).alias("_b"), F.max(c).alias("_c"), F.max(d).alias("_d")
+        base = written(objects.groupBy(*by, cell(u, finest).alias("_cx"), cell(v, finest).alias("_cy")).agg(*around, F.count("*").alias("_n")), "cells")
         crowd, *extent = base.agg(F.max("_n"), F.min("_cx"), F.max("_cx"), F.min("_cy"), F.max("_cy")).first()
         if crowd is None:
             return empty
-        if crowd <= CROWD or crowd == before or max(map(abs, extent)) > 1 << 40:  # smaller cells would not part equal places
+        if crowd <= max(CROWD, most) or crowd == before or max(map(abs, extent)) > 1 << 40:  # smaller cells would not part equal places
             break
-        finest, before = finest / FAN, crowd
-    levels = 0
-    while levels < MOST_LEVELS and max(extent[1] - extent[0], extent[3] - extent[2]) >= 2 * FAN**levels:
-        levels += 1
+        finest, before = finest / FAN**FINER, crowd
 
     def level(k: int) -> DataFrame:
         place = [F.floor(F.col(n) / FAN**k).alias(n) for n in ("_cx", "_cy")]
-        return base.groupBy(*place).agg(F.min("_a").alias("_a"), F.min("_b").alias("_b"), F.max("_c").alias("_c"), F.max("_d").alias("_d")) if k else base.drop("_n")
+        return base.groupBy(*by, *place).agg(F.min("_a").alias("_a"), F.min("_b").alias("_b"), F.max("_c").alias("_c"), F.max("_d").alias("_d"), F.sum("_n").alias("_n")) if k else base
+
+    low, levels = 0, 0
+    while levels < MOST_LEVELS and max(extent[1] - extent[0], extent[3] - extent[2]) >= 2 * FAN**levels:
+        levels += 1
+    while low < min(levels, FINER) and level(low + 1).agg(F.max("_n")).first()[0] <= CROWD:
+        low += 1  # the cells counted were finer than need be
 
     def bounded(rows: DataFrame) -> DataFrame:
         px, py, zero = F.col(x), F.col(y), F.lit(0.0)
         near = F.sqrt(F.greatest(F.col("_a") - px, px - F.col("_c"), zero) ** 2 + F.greatest(F.col("_b") - py, py - F.col("_d"), zero) ** 2)
         far = F.sqrt(F.greatest(F.abs(px - F.col("_a")), F.abs(px - F.col("_c"))) ** 2 + F.greatest(F.abs(py - F.col("_b")), F.abs(py - F.col("_d"))) ** 2)
-        reach = F.min(far).over(Window.partitionBy(key)) + slack
-        return rows.withColumn("_near", near).withColumn("_reach", reach).where("_near <= _reach").select(key, x, y, "_cx", "_cy")
-
-    top = [F.struct(*[F.lit(r[n]).alias(n) for n in ("_cx", "_cy", "_a", "_b", "_c", "_d")]) for r in level(levels).collect()]
-    now = bounded(points.withColumn("_cell", F.explode(F.array(*top))).select(key, x, y, "_cell.*"))
-    for k in range(levels - 1, -1, -1):
+        mine = Window.partitionBy(*ids)
+        rows = rows.withColumn("_near", near).withColumn("_far", far)
+        if most > 1:  # as far as so many objects surely lie; if there are not so many, everywhere
+            rows = rows.withColumn("_sure", F.sum("_n").over(mine.orderBy("_far"))).withColumn("_far", F.when(F.col("_sure") >= most, F.col("_far")))
+        rows = rows.withColumn("_reach", F.min("_far").over(mine) + slack)
+        return rows.where("_reach is null or _near <= _reach").select(*kept, "_cx", "_cy")
+
+    top = level(levels).collect()
+    cells_of = F.array(*[F.struct(*[F.lit(r[n]).alias(n) for n in ("_cx", "_cy", "_a", "_b", "_c", "_d", "_n")], *[F.lit(r[n]).alias(f"_of_{n}") for n in by]) for r in top])
+    start = points.withColumn("_cell", F.explode(cells_of)).select(*kept, "_cell.*")
+    for n in by:
+        start = start.where(F.col(n) == F.col(f"_of_{n}")).drop(f"_of_{n}")
+    now = bounded(start)
+    for k in range(levels - 1, low - 1, -1):
         children = level(k).withColumn("_px", F.floor(F.col("_cx") / FAN)).withColumn("_py", F.floor(F.col("_cy") / FAN))
-        now = bounded(now.withColumnsRenamed({"_cx": "_px", "_cy": "_py"}).join(children, ["_px", "_py"]))
+        now = bounded(now.withColumnsRenamed({"_cx": "_px", "_cy": "_py"}).join(children, [*by, "_px", "_py"]))
         if k % WRITE_EVERY == 0 and k:
             now = written(now, "far-cells")
-    held = objects.withColumn("_cx", cell(u, finest)).withColumn("_cy", cell(v, finest))
-    return nearest(now.join(held, ["_cx", "_cy"]).withColumn("dist", distance), key, other)
+    held = objects.withColumn("_cx", cell(u, finest * FAN**low)).withColumn("_cy", cell(v, finest * FAN**low))
+    pairs = now.join(held, [*by, "_cx", "_cy"]).withColumn("dist", distance)
+    if most > 1:
+        best = Window.partitionBy(*ids).orderBy("dist", other)
+        return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select(*ids, other, "dist", "rank")
+    return pairs.groupBy(*ids).agg(F.min_by(F.struct(other, "dist"), F.struct("dist", other)).alias("_b")).select(*ids, f"_b.{other}", "_b.dist")
 
 
 def farther_than(left: DataFrame, right: DataFrame, radius: float, distance: Column, key: str, other: str) -> tuple[DataFrame, DataFrame]:

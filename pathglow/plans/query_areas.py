@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathglow.operators import areas
+from pathglow.functions import tags
+from pathglow.operators import areas, nearby
 from pathglow.plans.registry import query
 from pathglow.plans.standins import base, div, view, with_views
 
@@ -50,3 +51,42 @@ def in_area_gate(spark, sf_dir):
     c = view(spark, sf_dir, "candidate").select("event_id", (F.col("event_id") % GROUPS).cast("int").alias("region"), F.col("mx").alias("px"), F.col("my").alias("py"))
     edges = area_edges(spark, sf_dir).withColumn("region", F.col("region").cast("int"))
     return areas.in_area(c, edges, "region").select("event_id", F.col("region").cast("long").alias("region"), "in_area")
+
+
+CLASSED = f"([{', '.join(repr(c) for c in tags.OPEN_AREAS)}])[(area % 12 + 1)::int]"
+#: Distance and containment of candidates and areas near by or not, for DuckDB; ``where`` bounds the pairs.
+PAIRS = """pair as materialized (select event_id, area, {classed} as area_class, mx as px, my as py, case when mx between bx1 - 250 and bx2 + 250 and my between by1 - 250 and by2 + 250 then 250.0::double when mx between bx1 - 2000 and bx2 + 2000 and my between by1 - 2000 and by2 + 2000 then 2000.0::double end as radius
+  from candidate join area_box b on {where}),
+met as materialized (select event_id, area, any_value(area_class) as area_class, any_value(radius) as radius, min({to_edge}) as d, count(*) filter (where {crossed}) % 2 = 1 as odd from pair join area_edge using (area) group by event_id, area),
+judged as (select event_id, area, area_class, radius, odd or d <= {boundary} as inside, round(case when odd or d <= {boundary} then 0 else d end, 6) as dist from met)"""
+
+
+def _pairs_sql(where: str) -> str:
+    return PAIRS.format(classed=CLASSED, where=where, to_edge=TO_EDGE, crossed=CROSSED, boundary=areas.BOUNDARY)
+
+
+def _shapes(spark, sf_dir) -> DataFrame:
+    names = F.array(*map(F.lit, tags.OPEN_AREAS))
+    edges = area_edges(spark, sf_dir).withColumn("area_class", F.element_at(names, (F.col("area") % 12 + 1).cast("int")))
+    return nearby.area_shapes(edges.select("area", "area_class", *areas.EDGE))
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "candidate").select("event_id", F.col("mx").alias("px"), F.col("my").alias("py"))
+
+
+@query(with_views(f"""{_area_sql()}, {_pairs_sql("mx between bx1 - 2000 and bx2 + 2000 and my between by1 - 2000 and by2 + 2000")},
+first as (select event_id, area_class, min(radius) as radius from judged group by all)
+select event_id, area_class, area, dist, inside, radius from (select *, row_number() over (partition by event_id, area_class order by inside desc, dist, area) as rn from judged join first using (event_id, area_class, radius)) where rn = 1""", "candidate"))
+def open_area_by_class(spark, sf_dir):
+    """For each candidate and class the best open area within 250 m of its box, else within 2,000 m."""
+    return nearby.nearest_by_class(_candidates(spark, sf_dir), _shapes(spark, sf_dir), tags.OPEN_AREAS, "event_id")
+
+
+@query(with_views(f"""{_area_sql()}, {_pairs_sql("true")},
+first as (select event_id, bool_or(radius = 250) as near from judged group by all)
+select event_id, area, dist, case when radius = 250 then inside else false end as inside, case when radius = 250 then 250.0::double end as radius from (
+  select *, row_number() over (partition by event_id order by near and inside desc, dist, area) as rn from judged join first using (event_id) where not coalesce(near, false) or radius = 250) where rn = 1""", "candidate"))
+def open_area_of_any_class(spark, sf_dir):
+    """For each candidate the best open area within 250 m of its box, else the nearest of all, however far."""
+    return nearby.nearest_of_any(_candidates(spark, sf_dir), _shapes(spark, sf_dir), "event_id")
