@@ -68,6 +68,16 @@ def near_boxes(points: DataFrame, boxes: DataFrame, radius: float, size: float,
     return homes.join(spread, same & inside).drop("_look", "_bl", "_bx", "_by")
 
 
+def meeting_boxes(left: DataFrame, right: DataFrame, size: float, ours: Sequence[str], theirs: Sequence[str]) -> DataFrame:
+    """Pairs of boxes that meet, each once: both stand in all cells that they meet, and a pair counts in the cell of the
+    corner where its common part begins. ``size`` should be about the extent of the larger kind."""
+    a, b = [F.col(n) for n in ours], [F.col(n) for n in theirs]
+    x, y = over_cells(left, *a, size, "_lx", "_ly"), over_cells(right, *b, size, "_rx", "_ry")
+    meet = (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
+    first = (F.col("_lx") == cell(F.greatest(a[0], b[0]), size)) & (F.col("_ly") == cell(F.greatest(a[1], b[1]), size))
+    return x.join(y, (F.col("_lx") == F.col("_rx")) & (F.col("_ly") == F.col("_ry")) & meet & first).drop("_lx", "_ly", "_rx", "_ry")
+
+
 def nearest(pairs: DataFrame, key: str, other: str, keep: Sequence[str] = ()) -> DataFrame:
     """The least distant partner of each key; ties go to the least partner. A partial aggregate, no window."""
     best = F.min_by(F.struct(other, "dist", *keep), F.struct("dist", other))

@@ -154,6 +154,17 @@ def points_on_axis(cells: DataFrame, regions: DataFrame, keys: list[str], side:
     return spots.where(F.col("r").between(0, side - 1) & F.col("c").between(0, side - 1))
 
 
+def region_samples(cells: DataFrame, left: Column, top: Column, pixel: float, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The regions of cells (keys, r, c, v), and of each region at most ``MOST_SAMPLES`` cells, evenly along its axis: keys, r, c,
+    place (px, py) and local direction (ax, ay)."""
+    regions = written(regions_of(cells, keys), "regions")
+    x, y = left + F.col("c") * pixel, top - F.col("r") * pixel
+    order = F.round(F.col("c") * F.coalesce("ax", F.lit(0.0)) - F.col("r") * F.coalesce("ay", F.lit(0.0)), 6)
+    spread = cells.join(regions.select(*keys, "ax", "ay"), keys).withColumn("_o", F.struct(order, "r", "c"))
+    samples = even_sample(spread, F.struct(*keys), F.col("_o"), MOST_SAMPLES).select(*keys, "r", "c", "ax", "ay", x.alias("px"), y.alias("py"))
+    return regions, written(local_directions(samples, cells, keys, AROUND / pixel), "samples")
+
+
 def lateral_metrics(cells: DataFrame, segments: DataFrame, heat: DataFrame, left: Column, top: Column, pixel: float, side: int, tile: str = "tile", region: str = "comp") -> DataFrame:
     """One row a candidate: cover by parallel ways, the way that most samples chose, the heat along the candidate's axis, on
     that way and between the two, and the halo score: the weaker of the latter two by the candidate's own 90th percentile.
@@ -164,13 +175,8 @@ def lateral_metrics(cells: DataFrame, segments: DataFrame, heat: DataFrame, left
     without length are left out.
     """
     keys = [tile, region]
-    x, y = left + F.col("c") * pixel, top - F.col("r") * pixel
-    regions = written(regions_of(cells, keys), "regions")
+    regions, samples = region_samples(cells, left, top, pixel, keys)
     ways = written(measured(segments), "ways")
-    order = F.round(F.col("c") * F.coalesce("ax", F.lit(0.0)) - F.col("r") * F.coalesce("ay", F.lit(0.0)), 6)
-    spread = cells.join(regions.select(*keys, "ax", "ay"), keys).withColumn("_o", F.struct(order, "r", "c"))
-    samples = even_sample(spread, F.struct(*keys), F.col("_o"), MOST_SAMPLES).select(*keys, "r", "c", "ax", "ay", x.alias("px"), y.alias("py"))
-    samples = written(local_directions(samples, cells, keys, AROUND / pixel), "samples")
     met = written(parallel_ways(samples, ways, [*keys, "r", "c"]), "parallel-ways").withColumn("key", F.struct(*keys))
     cover = cover_metrics(met, "key")
     won = written(vote_winner(met.where("way_id is not null").withColumn("dist", F.col("dist15")), "key", "way_id").select("key.*", "way_id", "votes", "d_median", "d_min", "angle_median"), "winners")

@@ -13,21 +13,33 @@ from pathglow.operators.shared import written
 HELD = 1_000_000
 
 
+FIGURES = ("n", "low", "high", "mean", "q")
+
+
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: Sequence[float], held: int = HELD) -> DataFrame:
     """keys, n, low, high, mean and q: exact percentiles with interpolation, an array in the order of ``shares``.
 
-    Equal values are counted first, map-side. Groups with at most ``held`` different values are finished from these counts in
-    one aggregate. Otherwise counts are sorted by range over all tasks, what lies before each task's share of a group is
+    Equal values are counted first, map-side. Groups with at most about ``held`` different values, which one aggregate tells beforehand,
+    are finished from these counts in one more, and nothing is written. Otherwise counts are written and sorted by range over all tasks, what lies before each task's share of a group is
     summed from one number a task, and only the rows at the wanted ranks are kept: no group is gathered, whatever its size.
     Nulls in ``value`` do not count; a group of nulls alone has n 0 and no figures. Null keys form a group. Without keys there
-    is one row, for an empty table too.
+    is one row, for an empty table too. Keys may have any name but those of the figures, which raise.
     """
-    counts = written(rows.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("k")), "counts")
+    if clash := set(keys) & set(FIGURES):
+        raise ValueError(f"keys named like the figures: {sorted(clash)}")
+    inner = [f"_key{i}" for i in range(len(keys))]
+    found = _quantiles(rows.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, inner, strict=True)], F.col(value).cast("double").alias("v")), inner, shares, held)
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, inner, strict=True)], *FIGURES)
+
+
+def _quantiles(rows: DataFrame, keys: list[str], shares: Sequence[float], held: int) -> DataFrame:
+    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("k"))
+    most = rows.groupBy(*keys).agg(F.approx_count_distinct("v").alias("m")).agg(F.max("m")).first()[0] or 0
     n = F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("k"))), F.lit(0))
     figures = [n.alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), (F.sum(F.col("v") * F.col("k")) / F.nullif(n, F.lit(0))).alias("mean")]
-    most = counts.groupBy(*keys).agg(F.count("*").alias("m")).agg(F.max("m")).first()[0]
-    if most is None or most <= held:
+    if most <= held:
         return counts.groupBy(*keys).agg(*figures, F.percentile("v", F.array(*map(F.lit, shares)), F.col("k")).alias("q"))
+    counts = written(counts, "counts")
     ranged = counts.where("v is not null").repartitionByRange(*keys, "v").withColumn("task", F.spark_partition_id())
     ranged = written(ranged.withColumn("upto", F.sum("k").over(Window.partitionBy(*keys, "task").orderBy("v"))), "ranged")
     before = Window.partitionBy(*keys).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

@@ -110,14 +110,20 @@ def principal_axes(cells: DataFrame, keys: tuple[str, ...] = ("tile", "comp"), m
     return m.where("n >= 2").select(*keys, "n", "a", "b", "d", F.round(angle, 4).alias("orientation"), F.round(long, 4).alias("elongation"))
 
 
-def burn_mask(heat: DataFrame, segments: DataFrame, width: float, keys: tuple[str, ...] = ("tile",)) -> DataFrame:
-    """Sets to 0 the cells within half of ``width`` cells of a segment (keys, r1, c1, r2, c2) of their tile."""
+def burn_mask(heat: DataFrame, segments: DataFrame, width: float, keys: tuple[str, ...] = ("tile",), side: int | None = None) -> DataFrame:
+    """Sets to 0 the cells within half of ``width`` cells of a segment (keys, r1, c1, r2, c2) of their tile.
+
+    With ``side``, the cells of a tile along each side, what lies outside the tile is not looked at, so that long segments cost no more
+    than the tile."""
     from pathglow.functions.geo import segment_distance
 
     half = width / 2
     near = segments.select(*keys, *("r1", "c1", "r2", "c2"))
-    rows = F.sequence(F.floor(F.least("r1", "r2") - half).cast("int"), F.ceil(F.greatest("r1", "r2") + half).cast("int"))
-    cols = F.sequence(F.floor(F.least("c1", "c2") - half).cast("int"), F.ceil(F.greatest("c1", "c2") + half).cast("int"))
+    reach = {n: [F.floor(F.least(f"{n}1", f"{n}2") - half), F.ceil(F.greatest(f"{n}1", f"{n}2") + half)] for n in "rc"}
+    if side is not None:
+        reach = {n: [F.greatest(a, F.lit(0)), F.least(b, F.lit(side - 1))] for n, (a, b) in reach.items()}
+        near = near.where((reach["r"][0] <= reach["r"][1]) & (reach["c"][0] <= reach["c"][1]))
+    rows, cols = (F.sequence(*(v.cast("int") for v in reach[n])) for n in "rc")
     cells = near.withColumn("r", F.explode(rows)).withColumn("c", F.explode(cols))
     distance = segment_distance(F.col("c"), F.col("r"), F.col("c1"), F.col("r1"), F.col("c2"), F.col("r2"))
     burnt = cells.where(distance <= half).select(*keys, "r", "c").distinct().withColumn("_burnt", F.lit(True))

@@ -410,14 +410,26 @@ def _tag(*names: str):
 HIGHWAYS = ", ".join(f"'{h}'" for h in (*tags.HIGHWAYS, "construction"))
 
 
+#: Whether each tag says that an object is an area, for DuckDB, and the two orders in which tags are listed.
+SAYS = {"area": "case area when 'yes' then true when 'no' then false end", "leisure": "case when leisure <> 'track' then true end", "type": "case when type = 'multipolygon' then true end"}
+TAG_ORDERS = (("type", "leisure", "area"), ("area", "leisure", "type"))
+
+
 @query(with_views(f"""select way_id, coalesce(highway in ({HIGHWAYS}), false) or railway is not null or coalesce(aeroway in ('runway', 'taxiway'), false) or coalesce(leisure in ('track', 'pitch'), false) or coalesce(route = 'ferry', false) as relevant,
-  case when leisure = 'golf_course' then 'golf_course' when natural_kind in ('beach', 'sand') then natural_kind when leisure in ('pitch', 'park') then leisure end as open_area,
-  case when leisure in ('pitch', 'track') or route = 'ferry' or natural_kind = 'beach' then 'other' when highway in ('path', 'footway', 'track') then highway when highway in ('residential', 'service', 'primary') then 'road/service' else 'other' end as context,
-  coalesce(case when area = 'no' then false when area = 'yes' then true end, leisure is not null) as is_area from item""", "item"))
+  case when leisure = 'golf_course' then 'golf_course' when natural_kind in ('beach', 'sand') then natural_kind when surface = 'sand' and (area = 'yes' or leisure is not null or natural_kind is not null) then 'sand'
+    when leisure in ('pitch', 'sports_centre', 'stadium') then leisure when len(list_filter(string_split(lower(trim(sport)), ';'), lambda x: starts_with(x, 'climbing'))) > 0 then 'sport_climbing' when trim(sport) <> '' and coalesce(leisure, '') <> 'track' then 'sport_area'
+    when amenity in ('parking', 'parking_space') then 'parking' when highway = 'pedestrian' and area = 'yes' then 'pedestrian_area' when leisure in ('park', 'playground') then leisure end as open_area,
+  case when leisure in ('pitch', 'track') or route = 'ferry' or natural_kind = 'beach' then 'other' when highway in ('path', 'footway', 'track') then highway when highway in ('residential', 'service', 'primary', 'pedestrian') then 'road/service' else 'other' end as context,
+  case when way_id % 2 = 0 then coalesce({', '.join(SAYS[k] for k in reversed(TAG_ORDERS[0]))}, false) else coalesce({', '.join(SAYS[k] for k in reversed(TAG_ORDERS[1]))}, false) end as is_area from item""", "item"))
 def map_object_classes(spark, sf_dir):
-    tag = _tag("highway", "railway", "aeroway", "leisure", "route", "natural_kind", "area")
-    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in ("leisure", "area")]), lambda x: x["value"].isNotNull())
-    return view(spark, sf_dir, "item").select("way_id", tags.is_relevant(tag).alias("relevant"), tags.open_area_class(tag).alias("open_area"), tags.context_class(tag).alias("context"), tags.is_area(entries).alias("is_area"))
+    """Classes of map objects; of the tags that speak of an area, listed in one order or the other, the last decides."""
+    tag = _tag("highway", "railway", "aeroway", "leisure", "route", "natural_kind", "area", "sport", "amenity", "surface")
+
+    def entries(order: tuple[str, ...]):
+        return F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in order]), lambda x: x["value"].isNotNull())
+
+    area = F.when(F.col("way_id") % 2 == 0, tags.is_area(entries(TAG_ORDERS[0]))).otherwise(tags.is_area(entries(TAG_ORDERS[1])))
+    return view(spark, sf_dir, "item").select("way_id", tags.is_relevant(tag).alias("relevant"), tags.open_area_class(tag).alias("open_area"), tags.context_class(tag).alias("context"), area.alias("is_area"))
 
 
 @query("""select o_custkey as extract, count(*) as objects, count(*) filter (where o_orderkey % 3 <> 0) as before, sum(floor(o_totalprice)::bigint)::bigint as bytes, count(*) filter (where o_orderkey % 101 = 5) as dangling,

@@ -100,12 +100,15 @@ def _item() -> str:
     """Tags of the ways."""
     o = "o_orderkey"
     return f"""select {o} as way_id,
-  case {o} % 12 when 0 then 'residential' when 1 then 'path' when 2 then 'track' when 3 then 'construction' when 4 then 'footway' when 5 then 'service' when 6 then 'services' when 7 then 'primary' else null end as highway,
+  case {o} % 12 when 0 then 'residential' when 1 then 'path' when 2 then 'track' when 3 then 'construction' when 4 then case when {o} % 24 = 4 then 'footway' else 'pedestrian' end when 5 then 'service' when 6 then 'services' when 7 then 'primary' else null end as highway,
   case when {o} % 12 = 8 then 'ferry' else null end as route, case when {o} % 31 = 9 then 'rail' else null end as railway,
   case {o} % 37 when 1 then 'runway' when 2 then 'gate' else null end as aeroway,
-  case {o} % 12 when 9 then 'golf_course' when 10 then 'pitch' when 11 then 'park' else null end as leisure,
+  case {o} % 12 when 9 then 'golf_course' when 10 then 'pitch' when 11 then case {o} % 5 when 0 then 'playground' when 1 then 'stadium' when 2 then 'sports_centre' when 3 then 'track' else 'park' end else null end as leisure,
   case {o} % 41 when 1 then 'beach' when 2 then 'sand' else null end as natural_kind,
-  case {o} % 29 when 1 then 'yes' when 2 then 'no' else null end as area
+  case {o} % 7 when 1 then 'yes' when 2 then 'no' else null end as area,
+  case {o} % 23 when 1 then 'soccer' when 2 then 'Climbing;fitness' when 3 then 'running;climbing_wall' when 4 then ' ' else null end as sport,
+  case {o} % 19 when 1 then 'parking' when 2 then 'parking_space' when 3 then 'bench' else null end as amenity, case when {o} % 17 = 1 then 'sand' end as surface,
+  case when {o} % 59 = 1 then 'multipolygon' end as type
 from {{orders}}"""
 
 

@@ -44,8 +44,10 @@ def write_figures(row: DataFrame, path: str) -> None:
 
 
 def write_tasks(rows: DataFrame, path: str, key: str = "candidate_id") -> None:
-    """The task table anew, one row a key, sorted by it."""
-    rows.dropDuplicates([key]).repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    """The task table anew, one row a key, the least of its rows by their columns in turn, sorted by the key."""
+    others = [c for c in rows.columns if c != key]
+    one = rows.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")).select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in rows.columns])
+    one.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
 
 
 def backups_to_drop(backups: DataFrame, keep: int = 3, by: str = "region") -> DataFrame:
