@@ -90,3 +90,22 @@ select event_id, area, dist, case when radius = 250 then inside else false end a
 def open_area_of_any_class(spark, sf_dir):
     """For each candidate the best open area within 250 m of its box, else the nearest of all, however far."""
     return nearby.nearest_of_any(_candidates(spark, sf_dir), _shapes(spark, sf_dir), "event_id")
+
+
+#: Metres of a tile's side.
+TILE = 48.0
+SAME_SIDE = [" and ".join(f"(x2 - x1) * ({b} - y1) - (y2 - y1) * ({a} - x1) {op} 0" for a in (f"tx * {TILE}", f"(tx + 1) * {TILE}") for b in (f"ty * {TILE}", f"(ty + 1) * {TILE}")) for op in "<>"]
+TILES = f"""tile_row as (select area, unnest(range(ceil(bx1 / {TILE})::bigint - 1, floor(bx2 / {TILE})::bigint + 1)) as tx, by1, by2 from area_box),
+tile as (select area, tx, unnest(range(ceil(by1 / {TILE})::bigint - 1, floor(by2 / {TILE})::bigint + 1)) as ty from tile_row),
+seen as (select area, tx, ty, (tx + 0.5) * {TILE} as px, (ty + 0.5) * {TILE} as py, x1, y1, x2, y2 from tile join area_edge using (area)),
+told as (select area, tx, ty, bool_or(least(x1, x2) <= (tx + 1) * {TILE} and greatest(x1, x2) >= tx * {TILE} and least(y1, y2) <= (ty + 1) * {TILE} and greatest(y1, y2) >= ty * {TILE} and not ({SAME_SIDE[0]}) and not ({SAME_SIDE[1]})) as border,
+  count(*) filter (where {CROSSED}) % 2 = 1 as inside from seen group by all)"""
+
+
+@query(with_views(f"""{_area_sql()}, {TILES} select area, count(*) as tiles, count(*) filter (where border) as border_tiles, min(tx * 100000 + ty)::bigint as least_tile, max(tx * 100000 + ty)::bigint as greatest_tile from told where border or inside group by area""", "candidate"))
+def tiles_of_areas(spark, sf_dir):
+    """The tiles that each supplier's area meets: those inside found whole, by descent."""
+    cover = areas.tile_cover(area_edges(spark, sf_dir).select("area", *areas.EDGE), "area", TILE)
+    place = F.col("x") * 100000 + F.col("y")
+    every = areas.single_tiles(cover, "area").groupBy("area").agg(F.count("*").alias("tiles"), F.min(place).alias("least_tile"), F.max(place).alias("greatest_tile"))
+    return every.join(cover.groupBy("area").agg(F.count_if("border").alias("border_tiles")), "area").select("area", "tiles", "border_tiles", "least_tile", "greatest_tile")
