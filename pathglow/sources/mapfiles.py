@@ -49,11 +49,3 @@ def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     cells = tile_rows(files)
     part = lambda i: F.regexp_extract("path", r"([^/]+)/(\d+)/(\d+)/(\d+)\.png$", i)
     return cells.select(part(1).alias("layer"), *[part(i).try_cast("int").alias(n) for i, n in ((2, "z"), (3, "x"), (4, "y"))], "r", "c", "v", "error")
-
-
-def batch_boxes(spark: SparkSession, x1: float, y1: float, x2: float, y2: float, depth: int = 2) -> DataFrame:
-    """The box cut into 2^depth x 2^depth parts for fetching, each with its place; a failed part can be cut again."""
-    n = 1 << depth
-    w, h = (x2 - x1) / n, (y2 - y1) / n
-    cells = spark.range(n * n).select((F.col("id") % n).alias("i"), F.floor(F.col("id") / n).alias("j"))
-    return cells.select("i", "j", (x1 + F.col("i") * w).alias("x1"), (y1 + F.col("j") * h).alias("y1"), (x1 + (F.col("i") + 1) * w).alias("x2"), (y1 + (F.col("j") + 1) * h).alias("y2"))

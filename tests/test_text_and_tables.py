@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pathglow.functions import geo, text
 from pathglow.operators import labels
 from pathglow.operators.quantiles import exact_quantiles
-from pathglow.sources import features, mapfiles, sinks
+from pathglow.sources import features, sinks
 from pathglow.streaming.reviews import review_rates
 
 
@@ -66,11 +66,6 @@ def test_figures_and_tasks(spark, tmp_path):
         assert sorted(map(tuple, spark.read.parquet(str(tmp_path / f"t{parts}")).collect())) == [(1, "a", 3), (2, None, 1)]
 
 
-def test_boxes_of_batches(spark):
-    rows = mapfiles.batch_boxes(spark, 0.0, 0.0, 8.0, 4.0, 1).collect()
-    assert sorted((r["x1"], r["y1"], r["x2"], r["y2"]) for r in rows) == [(0.0, 0.0, 4.0, 2.0), (0.0, 2.0, 4.0, 4.0), (4.0, 0.0, 8.0, 2.0), (4.0, 2.0, 8.0, 4.0)]
-
-
 def test_rates_of_reviews(spark):
     at = dt.datetime(2024, 1, 1, 10, 5)
     df = spark.createDataFrame([(at, "Fixed"), (at + dt.timedelta(minutes=20), "Fixed"), (at + dt.timedelta(hours=1), "Fixed"), (at, "Skipped")], "reviewed_at timestamp, status string")
