@@ -108,9 +108,9 @@ def nearest_by_ladder(left: DataFrame, right: DataFrame, radii: Sequence[float],
 
 
 BOX = ("x1", "y1", "x2", "y2")
-#: Cells of a cell along each side, levels below the given size at which objects are counted, objects that a cell of the finest level should hold at most, levels at most, and levels
+#: Cells of a cell along each side, objects that a cell of the finest level should hold at most, levels at most, and levels
 #: between two written tables.
-FAN, FINER, CROWD, MOST_LEVELS, WRITE_EVERY = 8, 1, 1024, 16, 4
+FAN, CROWD, MOST_LEVELS, WRITE_EVERY = 8, 1024, 16, 4
 
 
 def nearest_of_all(points: DataFrame, objects: DataFrame, key: str, other: str, distance: Column, size: float, x: str = "px", y: str = "py", slack: float = 1e-5, by: Sequence[str] = (), most: int = 1) -> DataFrame:
@@ -120,7 +120,7 @@ def nearest_of_all(points: DataFrame, objects: DataFrame, key: str, other: str,
     cells are told apart by them too. Objects have a box (x1, y1, x2, y2) and stand in the cell of its centre. A quadtree of cells, each with the box around
     its objects and their number, is descended level by level for all points at once: of a point's cells those stay whose box begins no
     farther than enough objects surely lie. A level is one equi-join with the cells of the next and a window over the
-    few cells of a point. Objects are counted once, in cells that are rolled up to those of the finest level that a crowd allows. The driver learns
+    few cells of a point. Objects are counted in cells a level below ``size``, and again in finer ones only where these hold a crowd. The driver learns
     extents and crowds, and at most nine cells for each value of ``by``. Points without coordinates, or with ones that are not finite, and objects without such a box have no partner.
     With ``most`` above 1 there is a rank, from 1.
     """
@@ -133,26 +133,28 @@ def nearest_of_all(points: DataFrame, objects: DataFrame, key: str, other: str,
     if not points.head(1):
         return empty
     u, v = (a + c) / 2, (b + d) / 2
-    finest, before = size / FAN**FINER, None
+    finest, before = size / FAN, None
     while True:
         around = F.min(a).alias("_a"), F.min(b).alias("_b"), F.max(c).alias("_c"), F.max(d).alias("_d")
         base = written(objects.groupBy(*by, cell(u, finest).alias("_cx"), cell(v, finest).alias("_cy")).agg(*around, F.count("*").alias("_n")), "cells")
-        crowd, *extent = base.agg(F.max("_n"), F.min("_cx"), F.max("_cx"), F.min("_cy"), F.max("_cy")).first()
+        # the crowd of these cells, of those a level up, and the extent, in one aggregate
+        up = base.groupBy(*by, F.floor(F.col("_cx") / FAN).alias("_ux"), F.floor(F.col("_cy") / FAN).alias("_uy"))
+        up = up.agg(F.max("_n").alias("n"), F.sum("_n").alias("s"), *[f(c).alias(f"{n}{c}") for c in ("_cx", "_cy") for n, f in (("l", F.min), ("h", F.max))])
+        crowd, crowd_above, *extent = up.agg(F.max("n"), F.max("s"), F.min("l_cx"), F.max("h_cx"), F.min("l_cy"), F.max("h_cy")).first()
         if crowd is None:
             return empty
         if crowd <= max(CROWD, most) or crowd == before or max(map(abs, extent)) > 1 << 40:  # smaller cells would not part equal places
             break
-        finest, before = finest / FAN**FINER, crowd
+        finest, before = finest / FAN, crowd
 
     def level(k: int) -> DataFrame:
         place = [F.floor(F.col(n) / FAN**k).alias(n) for n in ("_cx", "_cy")]
         return base.groupBy(*by, *place).agg(F.min("_a").alias("_a"), F.min("_b").alias("_b"), F.max("_c").alias("_c"), F.max("_d").alias("_d"), F.sum("_n").alias("_n")) if k else base
 
-    low, levels = 0, 0
+    levels = 0
     while levels < MOST_LEVELS and max(extent[1] - extent[0], extent[3] - extent[2]) >= 2 * FAN**levels:
         levels += 1
-    while low < min(levels, FINER) and level(low + 1).agg(F.max("_n")).first()[0] <= CROWD:
-        low += 1  # the cells counted were finer than need be
+    low = 1 if levels and crowd_above <= CROWD else 0  # the cells counted may be finer than need be
 
     def bounded(rows: DataFrame) -> DataFrame:
         px, py, zero = F.col(x), F.col(y), F.lit(0.0)
