@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 #: What is asked of a candidate and the golf course it is nearest to.
 GOLF = {
@@ -33,18 +34,20 @@ OPEN_AREA: Sequence[tuple[str, str, Sequence[str] | None]] = (
 )
 
 
-def count_predicates(rows: DataFrame, predicates: Mapping[str, str], status: str = "status") -> DataFrame:
-    """predicate, status, hits, n: all predicates are sums of one aggregate; null meets none."""
-    sums = [F.count_if(F.expr(f"coalesce({c}, false)")).alias(f"p{i}") for i, c in enumerate(predicates.values())]
-    counted = rows.groupBy(status).agg(F.count("*").alias("n"), *sums)
+def count_predicates(rows: DataFrame, predicates: Mapping[str, str], status: str = "status", weight: Column | None = None) -> DataFrame:
+    """predicate, status, hits, n: all predicates are sums of one aggregate; null meets none. A row stands for ``weight`` rows."""
+    w = F.lit(1).cast("long") if weight is None else weight
+    sums = [F.sum(F.when(F.expr(f"coalesce({c}, false)"), w).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i, c in enumerate(predicates.values())]
+    counted = rows.groupBy(status).agg(F.sum(w).alias("n"), *sums)
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("predicate"), F.col(f"p{i}").alias("hits")) for i, name in enumerate(predicates)])).alias("p")
     return counted.select(status, "n", each).select("p.predicate", status, "p.hits", "n")
 
 
 def by_class(rows: DataFrame, group: str, area_class: str, battery=OPEN_AREA) -> tuple[DataFrame, dict[str, str]]:
-    """One row a group with a flag for each question, from rows of a group and an area of some class."""
-    flags = []
+    """One row a group with a flag for each question, from rows of a group and an area of some class, or of several in an array."""
+    flags, several = [], isinstance(rows.schema[area_class].dataType, ArrayType)
+    of = lambda classes: F.arrays_overlap(area_class, F.array(*map(F.lit, classes))) if several else F.col(area_class).isin(*classes)
     for i, (_, condition, classes) in enumerate(battery):
         own = F.expr(f"coalesce({condition}, false)")
-        flags.append(F.bool_or(own if classes is None else own & F.col(area_class).isin(*classes)).alias(f"q{i}"))
+        flags.append(F.bool_or(own if classes is None else own & of(classes)).alias(f"q{i}"))
     return rows.groupBy(group).agg(*flags), {name: f"q{i}" for i, (name, _, _) in enumerate(battery)}
