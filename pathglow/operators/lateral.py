@@ -113,7 +113,7 @@ def points_on_lines(lines: DataFrame, keys: list[str], side: int, most: int) ->
     """Even steps of at most one cell along the parts of lines inside a tile of ``side`` cells, as cells (keys, i, r, c).
 
     ``lines`` (keys, place, r1, c1, r2, c2) are the pieces of one line a key, in cells. A part that stays inside is stepped
-    from end to end, with two points at least; of a key's points in the tile the first ``most`` count.
+    from end to end, with two points at least; of a key's points in the tile the first ``most`` count. A line without length has no points.
     """
     def reach(a: str, b: str) -> tuple[Column, Column]:
         step = F.col(b) - F.col(a)
@@ -128,7 +128,8 @@ def points_on_lines(lines: DataFrame, keys: list[str], side: int, most: int) ->
     cut = cut.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("part", F.sum("_new").over(line))
     length = (F.col("tb") - F.col("ta")) * F.hypot(F.col("r2") - F.col("r1"), F.col("c2") - F.col("c1"))
     part, whole = Window.partitionBy(*keys, "part").orderBy("place"), Window.partitionBy(*keys, "part")
-    cut = cut.withColumn("len", length).withColumn("to", F.sum("len").over(part)).withColumn("from", F.coalesce(F.lag("to").over(part), F.lit(0.0))).withColumn("last", F.lead("place").over(part).isNull()).withColumn("whole", F.max("to").over(whole))
+    # a piece of no length, such as from a centre on the way to the way, joins its neighbours but has no steps
+    cut = cut.withColumn("len", length).where("len > 0").withColumn("to", F.sum("len").over(part)).withColumn("from", F.coalesce(F.lag("to").over(part), F.lit(0.0))).withColumn("last", F.lead("place").over(part).isNull()).withColumn("whole", F.max("to").over(whole))
     cut = cut.withColumn("steps", F.least(F.lit(most), F.greatest(F.lit(2), F.ceil(F.round("whole", 6)) + 1)) - 1).withColumn("step", F.col("whole") / F.col("steps"))
     first, end = F.ceil(F.col("from") / F.col("step")), F.when(F.col("last"), F.col("steps")).otherwise(F.ceil(F.col("to") / F.col("step")) - 1)
     at = cut.where(first <= end).withColumn("i", F.explode(F.sequence(first, end)))

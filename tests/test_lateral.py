@@ -130,3 +130,10 @@ def test_filled_polygons_hold_the_cells_inside(spark):
     got = {(x["tile"], x["r"], x["c"]): x["v"] for x in left.collect()}
     assert got == {(t, r, c): 0 if t == 0 and holds(r, c) else 9 for t, r, c, _ in heat}
     assert 20 < sum(v == 0 for v in got.values()) < 200
+
+
+def test_lines_without_length_have_no_points(spark):
+    """A centre that lies on its way has nothing in between; a piece of no length does not part a line."""
+    lines = [(1, 1, 5.0, 5.0, 5.0, 5.0), (2, 1, 2.0, 2.0, 2.0, 4.0), (2, 2, 2.0, 4.0, 2.0, 4.0), (2, 3, 2.0, 4.0, 2.0, 6.0)]
+    found = lateral.points_on_lines(spark.createDataFrame(lines, "k int, place int, r1 double, c1 double, r2 double, c2 double"), ["k"], 20, 80)
+    assert sorted((r["k"], r["r"], r["c"]) for r in found.collect()) == [(2, 2, c) for c in (2, 3, 4, 5, 6)]
