@@ -66,3 +66,12 @@ def test_areas_by_class_fall_back_to_the_far_radius(spark):
     near = {r["id"]: tuple(r)[1:] for r in nearby.nearest_of_any(points, shapes, "id").collect()}
     assert near[1] == (1, 0.0, True, 250.0) and near[5] == (4, 50990.0, False, None) and 4 not in near
     assert nearby.nearest_by_class(points, shapes.limit(0), ["park"], "id").count() == nearby.nearest_of_any(points, shapes.limit(0), "id").count() == 0
+
+
+def test_distances_to_edges_are_computed_once_a_pair(spark):
+    """Functions over an area's edges are interpreted, so no plan calls them again for each column that follows from a distance."""
+    edges = spark.createDataFrame([(1, "park", 0.0, 0.0, 9.0, 0.0), (1, "park", 9.0, 0.0, 0.0, 9.0), (1, "park", 0.0, 9.0, 0.0, 0.0)], "area int, area_class string, x1 double, y1 double, x2 double, y2 double")
+    pairs = spark.createDataFrame([(1, 1.0, 1.0), (2, 12.0, 9.0), (3, 4.5, 4.5)], "id int, px double, py double").crossJoin(nearby.area_shapes(edges))
+    best = nearby._best(pairs, ["id"], "area", "px", "py")
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("transform(edges") == 1
+    assert sorted(tuple(r)[1:] for r in best.collect()) == sorted([(1, 0.0, True), (1, round(math.dist((12, 9), (6, 3)), 6), False), (1, 0.0, True)])
