@@ -43,3 +43,14 @@ def test_piled_rings_like_sql(spark, piled, name):
     columns, rows = duck_rows(entry.oracle_sql()[name], piled)
     found = entry.queries()[name](spark, piled)
     assert sorted(found.columns) == columns and spark_rows(found) == rows
+
+
+def test_spots_of_one_place_are_one_row(spark, piled, tmp_path):
+    """Line items three times over: the places, and so the tests of points in shapes, stay as many; the counts are three times as large."""
+    for t in "part region nation customer supplier orders events documents embeddings pages benchmark labels conversations".split():
+        (tmp_path / f"{t}.parquet").symlink_to(f"{piled}/{t}.parquet")
+    duckdb.connect().execute(f"copy (select l.* replace (l_orderkey + 1000000 * i as l_orderkey) from '{piled}/lineitem.parquet' l, range(3) as t(i)) to '{tmp_path}/lineitem.parquet'")
+    rows = [query_spatial._inside(spark, d, of="spots")[0] for d in (piled, str(tmp_path))]
+    assert rows[0].count() == rows[1].count() > 0
+    columns, expected = duck_rows(entry.oracle_sql()["point_in_polygon"], str(tmp_path))
+    assert spark_rows(entry.queries()["point_in_polygon"](spark, str(tmp_path))) == expected
