@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 #: What is asked of a candidate and the golf course it is nearest to.
 GOLF = {
@@ -43,11 +42,27 @@ def count_predicates(rows: DataFrame, predicates: Mapping[str, str], status: str
     return counted.select(status, "n", each).select("p.predicate", status, "p.hits", "n")
 
 
+def class_bits(area_class: Column, battery=OPEN_AREA) -> Column:
+    """A class as bits of a long: the lowest for any class, one for each that is asked for."""
+    named = _named(battery)
+    bits = F.create_map(*[F.lit(v) for c, i in named.items() for v in (c, 1 << i)])
+    return F.lit(1).cast("long").bitwiseOR(F.coalesce(bits[area_class].cast("long"), F.lit(0).cast("long")))
+
+
+def _named(battery) -> dict[str, int]:
+    return {c: i + 1 for i, c in enumerate(dict.fromkeys(c for _, _, classes in battery for c in classes or ()))}
+
+
 def by_class(rows: DataFrame, group: str, area_class: str, battery=OPEN_AREA) -> tuple[DataFrame, dict[str, str]]:
-    """One row a group with a flag for each question, from rows of a group and an area of some class, or of several in an array."""
-    flags, several = [], isinstance(rows.schema[area_class].dataType, ArrayType)
-    of = lambda classes: F.arrays_overlap(area_class, F.array(*map(F.lit, classes))) if several else F.col(area_class).isin(*classes)
+    """One row a group with a flag for each question, from rows of a group and the ``class_bits`` of an area, or of several areas alike.
+
+    The bits of the rows that meet a condition are joined by or, one long a condition; questions are asked of these.
+    """
+    met = {condition: f"_c{i}" for i, condition in enumerate(dict.fromkeys(condition for _, condition, _ in battery))}
+    bits = [F.bit_or(F.when(F.expr(f"coalesce({condition}, false)"), F.col(area_class)).otherwise(F.lit(0).cast("long"))).alias(n) for condition, n in met.items()]
+    named = _named(battery)
+    flags = []
     for i, (_, condition, classes) in enumerate(battery):
-        own = F.expr(f"coalesce({condition}, false)")
-        flags.append(F.bool_or(own if classes is None else own & of(classes)).alias(f"q{i}"))
-    return rows.groupBy(group).agg(*flags), {name: f"q{i}" for i, (name, _, _) in enumerate(battery)}
+        wanted = 1 if classes is None else sum(1 << named[c] for c in set(classes))
+        flags.append((F.col(met[condition]).bitwiseAND(F.lit(wanted).cast("long")) != 0).alias(f"q{i}"))
+    return rows.groupBy(group).agg(*bits).select(group, *flags), {name: f"q{i}" for i, (name, _, _) in enumerate(battery)}
