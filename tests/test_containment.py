@@ -54,3 +54,11 @@ def test_spots_of_one_place_are_one_row(spark, piled, tmp_path):
     assert rows[0].count() == rows[1].count() > 0
     columns, expected = duck_rows(entry.oracle_sql()["point_in_polygon"], str(tmp_path))
     assert spark_rows(entry.queries()["point_in_polygon"](spark, str(tmp_path))) == expected
+
+
+@pytest.mark.parametrize("name", ["open_area_battery", "best_area"])
+def test_groups_are_aggregated_by_hash(spark, piled, name):
+    """Flags and least scores of a group are longs, so the many rows of groups and shapes are not sorted for them."""
+    plan = entry.queries()[name](spark, piled)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and not any("grp" in line.split("functions")[0] for line in plan.splitlines() if "SortAggregate" in line)
+    assert "arrays_overlap" not in plan
