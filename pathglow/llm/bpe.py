@@ -12,6 +12,7 @@ import unicodedata
 from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import regex
@@ -129,13 +130,15 @@ class Merges:
                 heappush(heap, q << 32 | p)
         return merges
 
-    def merged(self, symbols: list[int]) -> list[int]:
+    def merged(self, symbols: list[int], ranks: list[int] | None = None) -> list[int]:
+        """The symbols that remain; ``ranks`` of the neighbours, NEVER for those that do not merge, if they are known."""
         if len(symbols) > SHORT:
             self._run(symbols)
             return [s for s in symbols if s >= 0]
         # few symbols: a plain search for the least rank is quicker than a heap
         rank, product = self.rank.get, self.product
-        ranks = [rank(a << 32 | b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
+        if ranks is None:
+            ranks = [rank(a << 32 | b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
         while ranks and (least := min(ranks)) != NEVER:
             i = ranks.index(least)
             symbols[i] = product[least]
@@ -169,6 +172,8 @@ class ForcedBoundaryEncoder:
         self.merges = Merges(vocab, merges)
         self.inner = [vocab[s] for s in symbols]
         self.final = [vocab[s + self.SUFFIX] for s in symbols]
+        #: Ranks of two bytes side by side, the second inside a word or at its end: tables, as every new word asks for them.
+        self.first_ranks, self.final_ranks = ([[self.merges.rank.get(a << 32 | b, NEVER) for b in then] for a in self.inner] for then in (self.inner, self.final))
         self.joinable = [bytearray(256) for _ in range(256)]
         for token in vocab:
             raw = [byte_of[c] for c in token.removesuffix(self.SUFFIX)]
@@ -188,10 +193,13 @@ class ForcedBoundaryEncoder:
         return [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True)] if cuts else [raw]
 
     def _encode(self, raw: bytes, last: bool) -> bytes:
-        symbols = [self.inner[b] for b in raw]
+        inner, ranks_of = self.inner, self.first_ranks
+        symbols, ranks = [inner[b] for b in raw], [ranks_of[a][b] for a, b in pairwise(raw)]
         if last:
             symbols[-1] = self.final[raw[-1]]
-        return array("I", self.merges.merged(symbols)).tobytes()
+            if ranks:
+                ranks[-1] = self.final_ranks[raw[-2]][raw[-1]]
+        return array("I", self.merges.merged(symbols, ranks)).tobytes()
 
     def _word(self, word: str) -> bytes:
         pieces = self.fragments(word.encode())
@@ -213,6 +221,8 @@ class ForcedBoundaryEncoder:
         return b"".join(map(self.words.__getitem__, self.word.findall(text)))
 
     def _chunk(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # letters of ASCII alone
+            return self.words[chunk.lower().decode()]
         text = chunk.decode()
         if "<|" not in text:
             return self._plain(text)

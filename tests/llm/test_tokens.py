@@ -161,3 +161,24 @@ def test_slices_read_like_whole_batches():
     cut = list(parts(batch, "text", 5000))
     assert len(cut) > 5
     assert [t for p in cut for t in pc.ascii_lower(text_column(p, "text")).to_pylist()] == [t.lower() for t in texts]
+
+
+def test_new_words_ask_for_ranks_only_where_they_merge():
+    """The ranks of a word's bytes side by side lie in tables: the dictionary of merges is asked for the neighbours of a merge alone."""
+    import public_tokenizers
+
+    from pathglow.llm.bpe import ForcedBoundaryEncoder
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    encoder = ForcedBoundaryEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rank = encoder.merges.rank = Counting(encoder.merges.rank)
+    for word in ("Vraxilomquet", "ozzyphlarb", "kwijibo"):
+        rank.asked = 0
+        tokens = len(encoder.encode(word)) // 4
+        assert 1 < tokens < len(word) and rank.asked <= 2 * (len(word) - tokens)
