@@ -62,3 +62,9 @@ def test_groups_are_aggregated_by_hash(spark, piled, name):
     plan = entry.queries()[name](spark, piled)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and not any("grp" in line.split("functions")[0] for line in plan.splitlines() if "SortAggregate" in line)
     assert "arrays_overlap" not in plan
+
+
+@pytest.mark.parametrize("name", ["containment_fractions", "golf_battery", "point_in_polygon"])
+def test_members_of_shapes_are_not_broadcast(spark, piled, name):
+    plan = entry.queries()[name](spark, piled)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
