@@ -75,7 +75,7 @@ def test_empty_sides(spark, rows):
     assert not near_lines(points, segments.limit(0), 50, ["k"], []).count() and not near_lines(points.limit(0), segments, 50, ["k"], []).count()
 
 
-@pytest.mark.parametrize("name, joins", [("topk_near", 0), ("radius_fallback", 0), ("ferry_gate", 1)])
+@pytest.mark.parametrize("name, joins", [("topk_near", 0), ("radius_fallback", 0), ("ferry_gate", 1), ("follow_parallel_metrics", 1)])
 def test_pairs_are_no_table(spark, data, name, joins):
     """Of the pairs of points and segments only answers are rows: what is joined are tags of ways, or samples and their nearest segment."""
     plan = entry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
