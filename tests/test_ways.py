@@ -7,7 +7,8 @@ import random
 
 from helpers import duck_rows, spark_rows
 from pathglow.operators import cells, mapdata, metrics
-from pathglow.plans import catalog
+from pathglow.operators.shared import written
+from pathglow.plans import catalog, query_spatial
 from pathglow.plans.standins import VIEWS, view
 
 
@@ -50,3 +51,11 @@ def test_covered_pairs_are_hashed(spark, data):
     """No string is among the sums of pairs of points and shapes, so they are not sorted for them; shapes are made once."""
     found = plan(catalog.QUERIES["area_cover"](spark, data))
     assert "SortAggregate" not in found and "ObjectHashAggregate" not in found
+
+
+def test_segments_are_written_without_boxes(spark, data, monkeypatch):
+    """The table of segments, which is read twice, holds a way and two ends; boxes follow from these."""
+    tables = {}
+    monkeypatch.setattr(query_spatial, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    query_spatial.nearest_map_object(spark, data)
+    assert sorted(tables["segments"].columns) == ["way_id", "x1", "x2", "y1", "y2"] and "Join" not in plan(query_spatial._way_hits(spark, data, segs=tables["segments"], most=1))
