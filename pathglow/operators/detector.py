@@ -81,6 +81,16 @@ def candidates(heat: DataFrame, frame: Frame, rules: Rules) -> tuple[DataFrame,
     return found, cells.join(found.select(*KEYS), KEYS, "left_semi").select(*KEYS, "r", "c", "v")
 
 
+def ways_about(found: DataFrame, segments: DataFrame, frame: Frame, pad: float) -> DataFrame:
+    """The segments of all ways that come within ``pad`` of a tile with a candidate: whole ways, as tangents and lengths need them."""
+    extent = frame.side * frame.pixel
+    tiles = found.select("tile").distinct().select(frame.left.alias("left"), frame.top.alias("top"))
+    boxes = written(tiles.select((F.col("left") - pad).alias("tx1"), (F.col("top") - extent - pad).alias("ty1"), (F.col("left") + extent + pad).alias("tx2"), (F.col("top") + pad).alias("ty2")), "tile-boxes")
+    boxed = segments.select("way_id", F.least("x1", "x2").alias("bx1"), F.least("y1", "y2").alias("by1"), F.greatest("x1", "x2").alias("bx2"), F.greatest("y1", "y2").alias("by2"))
+    met = meeting_boxes(boxed, boxes, extent + 2 * pad, ("bx1", "by1", "bx2", "by2"), ("tx1", "ty1", "tx2", "ty2"))
+    return written(segments.join(written(met.select("way_id").distinct(), "ways-about"), "way_id", "left_semi"), "segments-about")
+
+
 def follow(cells: DataFrame, segments: DataFrame, frame: Frame) -> DataFrame:
     """tile, comp and the distribution of the distances and angles of the candidate's samples to the nearest ways."""
     _, samples = lateral.region_samples(cells, frame.left, frame.top, frame.pixel, KEYS)
@@ -122,6 +132,9 @@ def detect(heat: DataFrame, segments: DataFrame, kinds: DataFrame, area_edges: D
     found = written(gated.withColumn("candidate_id", candidate_id).withColumn("layer", layer), "found")
     cells = written(cells.join(found.select(*KEYS), KEYS, "left_semi"), "found-cells")
 
+    # what the metrics look at: ways that come near a candidate's tile, and the tile's heat
+    segments = ways_about(found, segments, frame, max(FOLLOW, FERRY, lateral.SEARCH) + frame.pixel)
+    heat = heat.join(found.select("tile").distinct(), "tile", "left_semi")
     along = lateral.lateral_metrics(cells, segments, heat, frame.left, frame.top, frame.pixel, frame.side)
     first = cells.groupBy(*KEYS).agg(F.min(F.struct("r", "c")).alias("f")).select(*KEYS, F.col("f.r").alias("fr"), F.col("f.c").alias("fc"))
     along = along.select("tile", F.col("r").alias("fr"), F.col("c").alias("fc"), F.col("way_id").alias("along_way"), "cover150", "cover250", "votes", "own_p90", "way_p90", "between_median", "between_ratio", "ratio_p90", "halo")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathglow.functions.geo import axis_angle, segment_distance
-from pathglow.operators.cells import cell, covering_cells, near_boxes
+from pathglow.operators.cells import cell, covering_cells
+from pathglow.operators.lines import near_lines
 from pathglow.operators.metrics import cover_metrics, even_sample, vote_winner
 from pathglow.operators.shared import written
 
@@ -95,8 +96,7 @@ def parallel_ways(samples: DataFrame, ways: DataFrame, keys: list[str]) -> DataF
     parallel one; null where the ``MOST_WAYS`` nearest ways within ``SEARCH`` hold none. Ties go to the least way.
     """
     ends = ("x1", "y1", "x2", "y2")
-    boxed = ways.select("way_id", "place", "m1", "len", "total", F.struct(*ends).alias("at"), F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"))
-    hits = near_boxes(samples.select(*keys, "px", "py"), boxed, SEARCH, 2 * SEARCH).drop(*ends).select("*", "at.*").drop("at")
+    hits = near_lines(samples.select(*keys, "px", "py"), ways, SEARCH, [*keys, "px", "py"], ["way_id", "place", "m1", "len", "total", *ends]).drop("d")
     hits = hits.withColumn("dist", F.round(segment_distance(*(F.col(c) for c in ("px", "py", *ends))), DIGITS)).where(F.col("dist") <= SEARCH)
     hits = hits.withColumn("along", F.col("m1") + projected("px", "py") * F.col("len"))
     each = hits.groupBy(*keys, "way_id").agg(F.min_by(F.struct("dist", "along", "total"), F.struct("dist", "place")).alias("b")).select(*keys, "way_id", "b.*")

@@ -1,6 +1,6 @@
 """Connected regions of heat tiles, and the peaks that stand for them.
 
-Tiles are independent: regions never cross a tile's border. Labelling runs inside a tile in NumPy, tiles run in parallel;
+Tiles are independent: regions never cross a tile's border. Labelling runs in NumPy, many tiles at a time, tasks run in parallel;
 everything after it, statistics, the choice of peaks and their order, is relational.
 """
 
@@ -10,48 +10,92 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Cells that are labelled together.
+TOGETHER = 1 << 16
+
+
+def first_of_regions(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least place that links (a, b) reach: roots hook on to less ones, then all look up theirs."""
+    label = np.arange(n)
+    while True:
+        p, q = label[a], label[b]
+        apart = p != q
+        if not apart.any():
+            return label
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label != (up := label[label])).any():
+            label = up
 
-def label_regions(mask: np.ndarray) -> np.ndarray:
-    """4-connected regions of a boolean grid: at each set cell the least flat index of its region, else -1.
 
-    Labels spread as running minima along rows and columns until nothing changes.
+def label_cells(tile: np.ndarray, r: np.ndarray, c: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """4-connected regions of cells that are ``on``, of many tiles at once: at each such cell the least flat index of its region, else -1.
+
+    Cells are sorted by tile, row and column, and each is there once; ``tile`` counts from 0. A tile is as wide as its last column.
     """
-    height, width = mask.shape
-    label = np.where(mask, np.arange(height * width).reshape(height, width), np.iinfo(np.int64).max)
+    label = np.full(len(tile), -1, np.int64)
+    at = np.flatnonzero(on)
+    if len(at):
+        width, height = int(c.max()) + 2, int(r.max()) + 2  # an empty column and row keep tiles apart
+        flat = (tile[at].astype(np.int64) * height + r[at]) * width + c[at]
+        own, links = np.arange(len(at)), []
+        for step in (1, width):
+            to = np.minimum(np.searchsorted(flat, flat + step), len(at) - 1)
+            met = flat[to] == flat + step
+            links.append((own[met], to[met]))
+        first = at[first_of_regions(len(at), *(np.concatenate(x) for x in zip(*links, strict=True)))]
+        wide = np.maximum.reduceat(c, np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])) + 1
+        label[at] = r[first].astype(np.int64) * wide[tile[first]] + c[first]
+    return label
 
-    def sweep(grid: np.ndarray, own: np.ndarray) -> None:
-        for i in range(1, len(grid)):
-            np.minimum(grid[i], grid[i - 1], out=grid[i], where=own[i] & own[i - 1])
-        for i in range(len(grid) - 2, -1, -1):
-            np.minimum(grid[i], grid[i + 1], out=grid[i], where=own[i] & own[i + 1])
 
-    while True:
-        before = label.copy()
-        sweep(label, mask)
-        sweep(label.T, mask.T)
-        if (label == before).all():
-            return np.where(mask, label, -1)
+def label_regions(mask: np.ndarray) -> np.ndarray:
+    """4-connected regions of a boolean grid: at each set cell the least flat index of its region, else -1."""
+    r, c = np.indices(mask.shape).reshape(2, -1)
+    return label_cells(np.zeros(mask.size, np.int64), r, c, mask.ravel()).reshape(mask.shape)
 
 
 def labelled_cells(heat: DataFrame, threshold: int, keys: tuple[str, ...] = ("tile",)) -> DataFrame:
     """Adds blob (region of v >= 1) and comp (region of v >= ``threshold``) to cells keys, r, c, v with v >= 1.
 
-    A tile's cells are gathered in one task; a tile has a fixed size, so that is bounded.
+    A tile's cells lie side by side in one task, and tiles are labelled some ``TOGETHER`` cells at a time; a tile has a fixed size, so
+    that is bounded.
     """
     schema = ", ".join(f"{k} {heat.schema[k].dataType.simpleString()}" for k in keys) + ", r int, c int, v int, blob long, comp long"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((frame["r"].max() + 1, frame["c"].max() + 1), np.int64)
-        grid[frame["r"], frame["c"]] = frame["v"]
-        blob, comp = label_regions(grid >= 1), label_regions(grid >= threshold)
-        return frame.assign(blob=blob[frame["r"], frame["c"]], comp=comp[frame["r"], frame["c"]])
+    n = len(keys)
+
+    def labelled(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        r, c, v, nth = (rows.column(n + k).to_numpy() for k in range(4))
+        tile = np.cumsum(nth == 1) - 1
+        new = np.r_[True, (tile[1:] != tile[:-1]) | (r[1:] != r[:-1]) | (c[1:] != c[:-1])]  # a cell that is there twice is one
+        one, place = np.flatnonzero(new), np.cumsum(new) - 1
+        value = np.maximum.reduceat(v, one)
+        told = [label_cells(tile[one], r[one], c[one], value >= low)[place] for low in (1, threshold)]
+        names = [*keys, "r", "c", "v", "blob", "comp"]
+        yield from pa.Table.from_arrays([*rows.columns[: n + 3], *map(pa.array, told)], names).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(n + 3).to_numpy() == 1)
+            cut = int(starts[-1]) if len(starts) else 0
+            if len(starts) and size + cut >= TOGETHER:
+                yield from labelled([*held, batch.slice(0, cut)])
+                held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += batch.num_rows
+        if size:
+            yield from labelled(held)
 
     cells = heat.where("v >= 1").select(*keys, F.col("r").cast("int"), F.col("c").cast("int"), F.col("v").cast("int"))
     hot = cells.groupBy(*keys).agg(F.max("v").alias("_max")).where(F.col("_max") >= threshold).drop("_max")
-    return cells.join(hot, list(keys), "left_semi").groupBy(*keys).applyInPandas(run, schema)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("r", "c"))
+    return cells.join(hot, list(keys), "left_semi").withColumn("_nth", nth).mapInArrow(run, schema)
 
 
 def components(cells: DataFrame, keys: tuple[str, ...] = ("tile",)) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathglow.operators import mapdata
+from pathglow.operators import areas, mapdata
 from pathglow.operators.areas import BOUNDARY
 from pathglow.operators.detector import FERRY, Frame, Rules, detect
 from pathglow.plans.query_areas import CROSSED, TO_EDGE, _area_sql, area_edges
@@ -36,8 +36,8 @@ def detected_candidates(spark, sf_dir):
     """Heat that no way explains, in the suppliers' areas, against ferries and the heat beside it."""
     frame = Frame(F.expr(LEFT), F.expr(TOP), PIXEL, SIDE)
     kinds = view(spark, sf_dir, "item").select("way_id", (F.coalesce("route", F.lit("")) == "ferry").alias("ferry"))
-    none = spark.createDataFrame([], "area string, golf boolean, fill boolean, x1 double, y1 double, x2 double, y2 double")
-    prior = spark.createDataFrame([], "candidate_id string, status string")
+    none = spark.range(0).selectExpr("'' as area", "false as golf", "false as fill", *[f"0.0D as {n}" for n in areas.EDGE])
+    prior = spark.range(0).selectExpr("'' as candidate_id", "'' as status")
     requested = area_edges(spark, sf_dir).select("area", "x1", "y1", "x2", "y2")
     rules = Rules(THRESHOLD, MIN_SIZE, PIXEL, parallel=False)
     found = detect(view(spark, sf_dir, "heat"), mapdata.segments(view(spark, sf_dir, "vertex")), kinds, none, requested, prior, frame, F.concat_ws("/", "tile", "r", "c"), F.lit("all"), rules)

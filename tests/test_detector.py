@@ -11,8 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathglow.functions import geo
+from pathglow.operators import detector, mapdata
 from pathglow.operators.detector import Rules
+from pathglow.plans import catalog
 from pathglow.plans.detection import detect_files, tile_frame
+from pathglow.plans.standins import view
 from pathglow.sources.features import read_features
 
 SIDE, X, Y = 64, 8300, 6200
@@ -93,3 +96,21 @@ def test_from_files_to_written_candidates(spark, files):
     assert sorted((r["properties"]["layer"], r["id"]) for r in back) == sorted([("all", free), ("ride", free), ("ride", golf)])
     shown = next(r for r in back if r["id"] == free)
     assert abs(shown["lon"] - f["lon"]) < 1e-9 and shown["properties"]["threshold"] == "100"
+
+
+def test_metrics_look_at_ways_about_candidates_only(spark):
+    """Of a map the metrics read the ways that come near a candidate's tile, and these whole."""
+    frame = detector.Frame(F.col("tile") * 100.0, F.lit(50.0), 5.0, 10)
+    found = spark.createDataFrame([(3, 7), (3, 8)], "tile int, comp long")  # the square 300 to 350, 0 to 50
+    rows = [(1, 0, 0.0, 0.0, 285.0, 0.0), (1, 1, 285.0, 0.0, 292.0, 5.0), (2, 0, 0.0, 0.0, 280.0, 0.0), (3, 0, 361.0, 20.0, 400.0, 20.0), (4, 0, 250.0, 55.0, 400.0, 58.0), (5, 0, 250.0, 61.0, 400.0, 62.0), (6, 0, 310.0, 10.0, 310.0, 10.0)]
+    segments = spark.createDataFrame(rows, "way_id long, pos int, x1 double, y1 double, x2 double, y2 double")
+    about = detector.ways_about(found, segments, frame, 10.0).collect()
+    assert sorted(map(tuple, about)) == [r for r in rows if r[0] in (1, 4, 6)]
+
+
+def test_the_detector_hands_its_metrics_near_ways(spark, data, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(detector.lateral, "lateral_metrics", lambda cells, segments, heat, *a, f=detector.lateral.lateral_metrics: seen.update(segments=segments, heat=heat) or f(cells, segments, heat, *a))
+    found = catalog.QUERIES["detected_candidates"](spark, data)
+    assert seen["segments"].count() < mapdata.segments(view(spark, data, "vertex")).count()
+    assert seen["heat"].select("tile").distinct().count() == found.select("tile").distinct().count()

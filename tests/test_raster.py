@@ -101,3 +101,21 @@ def test_tiles_from_files(spark, tmp_path):
         (folder / name).write_bytes(data)
     rows = {(r["layer"], r["z"], r["x"], r["y"], r["r"], r["c"], r["v"], r["error"] is None) for r in read_tiles(spark, str(tmp_path)).collect()}
     assert rows == {("ride", 14, 8300, 1, 1, 2, 7, True), ("ride", 14, 8300, 1, 3, 4, 200, True), ("ride", 14, 8300, 3, -1, -1, 0, False)}
+
+
+def test_tiles_are_labelled_together(spark, monkeypatch):
+    """Many tiles of any size in one go, cut wherever a batch ends, each as if it were alone; no group of pandas a tile."""
+    monkeypatch.setattr(raster, "TOGETHER", 40)
+    rng = np.random.default_rng(12)
+    grids = {t: np.where(rng.random((h, w)) < 0.65, rng.integers(1, 256, (h, w)), 0) for t, (h, w) in enumerate(zip(rng.integers(1, 12, 60), rng.integers(1, 12, 60), strict=True))}
+    rows = [(t, int(r), int(c), int(g[r, c])) for t, g in grids.items() for r, c in zip(*np.nonzero(g), strict=True)]
+    found = raster.labelled_cells(spark.createDataFrame(rows, "tile int, r int, c int, v int").repartition(7), 100)
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for t, g in grids.items():
+        if g.max() >= 100:
+            g = g[:, : np.nonzero(g)[1].max() + 1]  # a tile is as wide as its last cell
+            blob, comp = flood(g >= 1), flood(g >= 100)
+            want |= {(t, int(r), int(c), int(g[r, c]), int(blob[r, c]), int(comp[r, c])) for r, c in zip(*np.nonzero(g), strict=True)}
+    got = found.collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
