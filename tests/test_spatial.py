@@ -120,3 +120,19 @@ def test_tiles_of_area(spark):
     assert len(every) == 20 and [r["y"] for r in every[:2]] == [9, 8]
     parts = [{(r["x"], r["y"]) for r in mapdata.tiles_of_area(3, 5, 6, 9, spark, o).collect()} for o in range(4)]
     assert len(set().union(*parts)) == sum(map(len, parts)) == 20
+
+
+def test_far_search_counts_finely_only_what_is_asked_for(spark, monkeypatch):
+    """Objects that no point may need are counted in wide cells alone, and the points of a wide cell go down together."""
+    monkeypatch.setattr(cells, "CROWD", 20)
+    made = {}
+    monkeypatch.setattr(cells, "written", lambda df, name, f=cells.written: made.setdefault(name, []).append(t := f(df, name)) or t)
+    rng = np.random.default_rng(3)
+    spots = [(i, 1e4 * (i // 50) + x, y) for i, (x, y) in enumerate(rng.uniform(0, 39, (500, 2)).round(3).tolist())]
+    asked = [(i, 1e4 + x, 60.0) for i, x in enumerate(rng.uniform(0, 39, 30).round(3).tolist())]
+    objects = spark.createDataFrame([(i, x, y, x, y) for i, x, y in spots], "box int, x1 double, y1 double, x2 double, y2 double")
+    dist = F.sqrt((F.col("px") - F.col("x1")) ** 2 + (F.col("py") - F.col("y1")) ** 2)
+    got = {r["id"]: r["box"] for r in cells.nearest_of_all(spark.createDataFrame(asked, "id int, px double, py double"), objects, "id", "box", dist, 5.0).collect()}
+    assert got == {i: min((math.hypot(px - x, py - y), k) for k, x, y in spots)[1] for i, px, py in asked}
+    assert [t.count() for t in made["cells"]] == [10]  # one cell of 40 for each of ten crowds
+    assert made["asked"] and max(t.count() for t in made["asked"]) == 50  # of 500
