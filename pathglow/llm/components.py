@@ -15,11 +15,12 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star round. Each node u learns m, its least neighbour (or itself) and hands m to its neighbours.
 
-    The minimum is a partial aggregate and the hand-out an equi-join, so a hub is never gathered in one task.
+    The minimum is a partial aggregate and the hand-out an equi-join of sorted sides, so a hub is never gathered in one task and no
+    list of nodes in the driver.
     """
     pairs = _both_ways(edges)
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    linked = pairs.join(least, "u")
+    linked = pairs.join(least.hint("merge"), "u")
     if large:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

@@ -137,22 +137,28 @@ def _at_anchors(fps: DataFrame, threshold: int, name: str) -> DataFrame:
 
 
 def fingerprint_links(fps: DataFrame, threshold: int = 2) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column fp) that differ in ``threshold`` bits or fewer, each pair once."""
+    """Pairs a < b of distinct fingerprints (column fp) that differ in ``threshold`` bits or fewer, each pair once.
+
+    Both sides are sorted: replicas are dozens a fingerprint, but Spark sizes them by the fingerprints' file, and would broadcast them.
+    """
     homes, replicas = _at_anchors(fps, 0, "x"), _at_anchors(fps, threshold, "y")
     near = (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= threshold)
-    return homes.join(replicas, (homes.anchor == replicas.anchor) & near).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return homes.join(replicas.hint("merge"), (homes.anchor == replicas.anchor) & near).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: int) -> DataFrame:
-    """``id_col``, fp, root (a fingerprint that stands for the group) and component_id, one row per document."""
+    """``id_col``, fp, root (a fingerprint that stands for the group) and component_id, one row per document.
+
+    None of the joins is a broadcast: all tables have a row a fingerprint, and their compressed size tells little of what they hold.
+    """
     prints = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     member = connected_components(fingerprint_links(nodes.select("fp"), threshold))
-    rooted = nodes.join(member, nodes.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = nodes.join(member.hint("merge"), nodes.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
-    return prints.join(named, "fp").select(id_col, "fp", "root", "component_id")
+    named = written(rooted.join(least.hint("merge"), "root").select("fp", "root", "component_id"), "named")
+    return prints.join(named.hint("merge"), "fp").select(id_col, "fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: int = 2) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 
 from pathglow.llm import embedding_dedup
 from pathglow.llm.common import table
-from pathglow.llm.components import connected_components
+from pathglow.llm.components import _star, connected_components
 from pathglow.llm.embedding_dedup import embedding_components
 from pathglow.llm.simhash import _anchors, fingerprint_links, keep_one_of_each_group, simhash_components
 
@@ -96,6 +96,14 @@ def test_no_near_pair_escapes_the_anchors(spark):
     assert set(got) == pairs and len(got) == len(pairs)
 
 
+def test_nothing_of_the_groups_is_broadcast(spark, data):
+    """Dozens of replicas a fingerprint would be sized by the fingerprints alone, and so gathered in the driver."""
+    pairs = spark.range(20).selectExpr("id as a", "id + 1 as b")
+    for found in (fingerprint_links(spark.range(5).selectExpr("id as fp")), _star(pairs, large=True), _star(pairs, large=False), simhash_components(table(spark, data, "documents"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_anchors_are_few():
     fp = np.random.default_rng(1).integers(0, 1 << 62, 2000, dtype=np.int64)
     rows, _ = _anchors(fp, 2)
