@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pathglow.llm import embedding_dedup
+from pathglow.llm import embedding_dedup, simhash
 from pathglow.llm.common import table
 from pathglow.llm.components import _star, connected_components
 from pathglow.llm.embedding_dedup import embedding_components
@@ -104,6 +104,14 @@ def test_nothing_of_the_groups_is_broadcast(spark, data):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_many_ids_are_not_broadcast(spark, data, monkeypatch):
+    docs = table(spark, data, "documents")
+    whole = sorted(r["doc_id"] for r in keep_one_of_each_group(docs).collect())
+    monkeypatch.setattr(simhash, "MOST_BROADCAST", 1)
+    found = keep_one_of_each_group(docs)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and sorted(r["doc_id"] for r in found.collect()) == whole
+
+
 def test_anchors_are_few():
     fp = np.random.default_rng(1).integers(0, 1 << 62, 2000, dtype=np.int64)
     rows, _ = _anchors(fp, 2)
